@@ -1,0 +1,248 @@
+"""Registered queries: one per operator row of the inventory.
+
+Each entry is ``name -> (builder(spark, sf_dir) -> DataFrame, oracle SQL or
+None)``.  Builders only compose library functions over the driver tables;
+the SQL re-derives the same answer independently in DuckDB.  Every query
+runs over whole tables: no id subsets, no row caps beyond top-k features.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from margincast.plans.common import (ALL_CUBE_CTES, CUBE_CTES, SRC, WEEK_SQL, cube, holidays_sql,
+                                     lines, lines_sql, out, r6, sources, with_)
+from margincast.operators import cube as C
+from margincast.operators import dashboard as D
+from margincast.operators import sales as S
+from margincast.operators.joins import keep_products
+from margincast.operators.sales import CATEGORY
+
+REGISTRY: dict = {}
+
+
+def q(name: str, sql: str | None = None):
+    def deco(fn):
+        REGISTRY[name] = (fn, sql)
+        return fn
+    return deco
+
+
+CAT = CATEGORY
+
+# =========================================================== S: sources / sinks
+
+_SRC_COUNTS_SQL = with_(SRC) + """
+SELECT 'orders' AS source, CAST(count(*) AS BIGINT) AS rows FROM src_orders
+UNION ALL SELECT 'order_items', count(*) FROM src_items
+UNION ALL SELECT 'products', count(*) FROM src_products
+UNION ALL SELECT 'translation', count(*) FROM src_translation
+UNION ALL SELECT 'sellers', count(*) FROM src_sellers"""
+
+
+@q("s1_read_sources", _SRC_COUNTS_SQL)
+def s1_read_sources(spark, d):
+    src = sources(spark, d)
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), "rows")
+             for n, df in src.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@q("s2_check_sources")
+def s2_check_sources(spark, d):
+    from margincast.sources.tables import check_sources
+    need = ["orders.parquet", "lineitem.parquet", "part.parquet", "supplier.parquet",
+            "nation.parquet", "olist_sellers_dataset.csv"]
+    return check_sources(spark, d, need)
+
+
+@q("s4_write_result", with_(*CUBE_CTES) + """
+SELECT product_id, product_category_name_english, seller_state_encoded,
+       strftime(Date, '%Y-%m-%d') AS Date, QuantitySold, AverageSellingPrice, Weight_g_Mean,
+       Length_cm_Mean, Height_cm_Mean, Width_cm_Mean FROM cube""")
+def s4_write_result(spark, d):
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.sources.tables import write_result
+    import uuid
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base}/results/cube-{uuid.uuid4().hex}"
+    write_result(cube(spark, d).withColumn("year", F.year("Date")), path, partition_by=["year"])
+    return out(spark.read.parquet(path).drop("year"))
+
+
+# =========================================================== F: filters
+
+@q("f1_delivered", with_(SRC) + """
+SELECT order_id, strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp
+FROM src_orders WHERE order_status = 'delivered'""")
+def f1_delivered(spark, d):
+    return out(S.delivered(sources(spark, d)["orders"]).select("order_id", "order_purchase_timestamp"))
+
+
+@q("f2_purchase_ts", with_(SRC) + """
+SELECT order_id, strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp,
+       CAST(month(order_purchase_timestamp) AS INTEGER) AS month
+FROM src_orders WHERE order_status = 'delivered'""")
+def f2_purchase_ts(spark, d):
+    o = S.delivered(sources(spark, d)["orders"])
+    text = o.select("order_id", F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")
+                    .alias("order_purchase_timestamp"))
+    parsed = S.with_purchase_ts(text)          # string → timestamp_ntz (ANSI: malformed raises)
+    return out(parsed.withColumn("month", F.month("order_purchase_timestamp")))
+
+
+@q("f3_category_family", with_(SRC, lines_sql()) + """
+SELECT product_id, product_category_name_english FROM lines_products""")
+def f3_category_family(spark, d):
+    src = sources(spark, d)
+    return S.products_with_category(src["products"], src["translation"]).select("product_id", CAT)
+
+
+@q("f4_require_category", with_(SRC, lines_sql("lines_all", family=False)) + """
+SELECT product_category_name_english, CAST(count(*) AS BIGINT) AS rows FROM lines_all GROUP BY 1""")
+def f4_require_category(spark, d):
+    return C.category_counts(lines(spark, d, family=False))
+
+
+@q("f5_sales_lines", with_(SRC, lines_sql()) + """
+SELECT strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp, product_id,
+       product_category_name_english, seller_state, CAST(price AS DOUBLE) AS price,
+       CAST(quantity AS INTEGER) AS quantity, product_weight_g, product_length_cm,
+       product_height_cm, product_width_cm FROM lines""")
+def f5_sales_lines(spark, d):
+    return out(lines(spark, d).withColumn("price", F.col("price").cast("double")))
+
+
+@q("f6_unit_quantity", with_(SRC, lines_sql()) + """
+SELECT CAST(sum(quantity) AS BIGINT) AS units, CAST(count(*) AS BIGINT) AS rows FROM lines""")
+def f6_unit_quantity(spark, d):
+    return lines(spark, d).agg(F.sum("quantity").cast("long").alias("units"),
+                               F.count(F.lit(1)).alias("rows"))
+
+
+@q("f7_fill_unknown_region", with_(SRC, lines_sql()) + """
+SELECT seller_state, CAST(count(*) AS BIGINT) AS rows FROM lines GROUP BY 1""")
+def f7_fill_unknown_region(spark, d):
+    return lines(spark, d).groupBy("seller_state").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@q("f11_product_lookup", with_(*CUBE_CTES) + """,
+top AS (SELECT product_id FROM cube GROUP BY 1 ORDER BY sum(QuantitySold) DESC, product_id LIMIT 1)
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold, AverageSellingPrice
+FROM cube WHERE product_id = (SELECT product_id FROM top)""")
+def f11_product_lookup(spark, d):
+    cb = cube(spark, d)
+    top = C.top_n_products(cb, 1).first()["product_id"]
+    return out(D.for_product(cb, top).select("product_id", "seller_state_encoded", "Date",
+                                             "QuantitySold", "AverageSellingPrice"))
+
+
+@q("f14_drop_column", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold FROM cube""")
+def f14_drop_column(spark, d):
+    return out(cube(spark, d).drop(CAT, "AverageSellingPrice", "Weight_g_Mean", "Length_cm_Mean",
+                                   "Height_cm_Mean", "Width_cm_Mean"))
+
+
+@q("f15_nonempty_guard", with_(*CUBE_CTES) + """
+SELECT CAST(count(*) AS BIGINT) AS rows FROM cube""")
+def f15_nonempty_guard(spark, d):
+    cb = S.assert_nonempty(cube(spark, d), "weekly cube")
+    return cb.agg(F.count(F.lit(1)).alias("rows"))
+
+
+# =========================================================== J: joins
+
+@q("j1_orders_items", with_(SRC) + """
+SELECT i.order_id, i.product_id, i.seller_id, CAST(i.price AS DOUBLE) AS price
+FROM src_items i JOIN src_orders o ON i.order_id = o.order_id WHERE o.order_status = 'delivered'""")
+def j1_orders_items(spark, d):
+    src = sources(spark, d)
+    o = S.delivered(src["orders"]).select("order_id")
+    return (src["order_items"].join(o, "order_id")
+            .select("order_id", "product_id", "seller_id", F.col("price").cast("double")))
+
+
+@q("j2_items_products", with_(SRC) + """
+SELECT p.product_category_name, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(p.product_id) AS BIGINT) AS matched
+FROM src_items i LEFT JOIN src_products p ON i.product_id = p.product_id GROUP BY 1""")
+def j2_items_products(spark, d):
+    src = sources(spark, d)
+    j = src["order_items"].join(src["products"], "product_id", "left")
+    return j.groupBy("product_category_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("product_weight_g").alias("matched"))
+
+
+@q("j3_translation", with_(SRC) + """
+SELECT p.product_id, p.product_category_name, t.product_category_name_english
+FROM src_products p LEFT JOIN src_translation t ON p.product_category_name = t.product_category_name""")
+def j3_translation(spark, d):
+    src = sources(spark, d)
+    return S.products_with_category(src["products"], src["translation"], prefix=None).select(
+        "product_id", "product_category_name", CAT)
+
+
+@q("j4_seller_region", with_(SRC) + """
+SELECT i.seller_id, coalesce(s.seller_state, 'Unknown') AS seller_state, CAST(count(*) AS BIGINT) AS rows
+FROM src_items i LEFT JOIN src_sellers s ON i.seller_id = s.seller_id GROUP BY 1, 2""")
+def j4_seller_region(spark, d):
+    src = sources(spark, d)
+    j = src["order_items"].join(src["sellers"], "seller_id", "left")
+    return (j.withColumn("seller_state", F.coalesce("seller_state", F.lit("Unknown")))
+            .groupBy("seller_id", "seller_state").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@q("j5_keep_products", with_(*CUBE_CTES) + """,
+top AS (SELECT product_id FROM cube GROUP BY 1 ORDER BY sum(QuantitySold) DESC, product_id LIMIT 10)
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold
+FROM cube WHERE product_id IN (SELECT product_id FROM top)""")
+def j5_keep_products(spark, d):
+    cb = cube(spark, d)
+    return out(keep_products(cb, C.top_n_products(cb, 10))
+               .select("product_id", "seller_state_encoded", "Date", "QuantitySold"))
+
+
+_GRID_SQL = """,
+span AS (SELECT min(Date) AS lo, max(Date) AS hi FROM cube_all),
+prods AS (SELECT product_id, min(product_category_name_english) AS product_category_name_english
+          FROM cube_all GROUP BY 1),
+grid AS (SELECT p.product_id, p.product_category_name_english, CAST(w.wk AS DATE) AS Date
+         FROM prods p, span, LATERAL (SELECT unnest(generate_series(span.lo, span.hi, INTERVAL 7 DAY)) AS wk) w)"""
+
+
+@q("j6_product_week_grid", with_(*ALL_CUBE_CTES) + _GRID_SQL + """
+SELECT product_id, product_category_name_english, strftime(Date, '%Y-%m-%d') AS Date FROM grid""")
+def j6_product_week_grid(spark, d):
+    return out(C.product_week_grid(cube(spark, d, family=False)))
+
+
+_DENSE_SQL = _GRID_SQL + """,
+dense AS (
+  SELECT g.product_id, g.product_category_name_english,
+         CAST(coalesce(c.seller_state_encoded, -1) AS INTEGER) AS seller_state_encoded, g.Date,
+         CAST(coalesce(c.QuantitySold, 0) AS BIGINT) AS QuantitySold, c.AverageSellingPrice,
+         c.Weight_g_Mean, c.Length_cm_Mean, c.Height_cm_Mean, c.Width_cm_Mean
+  FROM grid g LEFT JOIN cube_all c ON g.product_id = c.product_id AND g.Date = c.Date)"""
+
+
+@q("j7_densify", with_(*ALL_CUBE_CTES) + _DENSE_SQL + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold,
+       AverageSellingPrice FROM dense""")
+def j7_densify(spark, d):
+    return out(C.densify(cube(spark, d, family=False)).select(
+        "product_id", "seller_state_encoded", "Date", "QuantitySold", "AverageSellingPrice"))
+
+
+@q("j8_refill_category", with_(*ALL_CUBE_CTES) + _DENSE_SQL + """
+SELECT product_category_name_english, CAST(count(*) AS BIGINT) AS rows,
+       CAST(sum(CASE WHEN AverageSellingPrice IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS filled_rows
+FROM dense GROUP BY 1""")
+def j8_refill_category(spark, d):
+    dn = C.densify(cube(spark, d, family=False))
+    return dn.groupBy(CAT).agg(F.count(F.lit(1)).alias("rows"),
+                               F.sum(F.col("AverageSellingPrice").isNull().cast("long")).alias("filled_rows"))
