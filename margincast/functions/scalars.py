@@ -37,6 +37,12 @@ def to_currency(x, rate: float = BRL_TO_THB) -> Column:
     return _c(x) * F.lit(rate)
 
 
+def round_half_up(x, d: int = 2) -> Column:
+    """Round half up on the value's decimal form (through an exact
+    decimal), so a half-cent mean rounds the same on every engine."""
+    return F.round(_c(x).cast("decimal(38,9)"), d).cast("double")
+
+
 def as_units(pred) -> Column:
     """Demand as a whole number of units: round half to even, floor at 0."""
     return F.greatest(F.lit(0.0), F.rint(_c(pred)))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from margincast.functions.dates import fmt_date
-from margincast.functions.scalars import PCT_EPS, pct_change, revenue, short_id, to_currency
+from margincast.functions.scalars import (PCT_EPS, pct_change, revenue, round_half_up, short_id,
+                                          to_currency)
 from margincast.operators.sales import CATEGORY
 
 P, Q = "AverageSellingPrice", "QuantitySold"
@@ -30,8 +31,8 @@ def money_report(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
     """X4 + X5: each money column rounded in BRL and converted to THB."""
     out = {}
     for c in cols:
-        out[f"{c}_brl"] = F.round(c, digits)
-        out[f"{c}_thb"] = F.round(to_currency(c), digits)
+        out[f"{c}_brl"] = round_half_up(c, digits)
+        out[f"{c}_thb"] = round_half_up(to_currency(c), digits)
     return df.withColumns(out).drop(*cols)
 
 
@@ -83,8 +84,8 @@ def kpis(cube: DataFrame, grain: str = "row") -> DataFrame:
     # both sides are single rows; a keyless equi-join on a constant keeps it lazy
     return (money_report(base.withColumn("_k", F.lit(1)), ["total_revenue", "avg_price"])
             .join(ch.withColumn("_k", F.lit(1)), "_k").drop("_k")
-            .withColumns({"revenue_change": F.round("revenue_change", 1),
-                          "sales_change": F.round("sales_change", 1)}))
+            .withColumns({"revenue_change": round_half_up("revenue_change", 1),
+                          "sales_change": round_half_up("sales_change", 1)}))
 
 
 def sales_trend(cube: DataFrame, n: int = 12, grain: str = "row") -> DataFrame:
@@ -95,7 +96,7 @@ def sales_trend(cube: DataFrame, n: int = 12, grain: str = "row") -> DataFrame:
     else:
         per_date = (cube.groupBy("Date").agg(F.sum(Q).alias("sales"), F.avg(P).alias("price"))
                     .orderBy(F.desc("Date")).limit(n))
-    return (money_report(per_date, ["price"]).withColumn("date", fmt_date("Date"))
+    return (money_report(per_date, ["price"]).withColumn("week", fmt_date("Date"))
             .orderBy("Date").drop("Date"))
 
 
@@ -113,7 +114,7 @@ def product_analysis(cube: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("weeks_active"),
         F.avg(Q).alias("avg_weekly_sales"))
     return (money_report(agg, ["avg_price", "min_price", "max_price", "total_revenue"])
-            .withColumn("avg_weekly_sales", F.round("avg_weekly_sales", 1))
+            .withColumn("avg_weekly_sales", round_half_up("avg_weekly_sales", 1))
             .withColumn("product_id_short", short_id("product_id", 30)))
 
 
@@ -122,7 +123,7 @@ def product_history(cube: DataFrame, n: int = 12) -> DataFrame:
     per = cube.groupBy("product_id", "Date").agg(F.sum(Q).alias("sales"), F.avg(P).alias("price"))
     rk = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("Date")))
     last = per.withColumn("_rk", rk).where(F.col("_rk") <= n).drop("_rk")
-    return money_report(last, ["price"]).withColumn("date", fmt_date("Date")).drop("Date")
+    return money_report(last, ["price"]).withColumn("week", fmt_date("Date")).drop("Date")
 
 
 def for_product(df: DataFrame, product_id, key: str = "product_id") -> DataFrame:

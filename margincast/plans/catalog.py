@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from margincast.plans.common import (ALL_CUBE_CTES, CUBE_CTES, SRC, WEEK_SQL, cube, holidays_sql,
-                                     lines, lines_sql, out, r6, sources, with_)
+                                     lines, lines_sql, out, r6, rm, sources, with_)
 from margincast.operators import cube as C
 from margincast.operators import dashboard as D
 from margincast.operators import sales as S
@@ -246,3 +246,308 @@ def j8_refill_category(spark, d):
     dn = C.densify(cube(spark, d, family=False))
     return dn.groupBy(CAT).agg(F.count(F.lit(1)).alias("rows"),
                                F.sum(F.col("AverageSellingPrice").isNull().cast("long")).alias("filled_rows"))
+
+
+# =========================================================== A: aggregations
+
+_CUBE_OUT_SQL = """
+SELECT product_id, product_category_name_english, seller_state_encoded,
+       strftime(Date, '%Y-%m-%d') AS Date, QuantitySold, AverageSellingPrice, Weight_g_Mean,
+       Length_cm_Mean, Height_cm_Mean, Width_cm_Mean FROM cube"""
+
+
+@q("a1_weekly_cube", with_(*CUBE_CTES) + _CUBE_OUT_SQL)
+def a1_weekly_cube(spark, d):
+    return out(cube(spark, d))
+
+
+@q("a2_product_totals", with_(*CUBE_CTES) + """
+SELECT product_id, CAST(sum(QuantitySold) AS BIGINT) AS total_units FROM cube GROUP BY 1""")
+def a2_product_totals(spark, d):
+    return C.product_totals(cube(spark, d))
+
+
+@q("a3_popular_products", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold FROM cube
+WHERE product_id IN (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 10)""")
+def a3_popular_products(spark, d):
+    return out(C.popular(cube(spark, d), 10).select("product_id", "seller_state_encoded", "Date",
+                                                    "QuantitySold"))
+
+
+@q("a4_top_n_products", with_(*CUBE_CTES) + """
+SELECT product_id, CAST(sum(QuantitySold) AS BIGINT) AS total_units FROM cube GROUP BY 1
+ORDER BY total_units DESC, product_id LIMIT 500""")
+def a4_top_n_products(spark, d):
+    return C.top_n_products(cube(spark, d), 500)
+
+
+@q("a5_top_by_units", with_(*CUBE_CTES) + """
+SELECT product_id, product_category_name_english, CAST(sum(QuantitySold) AS BIGINT) AS total_units
+FROM cube GROUP BY 1, 2 ORDER BY total_units DESC, product_id LIMIT 20""")
+def a5_top_by_units(spark, d):
+    return C.top_by_units(cube(spark, d), 20)
+
+
+_SUMMARY_SQL = """,
+summary AS (
+  SELECT product_id, product_category_name_english, CAST(sum(QuantitySold) AS BIGINT) AS total_units,
+         avg(AverageSellingPrice) AS avg_price
+  FROM cube GROUP BY 1, 2)"""
+
+
+@q("a6_product_summary", with_(*CUBE_CTES) + _SUMMARY_SQL + """
+SELECT product_id, product_category_name_english, total_units, round(avg_price, 6) AS avg_price,
+       round(total_units * avg_price, 6) AS revenue FROM summary""")
+def a6_product_summary(spark, d):
+    return D.product_summary(cube(spark, d)).withColumns(r6("avg_price", "revenue"))
+
+
+@q("a7_top_products", with_(*CUBE_CTES) + _SUMMARY_SQL + """
+SELECT product_id, product_category_name_english AS category, total_units,
+       substr(CAST(product_id AS VARCHAR), 1, 20) || '...' AS product_id_short,
+       CAST(round(CAST((avg_price) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_brl, CAST(round(CAST((avg_price * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_thb,
+       CAST(round(CAST((total_units * avg_price) AS DECIMAL(38,9)), 2) AS DOUBLE) AS revenue_brl, CAST(round(CAST((total_units * avg_price * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS revenue_thb
+FROM summary ORDER BY total_units * avg_price DESC, product_id LIMIT 10""")
+def a7_top_products(spark, d):
+    return D.top_products(cube(spark, d), 10)
+
+
+_LAST8_SQL = """,
+last8 AS (SELECT QuantitySold AS q, QuantitySold * AverageSellingPrice AS rev,
+                 row_number() OVER (ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC) AS rk
+          FROM cube ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC LIMIT 8),
+chg AS (SELECT CASE WHEN count(*) = 8 THEN
+                 (sum(CASE WHEN rk <= 4 THEN rev END) / (sum(CASE WHEN rk > 4 THEN rev END) + 1e-6) - 1) * 100
+               ELSE 0.0 END AS revenue_change,
+               CASE WHEN count(*) = 8 THEN
+                 (CAST(sum(CASE WHEN rk <= 4 THEN q END) AS DOUBLE)
+                  / (CAST(sum(CASE WHEN rk > 4 THEN q END) AS DOUBLE) + 1e-6) - 1) * 100
+               ELSE 0.0 END AS sales_change FROM last8)"""
+
+
+@q("a8_kpis", with_(*CUBE_CTES) + _LAST8_SQL + """
+SELECT CAST(round(CAST((sum(QuantitySold * AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_revenue_brl,
+       CAST(round(CAST((sum(QuantitySold * AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_revenue_thb,
+       CAST(count(DISTINCT product_id) AS BIGINT) AS total_products,
+       CAST(round(CAST((avg(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_brl, CAST(round(CAST((avg(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_thb,
+       CAST(sum(QuantitySold) AS BIGINT) AS total_sales,
+       CAST(round(CAST((any_value(chg.revenue_change)) AS DECIMAL(38,9)), 1) AS DOUBLE) AS revenue_change, CAST(round(CAST((any_value(chg.sales_change)) AS DECIMAL(38,9)), 1) AS DOUBLE) AS sales_change
+FROM cube, chg""")
+def a8_kpis(spark, d):
+    return D.kpis(cube(spark, d))
+
+
+@q("a9_recent_change", with_(*CUBE_CTES) + _LAST8_SQL + """
+SELECT round(revenue_change, 6) AS revenue_change, round(sales_change, 6) AS sales_change FROM chg""")
+def a9_recent_change(spark, d):
+    return D.recent_change(cube(spark, d), 4, "row").withColumns(r6("revenue_change", "sales_change"))
+
+
+@q("a9w_recent_change_weeks", with_(*CUBE_CTES) + """,
+wk AS (SELECT Date, sum(QuantitySold) AS q, sum(QuantitySold * AverageSellingPrice) AS rev,
+              row_number() OVER (ORDER BY Date DESC) AS rk FROM cube GROUP BY Date),
+last8 AS (SELECT * FROM wk WHERE rk <= 8)
+SELECT round(CASE WHEN count(*) = 8 THEN (sum(CASE WHEN rk <= 4 THEN rev END)
+             / (sum(CASE WHEN rk > 4 THEN rev END) + 1e-6) - 1) * 100 ELSE 0.0 END, 6) AS revenue_change,
+       round(CASE WHEN count(*) = 8 THEN (CAST(sum(CASE WHEN rk <= 4 THEN q END) AS DOUBLE)
+             / (CAST(sum(CASE WHEN rk > 4 THEN q END) AS DOUBLE) + 1e-6) - 1) * 100 ELSE 0.0 END, 6) AS sales_change
+FROM last8""")
+def a9w_recent_change_weeks(spark, d):
+    return D.recent_change(cube(spark, d), 4, "week").withColumns(r6("revenue_change", "sales_change"))
+
+
+@q("a10_sales_trend", with_(*CUBE_CTES) + """,
+last12 AS (SELECT * FROM cube ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC LIMIT 12)
+SELECT CAST(sum(QuantitySold) AS BIGINT) AS sales, CAST(round(CAST((avg(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_brl,
+       CAST(round(CAST((avg(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_thb, strftime(Date, '%Y-%m-%d') AS week
+FROM last12 GROUP BY Date""")
+def a10_sales_trend(spark, d):
+    return D.sales_trend(cube(spark, d), 12, "row")
+
+
+@q("a10w_sales_trend_weeks", with_(*CUBE_CTES) + """
+SELECT CAST(sum(QuantitySold) AS BIGINT) AS sales, CAST(round(CAST((avg(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_brl,
+       CAST(round(CAST((avg(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_thb, strftime(Date, '%Y-%m-%d') AS week
+FROM cube GROUP BY Date ORDER BY Date DESC LIMIT 12""")
+def a10w_sales_trend_weeks(spark, d):
+    return D.sales_trend(cube(spark, d), 12, "week")
+
+
+@q("a11_product_analysis", with_(*CUBE_CTES) + """
+SELECT product_id, arg_min(product_category_name_english, (Date, seller_state_encoded)) AS category,
+       CAST(sum(QuantitySold) AS BIGINT) AS total_sales,
+       CAST(count(*) AS BIGINT) AS weeks_active, CAST(round(CAST((avg(QuantitySold)) AS DECIMAL(38,9)), 1) AS DOUBLE) AS avg_weekly_sales,
+       CAST(round(CAST((avg(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_brl, CAST(round(CAST((avg(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_price_thb,
+       CAST(round(CAST((min(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS min_price_brl, CAST(round(CAST((min(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS min_price_thb,
+       CAST(round(CAST((max(AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS max_price_brl, CAST(round(CAST((max(AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS max_price_thb,
+       CAST(round(CAST((sum(QuantitySold * AverageSellingPrice)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_revenue_brl,
+       CAST(round(CAST((sum(QuantitySold * AverageSellingPrice) * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_revenue_thb,
+       substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short
+FROM cube GROUP BY product_id""")
+def a11_product_analysis(spark, d):
+    return D.product_analysis(cube(spark, d))
+
+
+@q("a12_product_history", with_(*CUBE_CTES) + """,
+per AS (SELECT product_id, Date, sum(QuantitySold) AS sales, avg(AverageSellingPrice) AS price
+        FROM cube GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY Date DESC) AS r FROM per)
+SELECT product_id, CAST(sales AS BIGINT) AS sales, CAST(round(CAST((price) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_brl,
+       CAST(round(CAST((price * 6.8) AS DECIMAL(38,9)), 2) AS DOUBLE) AS price_thb, strftime(Date, '%Y-%m-%d') AS week FROM rk WHERE r <= 12""")
+def a12_product_history(spark, d):
+    return D.product_history(cube(spark, d), 12)
+
+
+@q("a13_distinct_counts", with_(*CUBE_CTES) + """
+SELECT CAST(count(DISTINCT product_category_name_english) AS BIGINT) AS n_product_category_name_english,
+       CAST(count(DISTINCT product_id) AS BIGINT) AS n_product_id,
+       CAST(count(DISTINCT Date) AS BIGINT) AS n_Date FROM cube""")
+def a13_distinct_counts(spark, d):
+    return C.distinct_counts(cube(spark, d), [CAT, "product_id", "Date"])
+
+
+@q("a14_category_counts", with_(SRC, lines_sql()) + """
+SELECT product_category_name_english, CAST(count(*) AS BIGINT) AS rows FROM lines GROUP BY 1""")
+def a14_category_counts(spark, d):
+    return C.category_counts(lines(spark, d))
+
+
+@q("a15_stage_counts", with_(*CUBE_CTES) + """
+SELECT 0 AS step, 'delivered_orders' AS stage, CAST(count(*) AS BIGINT) AS rows FROM src_orders WHERE order_status = 'delivered'
+UNION ALL SELECT 1, 'family_lines', count(*) FROM lines
+UNION ALL SELECT 2, 'weekly_cube', count(*) FROM cube
+UNION ALL SELECT 3, 'popular_cube', count(*) FROM cube
+  WHERE product_id IN (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 10)""")
+def a15_stage_counts(spark, d):
+    src = sources(spark, d)
+    ln = lines(spark, d)
+    cb = cube(spark, d)
+    return C.stage_counts({"delivered_orders": S.delivered(src["orders"]), "family_lines": ln,
+                           "weekly_cube": cb, "popular_cube": C.popular(cb, 10)})
+
+
+@q("a16_date_span", with_(*CUBE_CTES) + """
+SELECT strftime(min(Date), '%Y-%m-%d') AS min_date, strftime(max(Date), '%Y-%m-%d') AS max_date FROM cube""")
+def a16_date_span(spark, d):
+    return out(C.date_span(cube(spark, d)))
+
+
+@q("a17_price_stats", with_(*CUBE_CTES) + """
+SELECT product_id, round(avg(AverageSellingPrice), 6) AS mean_price,
+       round(stddev_samp(AverageSellingPrice), 6) AS std_price,
+       min(AverageSellingPrice) AS min_price, max(AverageSellingPrice) AS max_price FROM cube GROUP BY 1""")
+def a17_price_stats(spark, d):
+    return C.price_stats(cube(spark, d)).withColumns(r6("mean_price", "std_price"))
+
+
+@q("a18_fallback_price", with_(*CUBE_CTES) + """
+SELECT quantile_disc(AverageSellingPrice, 0.5) AS median_price,
+       round(avg(AverageSellingPrice), 6) AS mean_price FROM cube""")
+def a18_fallback_price(spark, d):
+    cb = cube(spark, d)
+    med = C.fallback_value(cb, "AverageSellingPrice", "median")
+    mean = C.fallback_value(cb, "AverageSellingPrice", "mean")
+    return spark.createDataFrame([(float(med), round(float(mean), 6))], "median_price double, mean_price double")
+
+
+@q("a19_distinct_rows", with_(*CUBE_CTES) + """
+SELECT DISTINCT product_id, product_category_name_english FROM cube""")
+def a19_distinct_rows(spark, d):
+    return C.distinct_rows(cube(spark, d).select("product_id", CAT))
+
+
+@q("a20_min_volume", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold FROM (
+  SELECT *, sum(QuantitySold) OVER (PARTITION BY product_id) AS tot FROM cube) WHERE tot > 5""")
+def a20_min_volume(spark, d):
+    return out(C.min_volume(cube(spark, d), 5).select("product_id", "seller_state_encoded", "Date",
+                                                      "QuantitySold"))
+
+
+# =========================================================== T: sorts / top-k
+
+@q("t2_sort_by_units", with_(*CUBE_CTES) + """
+SELECT product_id, CAST(sum(QuantitySold) AS BIGINT) AS total_units FROM cube GROUP BY 1
+ORDER BY total_units DESC, product_id""")
+def t2_sort_by_units(spark, d):
+    return C.product_totals(cube(spark, d)).orderBy(F.desc("total_units"), "product_id")
+
+
+@q("t4_top_targets", with_(*CUBE_CTES) + """
+SELECT product_id, CAST(sum(QuantitySold) AS BIGINT) AS total_units FROM cube GROUP BY 1
+ORDER BY total_units DESC, product_id LIMIT 10""")
+def t4_top_targets(spark, d):
+    return C.product_totals(cube(spark, d)).orderBy(F.desc("total_units"), "product_id").limit(10)
+
+
+@q("t5_tail_rows", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold FROM cube
+ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC LIMIT 12""")
+def t5_tail_rows(spark, d):
+    from margincast.operators.windows import tail
+    return out(tail(cube(spark, d), ["Date", "product_id", "seller_state_encoded"], 12)
+               .select("product_id", "seller_state_encoded", "Date", "QuantitySold"))
+
+
+# =========================================================== H: dates
+
+@q("h1_week_label", with_(SRC) + f"""
+SELECT strftime({WEEK_SQL.format(c='order_purchase_timestamp')}, '%Y-%m-%d') AS week,
+       CAST(count(*) AS BIGINT) AS orders,
+       CAST(count(DISTINCT dayofweek(order_purchase_timestamp)) AS BIGINT) AS weekdays
+FROM src_orders WHERE order_status = 'delivered' GROUP BY 1""")
+def h1_week_label(spark, d):
+    from margincast.functions.dates import week_label
+    o = S.delivered(sources(spark, d)["orders"])
+    return out(o.groupBy(week_label("order_purchase_timestamp").alias("week")).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.countDistinct(F.dayofweek("order_purchase_timestamp")).alias("weekdays")))
+
+
+_CAL_SQL = """
+SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS Date, CAST(year(Date) AS INTEGER) AS Year,
+       CAST(month(Date) AS INTEGER) AS Month, CAST(weekofyear(Date) AS INTEGER) AS Week,
+       CAST(quarter(Date) AS INTEGER) AS Quarter, CAST(isodow(Date) - 1 AS INTEGER) AS DayOfWeek,
+       CAST(CASE WHEN isodow(Date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS INTEGER) AS IsWeekend FROM cube"""
+
+
+@q("h2_h4_calendar", with_(*CUBE_CTES) + _CAL_SQL)
+def h2_h4_calendar(spark, d):
+    from margincast.functions.dates import calendar_columns
+    return out(cube(spark, d).select("Date").distinct().withColumns(calendar_columns("Date")))
+
+
+@q("h3_iso_week_order_days", with_(SRC) + """
+SELECT DISTINCT strftime(order_purchase_timestamp, '%Y-%m-%d') AS day,
+       CAST(weekofyear(order_purchase_timestamp) AS INTEGER) AS iso_week,
+       CAST(isodow(order_purchase_timestamp) - 1 AS INTEGER) AS weekday FROM src_orders""")
+def h3_iso_week_order_days(spark, d):
+    from margincast.functions.dates import day_of_week, iso_week
+    o = sources(spark, d)["orders"]
+    return o.select(F.date_format("order_purchase_timestamp", "yyyy-MM-dd").alias("day"),
+                    iso_week("order_purchase_timestamp").alias("iso_week"),
+                    day_of_week("order_purchase_timestamp").alias("weekday")).distinct()
+
+
+@q("h5_week_spine", with_(*CUBE_CTES) + """
+SELECT strftime(CAST(unnest(generate_series(min(Date), max(Date), INTERVAL 7 DAY)) AS DATE), '%Y-%m-%d') AS week
+FROM cube""")
+def h5_week_spine(spark, d):
+    from margincast.functions.dates import week_spine_bounds
+    span = C.date_span(cube(spark, d))
+    return out(span.select(F.explode(week_spine_bounds("min_date", "max_date")).alias("week")))
+
+
+@q("h6_holiday_calendar", with_(*CUBE_CTES, holidays_sql("cube")) + """
+SELECT strftime(holiday_date, '%Y-%m-%d') AS holiday_date FROM hol""")
+def h6_holiday_calendar(spark, d):
+    from margincast.functions.holidays import holiday_calendar, year_range
+    return out(holiday_calendar(year_range(cube(spark, d))).select("holiday_date"))
+
+
+@q("h7_date_format", with_(*CUBE_CTES) + """
+SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS date_text FROM cube""")
+def h7_date_format(spark, d):
+    from margincast.functions.dates import fmt_date
+    return cube(spark, d).select(fmt_date("Date").alias("date_text")).distinct()

@@ -41,6 +41,11 @@ def r6(*cols: str):
     return {c: F.round(c, 6) for c in cols}
 
 
+def rm(expr: str, d: int = 2) -> str:
+    """SQL twin of ``scalars.round_half_up``: HALF_UP on the decimal value."""
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,9)), {d}) AS DOUBLE)"
+
+
 # ----------------------------------------------------------------- SQL side
 def with_(*blocks: str) -> str:
     return "WITH " + ",\n".join(b.strip() for b in blocks)
@@ -115,7 +120,7 @@ def holidays_sql(src: str, name: str = "hol", extra_good_friday: bool = True) ->
         SELECT y, y % 19 AS a, y // 100 AS b, (y // 100) // 4 AS d, (y // 100) % 4 AS e,
                ((y // 100) - ((y // 100) + 8) // 25 + 1) // 3 AS g,
                (y % 100) // 4 AS i, (y % 100) % 4 AS k
-        FROM {name}_years)))))""".replace("{name}", name)
+        FROM {name}_years))))""".replace("{name}", name)
     return f"""
 {name}_years AS (
   SELECT CAST(range AS INTEGER) AS y FROM range(
