@@ -551,3 +551,254 @@ SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS date_text FROM cube""")
 def h7_date_format(spark, d):
     from margincast.functions.dates import fmt_date
     return cube(spark, d).select(fmt_date("Date").alias("date_text")).distinct()
+
+
+# =========================================================== W: windows (over the cube)
+
+_W = "PARTITION BY product_id ORDER BY Date, seller_state_encoded"
+P_, Q_ = "AverageSellingPrice", "QuantitySold"
+
+
+def _win_sql(select: str) -> str:
+    return with_(*CUBE_CTES) + f"""
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, {select} FROM cube"""
+
+
+def _win(spark, d, cols: dict, rounded: tuple = ()):
+    cb = cube(spark, d)
+    res = cb.select("product_id", "seller_state_encoded", "Date", *[v.alias(k) for k, v in cols.items()])
+    return out(res.withColumns(r6(*rounded)) if rounded else res)
+
+
+@q("w1_lags", _win_sql(f"""lag({Q_}, 1) OVER ({_W}) AS qty_lag_1, lag({Q_}, 4) OVER ({_W}) AS qty_lag_4,
+  lag({P_}, 1) OVER ({_W}) AS price_lag_1, lag({P_}, 4) OVER ({_W}) AS price_lag_4,
+  lag({Q_}, 52) OVER ({_W}) AS qty_lag_52"""))
+def w1_lags(spark, d):
+    from margincast.operators.windows import lag
+    return _win(spark, d, {"qty_lag_1": lag(Q_, 1), "qty_lag_4": lag(Q_, 4), "price_lag_1": lag(P_, 1),
+                           "price_lag_4": lag(P_, 4), "qty_lag_52": lag(Q_, 52)})
+
+
+@q("w2_rolling_inclusive", _win_sql(f"""
+  round(avg({Q_}) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS qty_roll_4,
+  round(avg({P_}) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS price_roll_4"""))
+def w2_rolling_inclusive(spark, d):
+    from margincast.operators.windows import rolling
+    return _win(spark, d, {"qty_roll_4": rolling(Q_, 4, "mean", True), "price_roll_4": rolling(P_, 4, "mean", True)},
+                ("qty_roll_4", "price_roll_4"))
+
+
+@q("w3_rolling_previous", _win_sql(", ".join(
+    f"round(avg({c}) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS {a}_prev_mean_{n}"
+    for c, a in ((Q_, "qty"), (P_, "price")) for n in (4, 8, 12))))
+def w3_rolling_previous(spark, d):
+    from margincast.operators.windows import rolling
+    cols = {f"{a}_prev_mean_{n}": rolling(c, n, "mean", False)
+            for c, a in ((Q_, "qty"), (P_, "price")) for n in (4, 8, 12)}
+    return _win(spark, d, cols, tuple(cols))
+
+
+@q("w4_rolling_std", _win_sql(", ".join(
+    f"round(stddev_samp({Q_}) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS qty_prev_std_{n}"
+    for n in (4, 8))))
+def w4_rolling_std(spark, d):
+    from margincast.operators.windows import rolling
+    cols = {f"qty_prev_std_{n}": rolling(Q_, n, "std", False) for n in (4, 8)}
+    return _win(spark, d, cols, tuple(cols))
+
+
+@q("w5_rolling_max", _win_sql(", ".join(
+    f"max({Q_}) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS qty_prev_max_{n}"
+    for n in (4, 8, 12))))
+def w5_rolling_max(spark, d):
+    from margincast.operators.windows import rolling
+    return _win(spark, d, {f"qty_prev_max_{n}": rolling(Q_, n, "max", False) for n in (4, 8, 12)})
+
+
+@q("w6_diffs", _win_sql(f"""{P_} - lag({P_}, 1) OVER ({_W}) AS price_diff,
+  {Q_} - lag({Q_}, 1) OVER ({_W}) AS qty_diff"""))
+def w6_diffs(spark, d):
+    from margincast.operators.windows import diff
+    return _win(spark, d, {"price_diff": diff(P_), "qty_diff": diff(Q_)})
+
+
+@q("w7_w8_fill_height", _win_sql(f"""Height_cm_Mean,
+  coalesce(last_value(Height_cm_Mean IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           first_value(Height_cm_Mean IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+           0.0) AS height_filled"""))
+def w7_w8_fill_height(spark, d):
+    from margincast.operators.windows import bfill, ffill
+    return _win(spark, d, {"Height_cm_Mean": F.col("Height_cm_Mean"),
+                           "height_filled": F.coalesce(ffill("Height_cm_Mean"), bfill("Height_cm_Mean"),
+                                                       F.lit(0.0))})
+
+
+_LATEST_SQL = f""",
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+                          ORDER BY Date DESC, seller_state_encoded DESC) AS rn FROM cube) WHERE rn = 1)"""
+
+
+@q("w9_latest_rows", with_(*CUBE_CTES) + _LATEST_SQL + f"""
+SELECT product_id, product_category_name_english, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       {Q_}, {P_} FROM latest""")
+def w9_latest_rows(spark, d):
+    from margincast.operators.windows import latest_rows
+    return out(latest_rows(cube(spark, d)).select("product_id", CAT, "seller_state_encoded", "Date", Q_, P_))
+
+
+_ROWSPLIT_SQL = f""",
+pos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_encoded) - 1 AS p,
+               count(*) OVER () AS n FROM cube)"""
+
+
+@q("w10_row_split", with_(*CUBE_CTES) + _ROWSPLIT_SQL + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       p < CAST(floor(n * 0.8) AS BIGINT) AS is_train FROM pos""")
+def w10_row_split(spark, d):
+    from margincast.operators.splits import row_split
+    return out(row_split(cube(spark, d), 0.8).select("product_id", "seller_state_encoded", "Date", "is_train"))
+
+
+@q("w11_date_split", with_(*CUBE_CTES) + """,
+dates AS (SELECT Date, row_number() OVER (ORDER BY Date) AS rn, count(*) OVER () AS n
+          FROM (SELECT DISTINCT Date FROM cube)),
+split AS (SELECT Date AS split_date FROM dates WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1)
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       Date < (SELECT split_date FROM split) AS is_train FROM cube""")
+def w11_date_split(spark, d):
+    from margincast.operators.splits import date_split
+    return out(date_split(cube(spark, d), 0.8).select("product_id", "seller_state_encoded", "Date", "is_train"))
+
+
+@q("w12_tail", with_(*CUBE_CTES) + """
+SELECT strftime(Date, '%Y-%m-%d') AS Date, product_id, seller_state_encoded, QuantitySold FROM cube
+ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC LIMIT 8""")
+def w12_tail(spark, d):
+    from margincast.operators.windows import tail
+    return out(tail(cube(spark, d), ["Date", "product_id", "seller_state_encoded"], 8)
+               .select("Date", "product_id", "seller_state_encoded", "QuantitySold"))
+
+
+# =========================================================== E: encodings and feature frames
+
+@q("e1_label_encode", with_(*CUBE_CTES) + """,
+prods AS (SELECT product_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS INTEGER) AS product_encoded
+          FROM (SELECT DISTINCT product_id FROM cube)),
+cats AS (SELECT c AS product_category_name_english,
+                CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS category_encoded
+         FROM (SELECT DISTINCT product_category_name_english AS c FROM cube))
+SELECT DISTINCT product_id, product_category_name_english, product_encoded, category_encoded
+FROM cube JOIN prods USING (product_id) JOIN cats USING (product_category_name_english)""")
+def e1_label_encode(spark, d):
+    from margincast.operators.features import encode_all
+    return encode_all(cube(spark, d)).select("product_id", CAT, "product_encoded", "category_encoded").distinct()
+
+
+def _fill_sql(c: str, default: str | None = None) -> str:
+    tail = f", {default}" if default else ""
+    return (f"coalesce(last_value({c} IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+            f"first_value({c} IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING){tail})")
+
+
+_DIMS = ["Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean"]
+_CAL_COLS = """CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month,
+       CAST(weekofyear(Date) AS INTEGER) AS Week, CAST(quarter(Date) AS INTEGER) AS Quarter,
+       CAST(CASE WHEN isodow(Date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS INTEGER) AS IsWeekend"""
+
+_BATCH_SQL = with_(*CUBE_CTES) + f""",
+pop AS (SELECT * FROM cube WHERE product_id IN
+        (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 1)),
+filled0 AS (SELECT product_id, product_category_name_english, seller_state_encoded, Date, QuantitySold,
+            {_fill_sql(P_)} AS {P_}, {", ".join(f"{_fill_sql(c, '0.0')} AS {c}" for c in _DIMS)} FROM pop),
+filled AS (SELECT * REPLACE (coalesce({P_}, (SELECT quantile_disc({P_}, 0.5) FROM filled0)) AS {P_}) FROM filled0),
+prods AS (SELECT product_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS INTEGER) AS product_encoded
+          FROM (SELECT DISTINCT product_id FROM filled)),
+cats AS (SELECT c AS product_category_name_english,
+                CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS category_encoded
+         FROM (SELECT DISTINCT product_category_name_english AS c FROM filled)),
+{holidays_sql('filled').strip()},
+batch AS (
+  SELECT f.*, product_encoded, category_encoded, {_CAL_COLS},
+         CAST(CASE WHEN Date IN (SELECT holiday_date FROM hol) THEN 1 ELSE 0 END AS INTEGER) AS IsHoliday,
+         CAST(coalesce(lag({P_}, 1) OVER ({_W}), 0) AS DOUBLE) AS {P_}_Lag_1,
+         CAST(coalesce(lag({P_}, 4) OVER ({_W}), 0) AS DOUBLE) AS {P_}_Lag_4,
+         avg({P_}) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {P_}_Roll_Mean_4,
+         CAST(coalesce(lag({Q_}, 1) OVER ({_W}), 0) AS DOUBLE) AS {Q_}_Lag_1,
+         CAST(coalesce(lag({Q_}, 4) OVER ({_W}), 0) AS DOUBLE) AS {Q_}_Lag_4,
+         avg({Q_}) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {Q_}_Roll_Mean_4,
+         CAST(coalesce({P_} - lag({P_}, 1) OVER ({_W}), 0) AS DOUBLE) AS Price_Diff_Lag_1,
+         CAST(coalesce({Q_} - lag({Q_}, 1) OVER ({_W}), 0) AS DOUBLE) AS Qty_Diff_Lag_1
+  FROM filled f JOIN prods USING (product_id) JOIN cats USING (product_category_name_english))"""
+
+
+def batch_frame(spark, d):
+    from margincast.operators.features import batch_features
+    return batch_features(cube(spark, d))
+
+
+@q("e2_batch_features", _BATCH_SQL + f"""
+SELECT * REPLACE (strftime(Date, '%Y-%m-%d') AS Date, round({P_}_Roll_Mean_4, 6) AS {P_}_Roll_Mean_4,
+                  round({Q_}_Roll_Mean_4, 6) AS {Q_}_Roll_Mean_4) FROM batch""")
+def e2_batch_features(spark, d):
+    return out(batch_frame(spark, d).withColumns(r6(f"{P_}_Roll_Mean_4", f"{Q_}_Roll_Mean_4")))
+
+
+_SERVICE_SQL = with_(*CUBE_CTES) + f""",
+pop AS (SELECT * FROM cube WHERE product_id IN
+        (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 10)),
+cats AS (SELECT c AS product_category_name_english,
+                CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS category_encoded
+         FROM (SELECT DISTINCT product_category_name_english AS c FROM pop)),
+svc0 AS (
+  SELECT p.*, category_encoded, {_CAL_COLS},
+         lag({Q_}, 1) OVER ({_W}) AS {Q_}_Lag_1, lag({Q_}, 4) OVER ({_W}) AS {Q_}_Lag_4,
+         lag({P_}, 1) OVER ({_W}) AS {P_}_Lag_1, lag({P_}, 4) OVER ({_W}) AS {P_}_Lag_4,
+         avg({Q_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS {Q_}_Roll_Mean_4,
+         avg({P_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS {P_}_Roll_Mean_4,
+         {P_} - lag({P_}, 1) OVER ({_W}) AS Price_Diff_Lag_1,
+         {Q_} - lag({Q_}, 1) OVER ({_W}) AS Qty_Diff_Lag_1
+  FROM pop p JOIN cats USING (product_category_name_english)),
+service AS (SELECT * FROM svc0 WHERE COLUMNS(*) IS NOT NULL)"""
+
+
+def service_frame(spark, d):
+    from margincast.operators.features import service_features
+    return service_features(cube(spark, d))
+
+
+@q("e3_service_features", _SERVICE_SQL + f"""
+SELECT * REPLACE (strftime(Date, '%Y-%m-%d') AS Date, round({P_}_Roll_Mean_4, 6) AS {P_}_Roll_Mean_4,
+                  round({Q_}_Roll_Mean_4, 6) AS {Q_}_Roll_Mean_4) FROM service""")
+def e3_service_features(spark, d):
+    return out(service_frame(spark, d).withColumns(r6(f"{P_}_Roll_Mean_4", f"{Q_}_Roll_Mean_4")))
+
+
+@q("f8_complete_rows", _SERVICE_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT product_id) AS BIGINT) AS products FROM service""")
+def f8_complete_rows(spark, d):
+    sf = service_frame(spark, d)
+    return sf.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("product_id").alias("products"))
+
+
+@q("f10_zero_fill", _BATCH_SQL + f"""
+SELECT CAST(sum(CASE WHEN {Q_}_Lag_4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_lag4,
+       CAST(sum(CASE WHEN Height_cm_Mean = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_height FROM batch""")
+def f10_zero_fill(spark, d):
+    b = batch_frame(spark, d)
+    return b.agg(F.sum((F.col(f"{Q_}_Lag_4") == 0).cast("long")).alias("zero_lag4"),
+                 F.sum((F.col("Height_cm_Mean") == 0).cast("long")).alias("zero_height"))
+
+
+@q("j10_holiday_flag", _BATCH_SQL + """
+SELECT strftime(Date, '%Y-%m-%d') AS Date, IsHoliday, CAST(count(*) AS BIGINT) AS rows FROM batch
+WHERE IsHoliday = 1 GROUP BY 1, 2""")
+def j10_holiday_flag(spark, d):
+    b = batch_frame(spark, d)
+    return out(b.where(F.col("IsHoliday") == 1).groupBy("Date", "IsHoliday").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@q("h_cal_batch_columns", _BATCH_SQL + """
+SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS Date, Year, Month, Week, Quarter, IsWeekend, IsHoliday FROM batch""")
+def h_cal_batch_columns(spark, d):
+    return out(batch_frame(spark, d).select("Date", "Year", "Month", "Week", "Quarter", "IsWeekend",
+                                            "IsHoliday").distinct())
