@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from margincast.functions.scalars import (as_units, linspace, pct_change, recommendation,
-                                          short_id, to_currency)
+                                          round_half_up, short_id, to_currency)
 from margincast.operators.sales import CATEGORY
 from margincast.session import ensure_checkpoint_dir
 
@@ -167,7 +167,7 @@ _MASK53 = (1 << 53) - 1
 def _uniform(seed: int, *cols: Column) -> Column:
     """Deterministic U[0,1) from a seeded 64-bit hash of the given columns."""
     h = F.xxhash64(F.lit(seed), *cols)
-    return F.bitwise_and(h, F.lit(_MASK53)).cast("double") / F.lit(float(1 << 53))
+    return h.bitwiseAND(F.lit(_MASK53)).cast("double") / F.lit(float(1 << 53))
 
 
 def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: int = 30,
@@ -261,22 +261,22 @@ def optimization_report(base: DataFrame, best: DataFrame, scorer: Scorer | None
     j = j.withColumns({"current_profit": cur_profit})
     out = j.select(
         key, short_id(key, 30).alias("product_id_short"), F.col(CATEGORY).alias("category"),
-        F.round("current_price", 2).alias("current_price_brl"),
-        F.round(to_currency("current_price"), 2).alias("current_price_thb"),
-        F.round("optimal_price", 2).alias("optimal_price_brl"),
-        F.round(to_currency("optimal_price"), 2).alias("optimal_price_thb"),
-        F.round(pct_change("optimal_price", "current_price"), 1).alias("price_change_pct"),
+        round_half_up("current_price", 2).alias("current_price_brl"),
+        round_half_up(to_currency("current_price"), 2).alias("current_price_thb"),
+        round_half_up("optimal_price", 2).alias("optimal_price_brl"),
+        round_half_up(to_currency("optimal_price"), 2).alias("optimal_price_thb"),
+        round_half_up(pct_change("optimal_price", "current_price"), 1).alias("price_change_pct"),
         F.col("current_units").cast("long").alias("current_demand"),
         F.col("expected_demand").cast("long").alias("expected_demand"),
-        F.when(cur_units > 0, F.round(pct_change("expected_demand", cur_units), 1))
+        F.when(cur_units > 0, round_half_up(pct_change("expected_demand", cur_units), 1))
          .otherwise(F.lit(0.0)).alias("demand_change_pct"),
-        F.round("current_profit", 2).alias("current_profit_brl"),
-        F.round(to_currency("current_profit"), 2).alias("current_profit_thb"),
-        F.round("max_profit", 2).alias("expected_profit_brl"),
-        F.round(to_currency("max_profit"), 2).alias("expected_profit_thb"),
-        F.round(F.col("max_profit") - F.col("current_profit"), 2).alias("profit_increase_brl"),
-        F.round(to_currency(F.col("max_profit") - F.col("current_profit")), 2).alias("profit_increase_thb"),
-        F.when(F.col("current_profit") > 0, F.round(pct_change("max_profit", "current_profit"), 1))
+        round_half_up("current_profit", 2).alias("current_profit_brl"),
+        round_half_up(to_currency("current_profit"), 2).alias("current_profit_thb"),
+        round_half_up("max_profit", 2).alias("expected_profit_brl"),
+        round_half_up(to_currency("max_profit"), 2).alias("expected_profit_thb"),
+        round_half_up(F.col("max_profit") - F.col("current_profit"), 2).alias("profit_increase_brl"),
+        round_half_up(to_currency(F.col("max_profit") - F.col("current_profit")), 2).alias("profit_increase_thb"),
+        F.when(F.col("current_profit") > 0, round_half_up(pct_change("max_profit", "current_profit"), 1))
          .otherwise(F.lit(0.0)).alias("profit_increase_pct"),
         recommendation("optimal_price", "current_price").alias("recommendation"),
         F.col("method"))
@@ -287,9 +287,9 @@ def optimization_report(base: DataFrame, best: DataFrame, scorer: Scorer | None
 def profit_curve(profits: DataFrame, key: str = "product_id") -> DataFrame:
     """(product, price, demand, profit) in both currencies, by price."""
     return profits.select(
-        key, "k", F.round("price", 2).alias("price_brl"), F.round(to_currency("price"), 2).alias("price_thb"),
+        key, "k", round_half_up("price", 2).alias("price_brl"), round_half_up(to_currency("price"), 2).alias("price_thb"),
         F.col("demand").cast("long").alias("demand"),
-        F.round("profit", 2).alias("profit_brl"), F.round(to_currency("profit"), 2).alias("profit_thb"))
+        round_half_up("profit", 2).alias("profit_brl"), round_half_up(to_currency("profit"), 2).alias("profit_thb"))
 
 
 # --------------------------------------------------------------------------- P10

@@ -802,3 +802,234 @@ SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS Date, Year, Month, Week, Quarter,
 def h_cal_batch_columns(spark, d):
     return out(batch_frame(spark, d).select("Date", "Year", "Month", "Week", "Quarter", "IsWeekend",
                                             "IsHoliday").distinct())
+
+
+# =========================================================== P: price search (closed-form demand)
+
+_COSTS_CASE = "CAST(CASE rank " + " ".join(
+    f"WHEN {i} THEN {float(c)}" for i, c in enumerate([10, 15, 20, 12, 18, 10, 15, 20, 12, 18], 1)) + " ELSE 10.0 END AS DOUBLE)"
+
+_PRICE_SQL = _BATCH_SQL + f""",
+pos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_encoded) - 1 AS p,
+               count(*) OVER () AS n FROM batch),
+train AS (SELECT * FROM pos WHERE p < CAST(floor(n * 0.8) AS BIGINT)),
+base AS (SELECT *, {P_} AS current_price, {Q_} AS current_units FROM (
+           SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY Date DESC, seller_state_encoded DESC) AS rn
+           FROM train) WHERE rn = 1),
+ranked AS (SELECT product_id, CAST(sum({Q_}) AS BIGINT) AS total_units,
+                  row_number() OVER (ORDER BY sum({Q_}) DESC, product_id) AS rank FROM train GROUP BY product_id),
+costed AS (SELECT product_id, total_units, rank, {_COSTS_CASE} AS cost FROM ranked),
+stats AS (SELECT product_id, avg({P_}) AS mean_price FROM train GROUP BY 1),
+coef AS (SELECT product_id, regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS b,
+                regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS a, avg(CAST({Q_} AS DOUBLE)) AS mu
+         FROM train GROUP BY 1),
+model AS (SELECT product_id, coalesce(b, 0.0) AS demand_slope,
+                 CASE WHEN b IS NULL THEN mu ELSE a END AS demand_intercept FROM coef),
+bounds AS (SELECT product_id, mean_price, mean_price * 0.7 AS lower, mean_price * 1.3 AS upper FROM stats),
+cand AS (SELECT product_id, CAST(k AS INTEGER) AS k, lower, upper,
+                CASE WHEN k = 19 THEN upper ELSE CAST(k AS DOUBLE) * ((upper - lower) / 19.0) + lower END AS price
+         FROM bounds, range(20) t(k)),
+prof AS (SELECT c.*, cost, greatest(0.0, round_even(demand_intercept + demand_slope * price, 0)) AS demand,
+                (price - cost) * greatest(0.0, round_even(demand_intercept + demand_slope * price, 0)) AS profit
+         FROM cand c JOIN model USING (product_id) JOIN costed USING (product_id)),
+grid AS (SELECT product_id, price AS grid_price, profit AS grid_profit, demand AS grid_demand FROM (
+           SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY profit DESC, price ASC) AS r FROM prof)
+         WHERE r = 1)"""
+
+
+class _Price:
+    """The price-search inputs of the batch run, built once per query."""
+
+    def __init__(self, spark, d):
+        from margincast.operators.pricing import LinearDemand, base_rows, ranked_targets
+        from margincast.operators.splits import row_split
+        feats = row_split(batch_frame(spark, d), 0.8)
+        self.train = feats.where("is_train").drop("is_train")
+        self.base = base_rows(self.train)
+        self.targets = ranked_targets(self.train, n=None)
+        self.stats = C.price_stats(self.train).select("product_id", "mean_price")
+        self.demand = LinearDemand(self.train)
+
+    def bounds(self):
+        from margincast.operators.pricing import price_bounds
+        return price_bounds(self.stats, "mean")
+
+    def candidates(self, n=20):
+        from margincast.operators.pricing import price_candidates
+        b = self.base.join(self.targets.select("product_id", "cost"), "product_id")
+        return price_candidates(self.bounds().join(b, "product_id"), n)
+
+    def profits(self, variant="b"):
+        from margincast.operators.pricing import score_candidates
+        return score_candidates(self.candidates(), self.demand, variant)
+
+    def grid(self):
+        from margincast.operators.pricing import grid_search
+        return grid_search(self.profits())
+
+
+@q("j11_base_rows", _PRICE_SQL + f"""
+SELECT product_id, strftime(Date, '%Y-%m-%d') AS Date, seller_state_encoded, current_price, current_units FROM base""")
+def j11_base_rows(spark, d):
+    return out(_Price(spark, d).base.select("product_id", "Date", "seller_state_encoded", "current_price",
+                                            "current_units"))
+
+
+@q("j12_cost_by_rank", _PRICE_SQL + """
+SELECT product_id, total_units, CAST(rank AS INTEGER) AS rank, cost FROM costed""")
+def j12_cost_by_rank(spark, d):
+    return _Price(spark, d).targets.withColumn("rank", F.col("rank").cast("int"))
+
+
+@q("a21_target_info", _PRICE_SQL + f""",
+top AS (SELECT product_id FROM costed WHERE rank <= 10)
+SELECT product_id, round(avg({P_}), 6) AS avg_price, CAST(sum({Q_}) AS BIGINT) AS total_units,
+       arg_max(product_category_name_english, (Date, seller_state_encoded)) AS category
+FROM train WHERE product_id IN (SELECT product_id FROM top) GROUP BY 1""")
+def a21_target_info(spark, d):
+    pr = _Price(spark, d)
+    return D.target_info(pr.train, pr.targets.where(F.col("rank") <= 10)).withColumns(r6("avg_price"))
+
+
+_MEAN_COLS = ["AverageSellingPrice", "Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean",
+              "AverageSellingPrice_Lag_1", "QuantitySold_Lag_1"]
+
+
+@q("a22_mean_features", _PRICE_SQL + "\nSELECT " + ", ".join(
+    f"round(avg({c}), 6) AS {c}" for c in _MEAN_COLS) + " FROM train")
+def a22_mean_features(spark, d):
+    return D.mean_features(_Price(spark, d).train, _MEAN_COLS).withColumns(r6(*_MEAN_COLS))
+
+
+@q("p1_price_bounds", _PRICE_SQL + """
+SELECT product_id, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds""")
+def p1_price_bounds(spark, d):
+    return _Price(spark, d).bounds().select("product_id", F.round("lower", 6).alias("lower"),
+                                            F.round("upper", 6).alias("upper"))
+
+
+@q("p2_price_candidates", _PRICE_SQL + """
+SELECT product_id, k, round(price, 6) AS price FROM cand""")
+def p2_price_candidates(spark, d):
+    return _Price(spark, d).candidates().select("product_id", "k", F.round("price", 6).alias("price"))
+
+
+@q("p3_counterfactual", _PRICE_SQL + f"""
+SELECT c.product_id, c.k, round(c.price, 6) AS {P_}, round(b.current_price, 6) AS {P_}_Lag_1,
+       round(c.price - b.current_price, 6) AS Price_Diff_Lag_1, CAST(b.current_units AS DOUBLE) AS Qty_Lag_1
+FROM cand c JOIN base b USING (product_id)""")
+def p3_counterfactual(spark, d):
+    from margincast.operators.pricing import counterfactual
+    cf = counterfactual(_Price(spark, d).candidates(), "c")
+    cf = counterfactual(cf.drop(f"{P_}_Lag_1"), "b")     # both variants' moved columns
+    return cf.select("product_id", "k", F.round(P_, 6).alias(P_), F.round(f"{P_}_Lag_1", 6).alias(f"{P_}_Lag_1"),
+                     F.round("Price_Diff_Lag_1", 6).alias("Price_Diff_Lag_1"), "Qty_Lag_1")
+
+
+@q("p4_profit", _PRICE_SQL + """
+SELECT product_id, k, round(price, 6) AS price, cost, demand, CAST(round(CAST((profit) AS DECIMAL(38,9)), 4) AS DOUBLE) AS profit FROM prof""")
+def p4_profit(spark, d):
+    from margincast.functions.scalars import round_half_up
+    return _Price(spark, d).profits().select("product_id", "k", F.round("price", 6).alias("price"), "cost",
+                                             "demand", round_half_up("profit", 4).alias("profit"))
+
+
+@q("p5_grid_search", _PRICE_SQL + """
+SELECT product_id, round(grid_price, 6) AS grid_price, CAST(round(CAST((grid_profit) AS DECIMAL(38,9)), 4) AS DOUBLE) AS grid_profit,
+       grid_demand FROM grid""")
+def p5_grid_search(spark, d):
+    from margincast.functions.scalars import round_half_up
+    g = _Price(spark, d).grid()
+    return g.select("product_id", F.round("grid_price", 6).alias("grid_price"),
+                    round_half_up("grid_profit", 4).alias("grid_profit"), "grid_demand")
+
+
+def _grid_best(pr):
+    return pr.grid().withColumns({"optimal_price": F.col("grid_price"), "max_profit": F.col("grid_profit"),
+                                  "method": F.lit("grid")})
+
+
+def _report_sql() -> str:
+    cp, op, mp = "current_price", "grid_price", "grid_profit"
+    cprof = f"(({cp} - cost) * CAST(current_units AS DOUBLE))"
+    ch = f"(({op} / ({cp} + 1e-6) - 1) * 100)"
+    fmt1 = "printf('%.1f', {x})"
+    rec = (f"CASE WHEN {ch} > 15 THEN 'แนะนำขึ้นราคา ' || {fmt1.format(x=ch)} || '% (ทำทีละน้อย 5-10% ก่อน)' "
+           f"WHEN {ch} > 5 THEN 'แนะนำขึ้นราคาเล็กน้อย ' || {fmt1.format(x=ch)} || '%' "
+           f"WHEN {ch} < -15 THEN 'แนะนำลดราคา ' || {fmt1.format(x=f'abs({ch})')} || '% (ทำโปรโมชั่น)' "
+           f"WHEN {ch} < -5 THEN 'แนะนำลดราคาเล็กน้อย ' || {fmt1.format(x=f'abs({ch})')} || '%' "
+           "ELSE 'ราคาปัจจุบันเหมาะสมแล้ว คงราคาไว้' END")
+    return _PRICE_SQL + f""",
+rep AS (SELECT * FROM base JOIN grid USING (product_id) JOIN costed USING (product_id))
+SELECT product_id, substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short,
+       product_category_name_english AS category,
+       {rm(cp)} AS current_price_brl, {rm(cp + ' * 6.8')} AS current_price_thb,
+       {rm(op)} AS optimal_price_brl, {rm(op + ' * 6.8')} AS optimal_price_thb,
+       {rm(ch, 1)} AS price_change_pct,
+       CAST(current_units AS BIGINT) AS current_demand, CAST(grid_demand AS BIGINT) AS expected_demand,
+       CASE WHEN current_units > 0 THEN {rm(f'(grid_demand / (CAST(current_units AS DOUBLE) + 1e-6) - 1) * 100', 1)}
+            ELSE 0.0 END AS demand_change_pct,
+       {rm(cprof)} AS current_profit_brl, {rm(cprof + ' * 6.8')} AS current_profit_thb,
+       {rm(mp)} AS expected_profit_brl, {rm(mp + ' * 6.8')} AS expected_profit_thb,
+       {rm(f'{mp} - {cprof}')} AS profit_increase_brl, {rm(f'({mp} - {cprof}) * 6.8')} AS profit_increase_thb,
+       CASE WHEN {cprof} > 0 THEN {rm(f'({mp} / ({cprof} + 1e-6) - 1) * 100', 1)} ELSE 0.0 END AS profit_increase_pct,
+       {rec} AS recommendation, 'grid' AS method
+FROM rep"""
+
+
+@q("p8_optimization_report", _report_sql())
+def p8_optimization_report(spark, d):
+    from margincast.operators.pricing import optimization_report
+    pr = _Price(spark, d)
+    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id")
+    return optimization_report(base, _grid_best(pr))
+
+
+@q("p9_profit_curve", _PRICE_SQL + f"""
+SELECT product_id, k, {rm('price')} AS price_brl, {rm('price * 6.8')} AS price_thb,
+       CAST(demand AS BIGINT) AS demand, {rm('profit')} AS profit_brl, {rm('profit * 6.8')} AS profit_thb FROM prof""")
+def p9_profit_curve(spark, d):
+    from margincast.operators.pricing import profit_curve
+    return profit_curve(_Price(spark, d).profits())
+
+
+@q("p10_optimization_summary", _PRICE_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS products,
+       round(avg(grid_price / mean_price * 100 - 100), 4) AS avg_price_change_pct,
+       round(sum(grid_profit), 2) AS total_profit
+FROM grid JOIN bounds USING (product_id)""")
+def p10_optimization_summary(spark, d):
+    from margincast.operators.pricing import optimization_summary
+    pr = _Price(spark, d)
+    res = _grid_best(pr).join(pr.stats.withColumnRenamed("mean_price", "current_price"), "product_id")
+    s = optimization_summary(res)
+    return s.select("products", F.round("avg_price_change_pct", 4).alias("avg_price_change_pct"),
+                    F.round("total_profit", 2).alias("total_profit"))
+
+
+@q("p11_monotone_demand", _PRICE_SQL + """
+SELECT product_id, k, round(price, 6) AS price,
+       min(demand) OVER (PARTITION BY product_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand
+FROM prof""")
+def p11_monotone_demand(spark, d):
+    from margincast.operators.pricing import monotone_demand
+    m = monotone_demand(_Price(spark, d).profits())
+    return m.select("product_id", "k", F.round("price", 6).alias("price"), "demand")
+
+
+@q("p6_swarm_search")
+def p6_swarm_search(spark, d):
+    from margincast.operators.pricing import swarm_search
+    pr = _Price(spark, d)
+    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id").join(pr.bounds(), "product_id")
+    return swarm_search(base, pr.demand, particles=10, iters=30, seed=42, variant="b")
+
+
+@q("p7_best_of")
+def p7_best_of(spark, d):
+    from margincast.operators.pricing import best_of, swarm_search
+    pr = _Price(spark, d)
+    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id").join(pr.bounds(), "product_id")
+    sw = swarm_search(base, pr.demand, particles=10, iters=30, seed=42, variant="b")
+    return best_of(pr.grid(), sw).select("product_id", "grid_price", "grid_profit", "swarm_price",
+                                         "swarm_profit", "optimal_price", "max_profit", "method")
