@@ -29,7 +29,8 @@ def discount_pct(roll_mean, price) -> Column:
 
 
 def is_discounted(pct) -> Column:
-    return (_c(pct) > F.lit(DISCOUNT_FLAG)).cast("int")
+    # a missing rolling mean compares false, i.e. not discounted
+    return F.when(_c(pct) > F.lit(DISCOUNT_FLAG), F.lit(1)).otherwise(F.lit(0))
 
 
 def to_currency(x, rate: float = BRL_TO_THB) -> Column:

@@ -1033,3 +1033,205 @@ def p7_best_of(spark, d):
     sw = swarm_search(base, pr.demand, particles=10, iters=30, seed=42, variant="b")
     return best_of(pr.grid(), sw).select("product_id", "grid_price", "grid_profit", "swarm_price",
                                          "swarm_profit", "optimal_price", "max_profit", "method")
+
+
+# =========================================================== M: metrics (closed-form demand as ŷ)
+
+_PRED_SQL = _PRICE_SQL + f""",
+test AS (SELECT * FROM pos WHERE p >= CAST(floor(n * 0.8) AS BIGINT)),
+pred AS (SELECT t.product_id, CAST(t.{Q_} AS DOUBLE) AS y,
+                coalesce(m.demand_intercept + m.demand_slope * t.{P_}, 0.0) AS yhat
+         FROM test t LEFT JOIN model m USING (product_id))"""
+
+
+def _pred(spark, d):
+    pr = _Price(spark, d)
+    feats = __import__("margincast.operators.splits", fromlist=["row_split"]).row_split(batch_frame(spark, d), 0.8)
+    test = feats.where(~F.col("is_train"))
+    scored = pr.demand(test)
+    return scored.select("product_id", F.col(Q_).cast("double").alias("y"),
+                         F.coalesce("prediction", F.lit(0.0)).alias("yhat"))
+
+
+@q("m8_metrics", _PRED_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat) ^ 2)), 6) AS rmse,
+       round(1 - sum((y - yhat) ^ 2) / nullif(count(*) * var_pop(y), 0), 6) AS r2 FROM pred""")
+def m8_metrics(spark, d):
+    from margincast.operators.models import metrics
+    return metrics(_pred(spark, d), "y", "yhat").withColumns(r6("mae", "rmse", "r2"))
+
+
+@q("m9_mape", _PRED_SQL + """
+SELECT round(avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) * 100, 6) AS mape_skip,
+       round(avg(abs(y - yhat) / abs(CASE WHEN y = 0 THEN 1e-6 ELSE y END)) * 100, 6) AS mape_eps FROM pred""")
+def m9_mape(spark, d):
+    from margincast.operators.models import mape
+    p = _pred(spark, d)
+    a = mape(p, "y", "yhat", "skip").withColumnRenamed("mape", "mape_skip").withColumn("_k", F.lit(1))
+    b = mape(p, "y", "yhat", "eps").withColumnRenamed("mape", "mape_eps").withColumn("_k", F.lit(1))
+    return a.join(b, "_k").drop("_k").withColumns(r6("mape_skip", "mape_eps"))
+
+
+@q("m15_residual_hist", _PRED_SQL + """,
+res AS (SELECT y - yhat AS r FROM pred),
+span AS (SELECT min(r) AS lo, max(r) AS hi FROM res),
+binned AS (SELECT CAST(least(floor((r - lo) / ((hi - lo) / 99)), 98) AS INTEGER) AS bin FROM res, span)
+SELECT CAST(b AS INTEGER) AS bin, CAST(coalesce(c, 0) AS BIGINT) AS count FROM range(99) t(b)
+LEFT JOIN (SELECT bin, count(*) AS c FROM binned GROUP BY 1) ON bin = b""")
+def m15_residual_hist(spark, d):
+    from margincast.operators.models import residual_hist, residuals
+    pts = residuals(_pred(spark, d), "y", "yhat")
+    return residual_hist(pts, 100).select("bin", "count")
+
+
+@q("m14_training_summary", _SERVICE_SQL + """,
+spos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_encoded) - 1 AS p,
+                count(*) OVER () AS n FROM service)
+SELECT CAST(count(*) AS BIGINT) AS data_size, CAST(count(DISTINCT product_id) AS BIGINT) AS num_products,
+       CAST(count(DISTINCT product_category_name_english) AS BIGINT) AS num_categories,
+       CAST(sum(CASE WHEN p < floor(n * 0.8) THEN 1 ELSE 0 END) AS BIGINT) AS train_samples,
+       CAST(sum(CASE WHEN p >= floor(n * 0.8) THEN 1 ELSE 0 END) AS BIGINT) AS test_samples,
+       20 AS num_features FROM spos""")
+def m14_training_summary(spark, d):
+    from margincast.operators.features import SERVICE_FEATURES
+    from margincast.operators.models import training_summary
+    from margincast.operators.splits import row_split
+    sf = service_frame(spark, d)
+    return training_summary(sf, row_split(sf, 0.8), SERVICE_FEATURES)
+
+
+# =========================================================== X: scalar functions
+
+@q("x1_cyclical", with_(*CUBE_CTES) + """
+SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS Date,
+       round(sin(2 * pi() * month(Date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(Date) / 12), 6) AS month_cos,
+       round(sin(2 * pi() * weekofyear(Date) / 52), 6) AS week_sin,
+       round(cos(2 * pi() * weekofyear(Date) / 52), 6) AS week_cos FROM cube""")
+def x1_cyclical(spark, d):
+    from margincast.functions.scalars import cyclical
+    ms, mc = cyclical(F.month("Date"), 12)
+    ws, wc = cyclical(F.weekofyear("Date"), 52)
+    res = cube(spark, d).select("Date", ms.alias("month_sin"), mc.alias("month_cos"),
+                                ws.alias("week_sin"), wc.alias("week_cos")).distinct()
+    return out(res.withColumns(r6("month_sin", "month_cos", "week_sin", "week_cos")))
+
+
+@q("x2_discount", _win_sql(f"""
+  round((avg({P_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) - {P_})
+        / (avg({P_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) + 1e-6), 6) AS discount_pct,
+  CAST(CASE WHEN (avg({P_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) - {P_})
+        / (avg({P_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) + 1e-6) > 0.05 THEN 1 ELSE 0 END AS INTEGER)
+    AS is_discounted"""))
+def x2_discount(spark, d):
+    from margincast.functions.scalars import discount_pct, is_discounted
+    from margincast.operators.windows import rolling
+    cb = cube(spark, d).withColumn("_r", rolling(P_, 4, "mean", False))
+    res = cb.select("product_id", "seller_state_encoded", "Date",
+                    discount_pct("_r", P_).alias("discount_pct"),
+                    is_discounted(discount_pct("_r", P_)).alias("is_discounted"))
+    return out(res.withColumns(r6("discount_pct")))
+
+
+@q("x3_interactions", _BATCH_SQL + f"""
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       category_encoded * IsWeekend AS cat_x_weekend,
+       round({P_}_Lag_1 * sin(2 * pi() * Month / 12), 6) + 0.0 AS pricelag1_x_monthsin,
+       {Q_}_Lag_1 * seller_state_encoded AS qtylag1_x_state FROM batch""")
+def x3_interactions(spark, d):
+    from margincast.functions.scalars import cyclical
+    b = batch_frame(spark, d)
+    res = b.select("product_id", "seller_state_encoded", "Date",
+                   (F.col("category_encoded") * F.col("IsWeekend")).alias("cat_x_weekend"),
+                   (F.col(f"{P_}_Lag_1") * cyclical("Month", 12)[0]).alias("pricelag1_x_monthsin"),
+                   (F.col(f"{Q_}_Lag_1") * F.col("seller_state_encoded")).alias("qtylag1_x_state"))
+    return out(res.withColumn("pricelag1_x_monthsin", F.round("pricelag1_x_monthsin", 6) + F.lit(0.0)))
+
+
+@q("x4_x5_currency", with_(*CUBE_CTES) + f"""
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       {rm(P_)} AS price_brl, {rm(P_ + ' * 6.8')} AS price_thb, {rm(P_, 1)} AS price_1dp FROM cube""")
+def x4_x5_currency(spark, d):
+    from margincast.functions.scalars import round_half_up, to_currency
+    return out(cube(spark, d).select("product_id", "seller_state_encoded", "Date",
+                                     round_half_up(P_, 2).alias("price_brl"),
+                                     round_half_up(to_currency(P_), 2).alias("price_thb"),
+                                     round_half_up(P_, 1).alias("price_1dp")))
+
+
+@q("x6_x9_units_log", _win_sql(f"""
+  greatest(0.0, round_even(avg({Q_}) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0)) AS units_from_roll,
+  round(ln(1 + {Q_}), 6) AS log_units, round(exp(ln(1 + {Q_})) - 1, 6) AS units_back"""))
+def x6_x9_units_log(spark, d):
+    from margincast.functions.scalars import as_units, from_log_target, log_target
+    from margincast.operators.windows import rolling
+    return _win(spark, d, {"units_from_roll": as_units(rolling(Q_, 4, "mean", False)),
+                           "log_units": log_target(Q_), "units_back": from_log_target(log_target(Q_))},
+                ("log_units", "units_back"))
+
+
+@q("x7_x8_change_revenue", with_(*CUBE_CTES) + f"""
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       round({Q_} * {P_}, 6) AS revenue,
+       round(({P_} / (Weight_g_Mean + 1e-6) - 1) * 100, 6) AS pct_vs_weight FROM cube""")
+def x7_x8_change_revenue(spark, d):
+    from margincast.functions.scalars import pct_change, revenue
+    res = cube(spark, d).select("product_id", "seller_state_encoded", "Date",
+                                revenue(Q_, P_).alias("revenue"),
+                                pct_change(P_, "Weight_g_Mean").alias("pct_vs_weight"))
+    return out(res.withColumns(r6("revenue", "pct_vs_weight")))
+
+
+@q("x10_linspace", _PRICE_SQL + """
+SELECT product_id, CAST(count(*) AS BIGINT) AS n, round(min(price), 6) AS first_price, round(max(price), 6) AS last_price
+FROM cand GROUP BY 1""")
+def x10_linspace(spark, d):
+    c = _Price(spark, d).candidates()
+    return c.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("price"), 6).alias("first_price"),
+                                       F.round(F.max("price"), 6).alias("last_price"))
+
+
+@q("x11_short_id", with_(*CUBE_CTES) + """
+SELECT DISTINCT substr(CAST(product_id AS VARCHAR), 1, 3) || '...' AS short_id,
+       starts_with(lower(product_category_name_english), 'fashion_') AS family FROM cube""")
+def x11_short_id(spark, d):
+    from margincast.functions.scalars import has_prefix, short_id
+    return cube(spark, d).select(short_id("product_id", 3).alias("short_id"),
+                                 has_prefix(CAT, "fashion_").alias("family")).distinct()
+
+
+@q("x12_recommendation", _report_sql().replace(
+    "SELECT product_id, substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short,",
+    "SELECT recommendation, CAST(count(*) AS BIGINT) AS products FROM (SELECT product_id, "
+    "substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short,") + ") GROUP BY 1")
+def x12_recommendation(spark, d):
+    return p8_optimization_report(spark, d).groupBy("recommendation").agg(F.count(F.lit(1)).alias("products"))
+
+
+@q("x13_verdicts", _PRED_SQL + """,
+m AS (SELECT 1 - sum((y - yhat) ^ 2) / nullif(count(*) * var_pop(y), 0) AS r2,
+             avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) * 100 AS mape FROM pred)
+SELECT CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.6 THEN 'fair' ELSE 'poor' END AS r2_verdict,
+       CASE WHEN mape IS NULL THEN NULL WHEN mape < 20 THEN 'good' ELSE 'improve' END AS mape_verdict FROM m""")
+def x13_verdicts(spark, d):
+    from margincast.functions.scalars import mape_verdict, r2_verdict
+    from margincast.operators.models import mape, metrics
+    p = _pred(spark, d)
+    m = metrics(p, "y", "yhat").withColumn("_k", F.lit(1)).join(mape(p, "y", "yhat").withColumn("_k", F.lit(1)), "_k")
+    return m.select(r2_verdict("r2").alias("r2_verdict"), mape_verdict("mape").alias("mape_verdict"))
+
+
+@q("e6_standard_scale", _PRICE_SQL + f""",
+st AS (SELECT avg({P_}) AS m1, stddev_pop({P_}) AS s1, avg(Weight_g_Mean) AS m2, stddev_pop(Weight_g_Mean) AS s2 FROM train)
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       round(({P_} - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 6) AS price_scaled,
+       round((Weight_g_Mean - m2) / CASE WHEN s2 = 0 THEN 1 ELSE s2 END, 6) AS weight_scaled
+FROM pos, st WHERE p >= CAST(floor(n * 0.8) AS BIGINT)""")
+def e6_standard_scale(spark, d):
+    from margincast.operators.splits import row_split, scale, scale_stats
+    feats = row_split(batch_frame(spark, d), 0.8)
+    train, test = feats.where("is_train"), feats.where(~F.col("is_train"))
+    st = scale_stats(train, [P_, "Weight_g_Mean"])
+    sc = scale(test, st, "_s").select("product_id", "seller_state_encoded", "Date",
+                                      F.col(f"{P_}_s").alias("price_scaled"),
+                                      F.col("Weight_g_Mean_s").alias("weight_scaled"))
+    return out(sc.withColumns(r6("price_scaled", "weight_scaled")))
