@@ -1235,3 +1235,152 @@ def e6_standard_scale(spark, d):
                                       F.col(f"{P_}_s").alias("price_scaled"),
                                       F.col("Weight_g_Mean_s").alias("weight_scaled"))
     return out(sc.withColumns(r6("price_scaled", "weight_scaled")))
+
+
+# =========================================================== M: model fits (rows-only checks)
+# Registered fits use small tree counts so the correctness run stays short;
+# the full settings of the batch script are the defaults of demand_model().
+
+_SMALL = {"gbt_a": dict(maxIter=10, maxDepth=4), "gbt_b": dict(maxIter=10, maxDepth=4),
+          "rf": dict(numTrees=10, maxDepth=6), "linear": {}}
+
+
+class _Fit:
+    def __init__(self, spark, d):
+        from margincast.operators.features import SAFE_BATCH_FEATURES
+        from margincast.operators.splits import row_split
+        feats = row_split(batch_frame(spark, d), 0.8).checkpoint(eager=True)
+        self.cols = SAFE_BATCH_FEATURES
+        self.train = feats.where("is_train").drop("is_train")
+        self.test = feats.where(~F.col("is_train")).drop("is_train")
+
+    def pipeline(self, kind):
+        from margincast.operators.models import demand_model
+        return demand_model(kind, self.cols, **_SMALL[kind])
+
+
+def _fit_query(kind):
+    def run(spark, d):
+        from margincast.operators.models import metrics, predict
+        f = _Fit(spark, d)
+        m = f.pipeline(kind).fit(f.train)
+        return metrics(predict(m, f.test)).withColumn("model", F.lit(kind))
+    return run
+
+
+for _k, _id in (("gbt_a", "m1_gbt_leafwise"), ("gbt_b", "m2_gbt_subsampled"), ("rf", "m3_random_forest"),
+                ("linear", "m4_linear_regression")):
+    REGISTRY[_id] = (_fit_query(_k), None)
+
+
+@q("m5_random_search")
+def m5_random_search(spark, d):
+    from margincast.operators.models import RF_SPACE, random_search
+    f = _Fit(spark, d)
+    cv = random_search(f.pipeline("rf"), {k: v for k, v in RF_SPACE.items() if k != "numTrees"}
+                       | {"numTrees": ("int", 5, 10)}, n=3, folds=2, seed=42, parallelism=3)
+    model = cv.fit(f.train)
+    rows = [(i, float(m)) for i, m in enumerate(model.avgMetrics)]
+    return spark.createDataFrame(rows, "param_map int, cv_r2 double")
+
+
+@q("m6_log_target_model")
+def m6_log_target_model(spark, d):
+    from margincast.operators.models import LogTargetModel, metrics
+    f = _Fit(spark, d)
+    m = LogTargetModel(f.pipeline("gbt_a")).fit(f.train)
+    return metrics(m.transform(f.test))
+
+
+@q("m7_predict")
+def m7_predict(spark, d):
+    from margincast.operators.models import predict
+    f = _Fit(spark, d)
+    m = f.pipeline("linear").fit(f.train)
+    return predict(m, f.test).select("product_id", "Date", Q_, "prediction").transform(out)
+
+
+@q("m10_model_leaderboard")
+def m10_model_leaderboard(spark, d):
+    from margincast.operators.models import compare
+    f = _Fit(spark, d)
+    board, _ = compare({k: f.pipeline(k) for k in ("gbt_a", "rf", "linear")}, f.train, f.test)
+    return board.drop("train_time_sec")
+
+
+@q("m11_cross_validate")
+def m11_cross_validate(spark, d):
+    from margincast.operators.models import cross_validate
+    f = _Fit(spark, d)
+    return cross_validate(f.pipeline("linear"), f.train.select(*f.cols, Q_, "product_id"), k=3, n=10000, seed=42)
+
+
+@q("m12_sample_n")
+def m12_sample_n(spark, d):
+    from margincast.operators.splits import sample_n
+    return out(sample_n(cube(spark, d), 5000, seed=42, key_cols=["product_id", "Date", "seller_state_encoded"]))
+
+
+@q("m13_feature_importance")
+def m13_feature_importance(spark, d):
+    from margincast.operators.models import importance
+    f = _Fit(spark, d)
+    return importance(f.pipeline("rf").fit(f.train), f.cols, 10)
+
+
+@q("e5_assemble")
+def e5_assemble(spark, d):
+    from margincast.operators.splits import assemble
+    f = _Fit(spark, d)
+    a = assemble(f.train, f.cols)
+    from pyspark.ml.functions import vector_to_array
+    return a.select("product_id", F.size(vector_to_array("features")).alias("width"), "label")
+
+
+@q("s3_model_store")
+def s3_model_store(spark, d):
+    import uuid
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.sources.model_store import load_model, save_model
+    f = _Fit(spark, d)
+    m = f.pipeline("linear").fit(f.train)
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    save_model(m, path, spark, f.cols)
+    loaded, feats = load_model(path, spark)
+    n_feats = feats.count()
+    return (loaded.transform(f.test).select("product_id", "prediction")
+            .withColumn("n_features", F.lit(n_feats)))
+
+
+@q("p10m_profit_by_model")
+def p10m_profit_by_model(spark, d):
+    """A23 / P10 per model: grid search with each fitted demand model."""
+    from margincast.operators.dashboard import profit_total
+    from margincast.operators.pricing import ModelDemand, grid_search, score_candidates
+    pr, f = _Price(spark, d), _Fit(spark, d)
+    parts = []
+    for kind in ("gbt_a", "linear"):
+        scorer = ModelDemand(f.pipeline(kind).fit(f.train), drop=("features_raw", "features"))
+        g = grid_search(score_candidates(pr.candidates(), scorer, "b"))
+        parts.append(g.select("product_id", F.col("grid_profit").alias("max_profit"), F.lit(kind).alias("model")))
+    return profit_total(parts[0].unionByName(parts[1]))
+
+
+# =========================================================== E4 / J9: dense frame
+
+@q("e4_dense_features")
+def e4_dense_features(spark, d):
+    from margincast.operators.features import dense_features
+    return out(dense_features(cube(spark, d, family=False)))
+
+
+@q("j9_holiday_weeks", with_(*CUBE_CTES, holidays_sql("cube")) + """,
+hw AS (SELECT DISTINCT CAST(year(holiday_date) AS INTEGER) AS Year, CAST(weekofyear(holiday_date) AS INTEGER) AS Week FROM hol),
+cal AS (SELECT DISTINCT Date, CAST(year(Date) AS INTEGER) AS Year, CAST(weekofyear(Date) AS INTEGER) AS Week FROM cube)
+SELECT strftime(Date, '%Y-%m-%d') AS Date, Year, Week,
+       CAST(CASE WHEN hw.Year IS NULL THEN 0 ELSE 1 END AS INTEGER) AS IsHolidayWeek
+FROM cal LEFT JOIN hw USING (Year, Week)""")
+def j9_holiday_weeks(spark, d):
+    from margincast.operators.features import holiday_week_flag
+    cal = cube(spark, d).select("Date", F.year("Date").alias("Year"), F.weekofyear("Date").alias("Week")).distinct()
+    return out(holiday_week_flag(cal).select("Date", "Year", "Week", "IsHolidayWeek"))
