@@ -61,3 +61,27 @@ def dense_codes(values: DataFrame, col: str, out: str, partitions: int | None =
     distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
     return ordered_index(distinct, [col], out="_code", partitions=partitions).select(
         col, F.col("_code").cast("int").alias(out))
+
+
+def next_non_null(df: DataFrame, key: str, value: str, out: str,
+                  block_rows: int = 100_000, partitions: int | None = None) -> DataFrame:
+    """For a table with one row per ``key``: ``out`` = the first non-null
+    ``value`` at or after the row in key order (a global backward fill).
+
+    Rows are ranked (``ordered_index``), cut into blocks of ``block_rows``
+    consecutive ranks; inside a block a window finds the next non-null; a
+    block whose tail is still null takes the first non-null of the following
+    blocks from a per-block table (one row per block)."""
+    ranked = ordered_index(df, [key], out="_r", partitions=partitions)
+    ranked = ranked.withColumn("_blk", F.floor(F.col("_r") / F.lit(block_rows)).cast("long"))
+    w_in = Window.partitionBy("_blk").orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
+    inner = ranked.withColumn("_in", F.first(value, ignorenulls=True).over(w_in))
+    per_block = ranked.groupBy("_blk").agg(
+        F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_r"))).alias("_first"))
+    carry = per_block.select(
+        "_blk",
+        F.first("_first", ignorenulls=True).over(
+            Window.orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)).alias("_carry"))
+    return (inner.join(F.broadcast(carry), "_blk", "left")
+            .withColumn(out, F.coalesce("_in", "_carry"))
+            .drop("_r", "_blk", "_in", "_carry"))

@@ -56,9 +56,11 @@ def price_bounds(base: DataFrame, policy: str = "mean", price_col: str | None =
         return base.withColumns({"lower": c * (1 - price_range), "upper": c * (1 + price_range)})
     if policy == "mean_floor":
         c = F.col(price_col or "mean_price")
+        # greatest() skips nulls, so the missing-statistics case is tested first
         return base.withColumns({
-            "lower": F.coalesce(F.greatest(F.lit(PRICE_FLOOR), c * lo_f), F.lit(DEFAULT_BOUNDS[0])),
-            "upper": F.coalesce(c * hi_f, F.lit(DEFAULT_BOUNDS[1]))})
+            "lower": F.when(c.isNull(), F.lit(DEFAULT_BOUNDS[0]))
+                      .otherwise(F.greatest(F.lit(PRICE_FLOOR), c * lo_f)),
+            "upper": F.when(c.isNull(), F.lit(DEFAULT_BOUNDS[1])).otherwise(c * hi_f)})
     raise ValueError(policy)
 
 

@@ -54,10 +54,27 @@ def bfill(col: str, w: WindowSpec | None = None) -> Column:
 
 
 def fill_within_product(df: DataFrame, cols: list[str], order: list[str] | None = None,
-                        default: dict | None = None) -> DataFrame:
-    """W7 then W8 per product, then a literal default for what is left."""
-    w = by_product(order)
+                        default: dict | None = None, scope: str = "product",
+                        key: str = "product_id") -> DataFrame:
+    """W7 then W8, then a literal default for what is left.
+
+    ``scope="product"`` fills only from the same product.  ``scope="global"``
+    reproduces a backward fill over the whole (product, order) sequence: a
+    product with no value at all takes the first value of the next product
+    that has one (per-product first values → distributed next-non-null)."""
+    w = by_product(order, key)
     out = df.withColumns({c: F.coalesce(ffill(c, w), bfill(c, w)) for c in cols})
+    if scope == "global":
+        from margincast.operators.ordering import next_non_null
+        order = order or ORDER
+        firsts = df.groupBy(key).agg(*[
+            F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols])
+        for c in cols:
+            nxt = next_non_null(firsts.select(key, c), key, c, f"_next_{c}")
+            out = (out.join(nxt.select(key, f"_next_{c}"), key, "left")
+                   .withColumn(c, F.coalesce(c, f"_next_{c}")).drop(f"_next_{c}"))
+    elif scope != "product":
+        raise ValueError(scope)
     return out.na.fill(default) if default else out
 
 

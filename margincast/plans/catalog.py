@@ -1384,3 +1384,18 @@ def j9_holiday_weeks(spark, d):
     from margincast.operators.features import holiday_week_flag
     cal = cube(spark, d).select("Date", F.year("Date").alias("Year"), F.weekofyear("Date").alias("Week")).distinct()
     return out(holiday_week_flag(cal).select("Date", "Year", "Week", "IsHolidayWeek"))
+
+
+@q("w8g_global_bfill", with_(*CUBE_CTES) + f""",
+ff AS (SELECT *, last_value(Height_cm_Mean IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
+       FROM cube)
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       first_value(h IGNORE NULLS) OVER (ORDER BY product_id, Date, seller_state_encoded
+                                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS height_global
+FROM ff""")
+def w8g_global_bfill(spark, d):
+    from margincast.operators.windows import fill_within_product
+    cb = cube(spark, d)
+    f = fill_within_product(cb, ["Height_cm_Mean"], scope="global")
+    return out(f.select("product_id", "seller_state_encoded", "Date",
+                        F.col("Height_cm_Mean").alias("height_global")))
