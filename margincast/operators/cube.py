@@ -25,11 +25,12 @@ def exact_mean(c, scale: int = 4) -> Column:
     return F.sum(dec).cast("double") / F.nullif(F.count(col), F.lit(0))
 
 
-def encode_small(df: DataFrame, col: str, out: str) -> DataFrame:
+def encode_small(df: DataFrame, col: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """E1 for a dimension with a small, domain-bounded number of values
     (regions, categories): sorted distinct → 0-based code, broadcast back.
-    The ranking window runs over the distinct values only."""
-    codes = (df.select(col).where(F.col(col).isNotNull()).distinct()
+    The ranking window runs over the distinct values only.  ``source`` (a
+    smaller frame with the same value set) may supply the dictionary."""
+    codes = ((source if source is not None else df).select(col).where(F.col(col).isNotNull()).distinct()
              .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out)))
     return df.join(F.broadcast(codes), col, "left")
 

@@ -19,6 +19,7 @@ from margincast.operators.cube import (densify, encode_large, encode_small, fall
                                        min_volume, popular)
 from margincast.operators.sales import CATEGORY
 from margincast.operators.windows import by_product, fill_within_product, lag, rolling
+from margincast.session import reuse
 
 DIM_MEANS = ["Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean"]
 P, Q = "AverageSellingPrice", "QuantitySold"
@@ -71,20 +72,24 @@ DENSE_REQUIRED = [
 ]
 
 
-def holiday_flag(df: DataFrame, date_col: str = "Date", out: str = "IsHoliday") -> DataFrame:
-    """1 when the row's date is a holiday (broadcast: ≤ a dozen rows a year)."""
-    hol = holiday_calendar(year_range(df, date_col)).select(
+def holiday_flag(df: DataFrame, date_col: str = "Date", out: str = "IsHoliday",
+                 years: DataFrame | None = None) -> DataFrame:
+    """1 when the row's date is a holiday (broadcast: ≤ a dozen rows a year).
+    ``years`` (one int column ``year``) defaults to the span of ``df``."""
+    years = years if years is not None else year_range(df, date_col)
+    hol = holiday_calendar(years).select(
         F.col("holiday_date").alias(date_col), F.lit(1).alias(out))
     return (df.join(F.broadcast(hol), date_col, "left")
             .withColumn(out, F.coalesce(out, F.lit(0))))
 
 
-def holiday_week_flag(df: DataFrame, out: str = "IsHolidayWeek") -> DataFrame:
+def holiday_week_flag(df: DataFrame, out: str = "IsHolidayWeek",
+                      years: DataFrame | None = None) -> DataFrame:
     """1 when any holiday shares the row's (calendar Year, ISO Week).
 
     Calendar year with ISO week is the literal key (2018-12-31 is (2018, 1)
     and so collides with January of 2018)."""
-    hol = holiday_calendar(year_range(df, "Date"))
+    hol = holiday_calendar(years if years is not None else year_range(df, "Date"))
     weeks = (hol.select(F.year("holiday_date").alias("Year"),
                         F.weekofyear("holiday_date").alias("Week"))
              .distinct().withColumn(out, F.lit(1)))
@@ -100,17 +105,25 @@ def encode_all(df: DataFrame, product: bool = True) -> DataFrame:
     return out
 
 
-def batch_features(cube: DataFrame, min_units: int = 1, exact_median: bool = False) -> DataFrame:
-    """The batch feature frame (every column of the 22-feature list)."""
+def batch_features(cube: DataFrame, min_units: int = 1, exact_median: bool = False,
+                   fill_scope: str = "product") -> DataFrame:
+    """The batch feature frame (every column of the 22-feature list).
+
+    One window pass fills price and dimensions (forward then backward within
+    the product; ``fill_scope="global"`` for the whole-sequence backward
+    fill); the filled frame is kept for reuse so the median fallback, the
+    dictionaries and the lag/roll windows all read it once, on its product
+    partitioning."""
     df = popular(cube, min_units)
-    df = fill_within_product(df, [P])
+    df = fill_within_product(df, [P] + DIM_MEANS, default={c: 0.0 for c in DIM_MEANS},
+                             scope=fill_scope)
+    df = reuse(df)
     med = fallback_value(df, P, "median", exact=exact_median)
     df = df.withColumn(P, F.coalesce(P, F.lit(med)))
-    df = fill_within_product(df, DIM_MEANS, default={c: 0.0 for c in DIM_MEANS})
     df = encode_all(df)
     cal = calendar_columns("Date")
     df = df.withColumns({k: cal[k] for k in ("Year", "Month", "Week", "Quarter", "IsWeekend")})
-    df = holiday_flag(df)
+    df = holiday_flag(df, years=year_range(cube))
     w = by_product()
     df = df.withColumns({
         f"{P}_Lag_1": lag(P, 1, w), f"{P}_Lag_4": lag(P, 4, w),
@@ -148,19 +161,21 @@ def service_features(cube: DataFrame, min_units: int = 10) -> DataFrame:
 def dense_features(cube: DataFrame, drop_filled: bool = False, min_total: float = 5) -> DataFrame:
     """The dense frame: grid, fills, calendar, holiday week, cyclical,
     lags 1–4/8/52, shifted rolling mean/std/max, discount and interaction
-    features, 22-column null drop, low-volume filter (A20)."""
+    features, 22-column null drop, low-volume filter (A20).
+
+    Fills run in one window pass over the grid and the filled grid is kept
+    for reuse (the global mean fallback is an action over it); dictionaries
+    and holiday years come from the much smaller cube."""
     df = densify(cube, drop_filled=drop_filled)
     order = ["Date", "seller_state_encoded"]
-    df = fill_within_product(df, [P], order)
+    df = reuse(fill_within_product(df, [P] + DIM_MEANS, order, default={c: 0.0 for c in DIM_MEANS}))
     mean_price = fallback_value(df, P, "mean")
     df = df.withColumn(P, F.coalesce(P, F.lit(mean_price)))
-    df = fill_within_product(df, DIM_MEANS, order, default={c: 0.0 for c in DIM_MEANS})
-    df = encode_small(df, CATEGORY, "category_encoded")
+    df = encode_small(df, CATEGORY, "category_encoded", source=cube)
     cal = calendar_columns("Date")
     df = df.withColumns(cal)
-    df = holiday_week_flag(df)
+    df = holiday_week_flag(df, years=year_range(cube))
     ms, mc = cyclical("Month", 12)
-    ws, wc = cyclical("Week", 52)
     df = df.withColumns({"Month_Sin": ms, "Month_Cos": mc,
                          "Week": F.col("Week").cast("double")})
     df = df.withColumns({"Week_Sin": cyclical("Week", 52)[0], "Week_Cos": cyclical("Week", 52)[1]})

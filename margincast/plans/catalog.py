@@ -843,7 +843,9 @@ class _Price:
     def __init__(self, spark, d):
         from margincast.operators.pricing import LinearDemand, base_rows, ranked_targets
         from margincast.operators.splits import row_split
-        feats = row_split(batch_frame(spark, d), 0.8)
+        from margincast.session import reuse
+        # every branch below (bases, ranks, stats, demand fit, candidates) reads this frame
+        feats = reuse(row_split(batch_frame(spark, d), 0.8))
         self.train = feats.where("is_train").drop("is_train")
         self.base = base_rows(self.train)
         self.targets = ranked_targets(self.train, n=None)
@@ -1368,10 +1370,82 @@ def p10m_profit_by_model(spark, d):
 
 # =========================================================== E4 / J9: dense frame
 
-@q("e4_dense_features")
+_DW = "PARTITION BY product_id ORDER BY Date, seller_state_encoded"
+_DENSE_REQUIRED = ["Qty_Lag_1", "Price_Lag_1", "Qty_Roll_Mean_4", "Price_Roll_Mean_4", "Qty_Lag_2", "Qty_Lag_52",
+                   "Qty_Roll_Std_4", "Qty_Roll_Mean_12", "Qty_Lag_3", "Qty_Lag_4", "Qty_Lag_8", "Price_Lag_2",
+                   "Qty_Roll_Mean_8", "Qty_Roll_Std_8", "Qty_Roll_Max_8", "Price_Roll_Mean_8", "Qty_Roll_Max_4",
+                   "Qty_Roll_Max_12", "Discount_Pct_Approx", "Cat_x_Weekend", "PriceLag1_x_MonthSin",
+                   "QtyLag1_x_SellerState"]
+_DENSE_ROUND = ["Month_Sin", "Month_Cos", "Week_Sin", "Week_Cos", "Qty_Roll_Mean_4", "Price_Roll_Mean_4",
+                "Qty_Roll_Std_4", "Qty_Roll_Mean_12", "Qty_Roll_Mean_8", "Qty_Roll_Std_8", "Price_Roll_Mean_8",
+                "Discount_Pct_Approx", "PriceLag1_x_MonthSin"]
+
+
+def _prev(fn: str, c: str, n: int) -> str:
+    return f"{fn}({c}) OVER ({_DW} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+def _dfill(c: str, default: str | None = None) -> str:
+    tail = f", {default}" if default else ""
+    return (f"coalesce(last_value({c} IGNORE NULLS) OVER ({_DW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+            f"first_value({c} IGNORE NULLS) OVER ({_DW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING){tail})")
+
+
+_DENSE_FEATURES_SQL = with_(*ALL_CUBE_CTES) + _DENSE_SQL + f""",
+dfill0 AS (SELECT product_id, product_category_name_english, seller_state_encoded, Date, QuantitySold,
+                  {_dfill(P_)} AS {P_}, {", ".join(f"{_dfill(c, '0.0')} AS {c}" for c in _DIMS)} FROM dense),
+dfill AS (SELECT * REPLACE (coalesce({P_}, (SELECT avg({P_}) FROM dfill0)) AS {P_}) FROM dfill0),
+dcats AS (SELECT c AS product_category_name_english,
+                 CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS category_encoded
+          FROM (SELECT DISTINCT product_category_name_english AS c FROM cube_all)),
+{holidays_sql('cube_all', 'dhol').strip()},
+dhw AS (SELECT DISTINCT CAST(year(holiday_date) AS INTEGER) AS hy, CAST(weekofyear(holiday_date) AS INTEGER) AS hw
+        FROM dhol),
+dcal AS (SELECT f.*, category_encoded, CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month,
+                CAST(weekofyear(Date) AS INTEGER) AS Week, CAST(quarter(Date) AS INTEGER) AS Quarter,
+                CAST(isodow(Date) - 1 AS INTEGER) AS DayOfWeek,
+                CAST(CASE WHEN isodow(Date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS INTEGER) AS IsWeekend
+         FROM dfill f JOIN dcats USING (product_category_name_english)),
+dhf AS (SELECT c.*, CAST(CASE WHEN h.hy IS NULL THEN 0 ELSE 1 END AS INTEGER) AS IsHolidayWeek
+        FROM dcal c LEFT JOIN dhw h ON c.Year = h.hy AND c.Week = h.hw),
+dfe AS (SELECT * REPLACE (CAST(Week AS DOUBLE) AS Week),
+               sin(2 * pi() * Month / 12) AS Month_Sin, cos(2 * pi() * Month / 12) AS Month_Cos,
+               sin(2 * pi() * CAST(Week AS DOUBLE) / 52) AS Week_Sin, cos(2 * pi() * CAST(Week AS DOUBLE) / 52) AS Week_Cos,
+               {", ".join(f"lag({Q_}, {k}) OVER ({_DW}) AS Qty_Lag_{k}" for k in (1, 2, 3, 4, 8, 52))},
+               lag({P_}, 1) OVER ({_DW}) AS Price_Lag_1, lag({P_}, 2) OVER ({_DW}) AS Price_Lag_2,
+               {_prev('avg', Q_, 4)} AS Qty_Roll_Mean_4, {_prev('avg', P_, 4)} AS Price_Roll_Mean_4,
+               {_prev('stddev_samp', Q_, 4)} AS Qty_Roll_Std_4, {_prev('avg', Q_, 12)} AS Qty_Roll_Mean_12,
+               {_prev('avg', Q_, 8)} AS Qty_Roll_Mean_8, {_prev('stddev_samp', Q_, 8)} AS Qty_Roll_Std_8,
+               {_prev('max', Q_, 8)} AS Qty_Roll_Max_8, {_prev('avg', P_, 8)} AS Price_Roll_Mean_8,
+               {_prev('max', Q_, 4)} AS Qty_Roll_Max_4, {_prev('max', Q_, 12)} AS Qty_Roll_Max_12
+        FROM dhf),
+dfe2 AS (SELECT *, {P_} - Price_Lag_1 AS Price_Diff_Lag_1,
+                (Price_Roll_Mean_4 - {P_}) / (Price_Roll_Mean_4 + 1e-6) AS Discount_Pct_Approx FROM dfe),
+dfe3 AS (SELECT *, CAST(CASE WHEN Discount_Pct_Approx > 0.05 THEN 1 ELSE 0 END AS INTEGER) AS Is_Discounted_Approx,
+                category_encoded * IsWeekend AS Cat_x_Weekend,
+                coalesce(Price_Lag_1, 0.0) * Month_Sin AS PriceLag1_x_MonthSin,
+                coalesce(Qty_Lag_1, 0) * seller_state_encoded AS QtyLag1_x_SellerState FROM dfe2),
+dreq AS (SELECT * FROM dfe3 WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _DENSE_REQUIRED)}),
+dense_final AS (SELECT * FROM (SELECT *, sum({Q_}) OVER (PARTITION BY product_id) AS _tot FROM dreq) WHERE _tot > 5)"""
+
+
+@q("e4_dense_features", _DENSE_FEATURES_SQL + f"""
+SELECT * EXCLUDE (_tot) REPLACE (strftime(Date, '%Y-%m-%d') AS Date,
+       {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _DENSE_ROUND)}) FROM dense_final""")
 def e4_dense_features(spark, d):
     from margincast.operators.features import dense_features
-    return out(dense_features(cube(spark, d, family=False)))
+    df = dense_features(cube(spark, d, family=False))
+    return out(df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in _DENSE_ROUND}))
+
+
+@q("f9_dense_required", _DENSE_FEATURES_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT product_id) AS BIGINT) AS products,
+       CAST(sum(CASE WHEN seller_state_encoded = -1 THEN 1 ELSE 0 END) AS BIGINT) AS zero_weeks FROM dense_final""")
+def f9_dense_required(spark, d):
+    from margincast.operators.features import dense_features
+    df = dense_features(cube(spark, d, family=False))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("product_id").alias("products"),
+                  F.sum((F.col("seller_state_encoded") == -1).cast("long")).alias("zero_weeks"))
 
 
 @q("j9_holiday_weeks", with_(*CUBE_CTES, holidays_sql("cube")) + """,

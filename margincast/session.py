@@ -59,3 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="margincast-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def reuse(df):
+    """Keep a frame that several branches (actions, dictionaries, windows)
+    read, so it is computed once.  Spills to disk rather than failing, keeps
+    its partitioning (later per-product windows and aggregates do not
+    re-shuffle), and is rebuilt from lineage if an executor is lost."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
