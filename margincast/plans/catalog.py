@@ -1473,3 +1473,81 @@ def w8g_global_bfill(spark, d):
     f = fill_within_product(cb, ["Height_cm_Mean"], scope="global")
     return out(f.select("product_id", "seller_state_encoded", "Date",
                         F.col("Height_cm_Mean").alias("height_global")))
+
+
+# =========================================================== T1 / F12 / service-style price report
+
+@q("t1_total_order", with_(*CUBE_CTES) + """
+SELECT product_id, strftime(Date, '%Y-%m-%d') AS Date, seller_state_encoded,
+       CAST(row_number() OVER (PARTITION BY product_id ORDER BY Date, seller_state_encoded) AS INTEGER) AS seq
+FROM cube""")
+def t1_total_order(spark, d):
+    from margincast.operators.windows import by_product
+    cb = cube(spark, d)
+    return out(cb.select("product_id", "Date", "seller_state_encoded",
+                         F.row_number().over(by_product()).alias("seq")))
+
+
+@q("f12_last_train_week", with_(*CUBE_CTES) + """,
+dates AS (SELECT Date, row_number() OVER (ORDER BY Date) AS rn, count(*) OVER () AS n
+          FROM (SELECT DISTINCT Date FROM cube)),
+split AS (SELECT Date AS split_date FROM dates WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1),
+train AS (SELECT * FROM cube WHERE Date < (SELECT split_date FROM split))
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold
+FROM train WHERE Date = (SELECT max(Date) FROM train)""")
+def f12_last_train_week(spark, d):
+    from margincast.operators.splits import date_split
+    train = date_split(cube(spark, d), 0.8).where("is_train").drop("is_train")
+    last = train.agg(F.max("Date").alias("m")).first()["m"]
+    return out(train.where(F.col("Date") == F.lit(last))
+               .select("product_id", "seller_state_encoded", "Date", "QuantitySold"))
+
+
+_SERVICE_PRICE_SQL = _SERVICE_SQL + f""",
+spos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_encoded) - 1 AS p,
+                count(*) OVER () AS n FROM service),
+strain AS (SELECT * FROM spos WHERE p < CAST(floor(n * 0.8) AS BIGINT)),
+slatest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+                           ORDER BY Date DESC, seller_state_encoded DESC) AS rn FROM service) WHERE rn = 1),
+scoef AS (SELECT product_id, regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS b,
+                 regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS a, avg(CAST({Q_} AS DOUBLE)) AS mu
+          FROM strain GROUP BY 1),
+smodel AS (SELECT product_id, coalesce(b, 0.0) AS sl, CASE WHEN b IS NULL THEN mu ELSE a END AS ic FROM scoef),
+scand AS (SELECT product_id, CAST(k AS INTEGER) AS k, {P_} AS cur, {Q_} AS cur_units,
+                 CASE WHEN k = 19 THEN {P_} * 1.3
+                      ELSE CAST(k AS DOUBLE) * (({P_} * 1.3 - {P_} * (1 - 0.3)) / 19.0) + {P_} * (1 - 0.3) END AS price
+          FROM slatest, range(20) t(k)),
+sprof AS (SELECT c.*, greatest(0.0, round_even(coalesce(ic + sl * price, 0.0), 0)) AS demand FROM scand c
+          LEFT JOIN smodel USING (product_id)),
+sbest AS (SELECT * FROM (SELECT *, (price - 10.0) * demand AS profit,
+                 row_number() OVER (PARTITION BY product_id ORDER BY (price - 10.0) * demand DESC, price) AS r
+                 FROM sprof) WHERE r = 1)"""
+
+
+@q("p1s_service_price_search", _SERVICE_PRICE_SQL + f"""
+SELECT product_id, {rm('cur')} AS current_price_brl, {rm('price')} AS optimal_price_brl,
+       CAST(demand AS BIGINT) AS expected_demand, {rm('profit')} AS expected_profit_brl,
+       {rm('(price / (cur + 1e-6) - 1) * 100', 1)} AS price_change_pct FROM sbest""")
+def p1s_service_price_search(spark, d):
+    """The service flow for every product at once: latest row of the
+    service frame, bounds = current price × [0.7, 1.3], default unit cost,
+    linear demand fitted on the positional train split, grid argmax."""
+    from margincast.functions.scalars import pct_change, round_half_up
+    from margincast.operators.pricing import (DEFAULT_COST, LinearDemand, grid_search, price_bounds,
+                                              price_candidates, score_candidates)
+    from margincast.operators.splits import row_split
+    from margincast.operators.windows import latest_rows
+    from margincast.session import reuse
+    sf = reuse(service_frame(spark, d))
+    train = row_split(sf, 0.8).where("is_train")
+    base = latest_rows(sf).withColumns({"current_price": F.col(P_), "current_units": F.col(Q_),
+                                        "cost": F.lit(DEFAULT_COST)})
+    cand = price_candidates(price_bounds(base, "current", price_range=0.3), 20)
+    scorer = LinearDemand(train)
+    best = grid_search(score_candidates(cand, lambda df: scorer(df).na.fill({"prediction": 0.0}), "a"))
+    j = base.select("product_id", "current_price").join(best, "product_id")
+    return j.select("product_id", round_half_up("current_price").alias("current_price_brl"),
+                    round_half_up("grid_price").alias("optimal_price_brl"),
+                    F.col("grid_demand").cast("long").alias("expected_demand"),
+                    round_half_up("grid_profit").alias("expected_profit_brl"),
+                    round_half_up(pct_change("grid_price", "current_price"), 1).alias("price_change_pct"))
