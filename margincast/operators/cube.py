@@ -163,16 +163,41 @@ def product_week_grid(cube: DataFrame) -> DataFrame:
 
 
 def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
-    """Left-join the grid to the cube on (product, week).
-
-    Weeks without sales get QuantitySold 0 and region code -1 (``drop_filled``
-    reproduces the variant that later loses them to a null drop).  A week with
-    several regions keeps several rows."""
-    grid = product_week_grid(cube)
-    facts = cube.drop(CATEGORY)
-    out = grid.join(facts, ["product_id", "Date"], "left")
-    out = out.withColumn("QuantitySold", F.coalesce("QuantitySold", F.lit(0)).cast("long"))
-    if not drop_filled:
-        out = out.withColumn("seller_state_encoded",
-                             F.coalesce("seller_state_encoded", F.lit(-1)).cast("int"))
-    return out.select(*CUBE_KEYS, *MEASURES)
+    """J7 (+J6, J8): every product over every week from the global first to
+    last week; weeks without sales get QuantitySold 0, null measures and
+    region code -1 (``drop_filled`` leaves the code null, the variant that
+    later loses those rows to a null drop).  A week with several regions
+    keeps several rows.
+
+    No grid join: within each product (ordered by week, region) every cube
+    row emits itself plus the empty weeks up to the product's next sale (the
+    first row also emits the weeks since the global start, the last row those
+    up to the global end).  One window on the product partitioning and a
+    generator — the fill, lag and rolling windows that follow reuse the same
+    partitioning, so the products × weeks frame is never shuffled."""
+    span = cube.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
+    lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
+    w = Window.partitionBy("product_id").orderBy("Date", "seller_state_encoded")
+    nxt, prv = F.lead("Date").over(w), F.lag("Date").over(w)
+    step = F.expr("INTERVAL 7 DAYS")
+    none = F.array().cast("array<date>")
+    after = F.date_add("Date", 7)
+    trailing = (F.when(nxt.isNull() & (after <= hi), F.sequence(after, hi, step))
+                .when(nxt.isNotNull() & (after <= F.date_sub(nxt, 7)), F.sequence(after, F.date_sub(nxt, 7), step))
+                .otherwise(none))
+    before = F.date_sub("Date", 7)
+    leading = F.when(prv.isNull() & (lo <= before), F.sequence(lo, before, step)).otherwise(none)
+    code = F.lit(None).cast("int") if drop_filled else F.lit(-1)
+    nulls = [F.lit(None).cast("double").alias(m) for m in MEASURES[1:]]
+
+    def empty(d):
+        return F.struct(code.alias("seller_state_encoded"), d.alias("Date"),
+                        F.lit(0).cast("long").alias("QuantitySold"), *nulls)
+
+    real = F.struct(F.col("seller_state_encoded"), F.col("Date"),
+                    F.col("QuantitySold").cast("long").alias("QuantitySold"),
+                    *[F.col(m) for m in MEASURES[1:]])
+    gaps = cube.withColumns({"_lead": leading, "_trail": trailing})      # window pass
+    rows = F.concat(F.transform("_lead", empty), F.array(real), F.transform("_trail", empty))
+    out = gaps.select("product_id", CATEGORY, F.explode(rows).alias("_r"))  # generator pass
+    return out.select("product_id", CATEGORY, "_r.*").select(*CUBE_KEYS, *MEASURES)
