@@ -48,6 +48,7 @@ def main() -> None:
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             ts.append(time.perf_counter() - t0)
+            spark.catalog.clearCache()      # queries are independent: drop frames kept for reuse
         times[label] = round(statistics.median(ts), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_median_sec", "value": round(sum(times.values()), 3),

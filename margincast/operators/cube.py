@@ -197,7 +197,11 @@ def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
     real = F.struct(F.col("seller_state_encoded"), F.col("Date"),
                     F.col("QuantitySold").cast("long").alias("QuantitySold"),
                     *[F.col(m) for m in MEASURES[1:]])
-    gaps = cube.withColumns({"_lead": leading, "_trail": trailing})      # window pass
+    # the generator multiplies rows (weeks per sale), so the partition count is
+    # fixed here from the session setting instead of being coalesced from the
+    # (small) cube size
+    n = int(cube.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gaps = cube.repartition(n, "product_id").withColumns({"_lead": leading, "_trail": trailing})
     rows = F.concat(F.transform("_lead", empty), F.array(real), F.transform("_trail", empty))
     out = gaps.select("product_id", CATEGORY, F.explode(rows).alias("_r"))  # generator pass
     return out.select("product_id", CATEGORY, "_r.*").select(*CUBE_KEYS, *MEASURES)

@@ -197,7 +197,7 @@ def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: in
     normal = F.sqrt(-2.0 * F.log(1.0 - g1)) * F.cos(2 * math.pi * g2)
     # each product row expands into its own particles (a generator, no join)
     state = (base.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
-             .repartition(key)
+             .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
              .withColumns({"pos": F.col("lower") + u0 * span,
                            "vel": normal * SWARM_VEL_SD,
                            "pbest_pos": F.lit(None).cast("double"),
@@ -328,3 +328,12 @@ def ranked_targets(train: DataFrame, n: int | None = 10, key: str = "product_id"
         ranked = ranked.withColumn("rank", F.col("rank") + 1).drop("_neg")
     from margincast.operators.joins import with_cost
     return with_cost(ranked, PRODUCT_COSTS, DEFAULT_COST)
+
+
+def product_costs(train: DataFrame, key: str = "product_id") -> DataFrame:
+    """J12 for pricing: unit cost of every product — the listed costs for the
+    top sales ranks, the default for the rest.  Only the top len(list)
+    products need a rank, so this is a distributed top-k, not a full sort."""
+    top = ranked_targets(train, len(PRODUCT_COSTS), key).select(key, F.col("cost").alias("_c"))
+    return (train.select(key).distinct().join(F.broadcast(top), key, "left")   # ≤ 10 rows broadcast
+            .select(key, F.coalesce("_c", F.lit(DEFAULT_COST)).alias("cost")))

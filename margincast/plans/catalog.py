@@ -841,14 +841,15 @@ class _Price:
     """The price-search inputs of the batch run, built once per query."""
 
     def __init__(self, spark, d):
-        from margincast.operators.pricing import LinearDemand, base_rows, ranked_targets
+        from margincast.operators.pricing import LinearDemand, base_rows, product_costs, ranked_targets
         from margincast.operators.splits import row_split
         from margincast.session import reuse
         # every branch below (bases, ranks, stats, demand fit, candidates) reads this frame
         feats = reuse(row_split(batch_frame(spark, d), 0.8))
         self.train = feats.where("is_train").drop("is_train")
         self.base = base_rows(self.train)
-        self.targets = ranked_targets(self.train, n=None)
+        self.costs = product_costs(self.train)
+        self._ranked = lambda: ranked_targets(self.train, n=None)
         self.stats = C.price_stats(self.train).select("product_id", "mean_price")
         self.demand = LinearDemand(self.train)
 
@@ -858,7 +859,7 @@ class _Price:
 
     def candidates(self, n=20):
         from margincast.operators.pricing import price_candidates
-        b = self.base.join(self.targets.select("product_id", "cost"), "product_id")
+        b = self.base.join(self.costs, "product_id")
         return price_candidates(self.bounds().join(b, "product_id"), n)
 
     def profits(self, variant="b"):
@@ -880,7 +881,7 @@ def j11_base_rows(spark, d):
 @q("j12_cost_by_rank", _PRICE_SQL + """
 SELECT product_id, total_units, CAST(rank AS INTEGER) AS rank, cost FROM costed""")
 def j12_cost_by_rank(spark, d):
-    return _Price(spark, d).targets.withColumn("rank", F.col("rank").cast("int"))
+    return _Price(spark, d)._ranked().withColumn("rank", F.col("rank").cast("int"))
 
 
 @q("a21_target_info", _PRICE_SQL + f""",
@@ -890,7 +891,8 @@ SELECT product_id, round(avg({P_}), 6) AS avg_price, CAST(sum({Q_}) AS BIGINT) A
 FROM train WHERE product_id IN (SELECT product_id FROM top) GROUP BY 1""")
 def a21_target_info(spark, d):
     pr = _Price(spark, d)
-    return D.target_info(pr.train, pr.targets.where(F.col("rank") <= 10)).withColumns(r6("avg_price"))
+    from margincast.operators.pricing import ranked_targets
+    return D.target_info(pr.train, ranked_targets(pr.train, 10)).withColumns(r6("avg_price"))
 
 
 _MEAN_COLS = ["AverageSellingPrice", "Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean",
@@ -983,7 +985,7 @@ FROM rep"""
 def p8_optimization_report(spark, d):
     from margincast.operators.pricing import optimization_report
     pr = _Price(spark, d)
-    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id")
+    base = pr.base.join(pr.costs, "product_id")
     return optimization_report(base, _grid_best(pr))
 
 
@@ -1023,7 +1025,7 @@ def p11_monotone_demand(spark, d):
 def p6_swarm_search(spark, d):
     from margincast.operators.pricing import swarm_search
     pr = _Price(spark, d)
-    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id").join(pr.bounds(), "product_id")
+    base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id")
     return swarm_search(base, pr.demand, particles=10, iters=30, seed=42, variant="b")
 
 
@@ -1031,7 +1033,7 @@ def p6_swarm_search(spark, d):
 def p7_best_of(spark, d):
     from margincast.operators.pricing import best_of, swarm_search
     pr = _Price(spark, d)
-    base = pr.base.join(pr.targets.select("product_id", "cost"), "product_id").join(pr.bounds(), "product_id")
+    base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id")
     sw = swarm_search(base, pr.demand, particles=10, iters=30, seed=42, variant="b")
     return best_of(pr.grid(), sw).select("product_id", "grid_price", "grid_profit", "swarm_price",
                                          "swarm_profit", "optimal_price", "max_profit", "method")
