@@ -62,6 +62,12 @@ def products_with_category(products: DataFrame, translation: DataFrame,
     """J2 + J3 + F3 on the product dimension *before* it meets the order
     lines, so the family filter shrinks the dimension, not the fact table."""
     t = broadcast_if_small(translation.select("product_category_name", CATEGORY), 100_000)
+    if prefix:
+        # resolve the family to source category names on the small translation
+        # table (checked above) so the products scan gets a pushable IN filter
+        names = [r[0] for r in category_family(t, prefix).select("product_category_name")
+                 .where(F.col("product_category_name").isNotNull()).distinct().collect()]
+        products = products.where(F.col("product_category_name").isin(names))
     dim = products.join(t, "product_category_name", "left")
     return category_family(dim, prefix) if prefix else dim
 

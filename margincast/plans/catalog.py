@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from margincast.sources.driver_tables import DELIVERED
 from margincast.plans.common import (ALL_CUBE_CTES, CUBE_CTES, SRC, WEEK_SQL, cube, holidays_sql,
                                      lines, lines_sql, out, r6, rm, sources, with_)
 from margincast.operators import cube as C
@@ -78,17 +79,17 @@ def s4_write_result(spark, d):
 
 @q("f1_delivered", with_(SRC) + """
 SELECT order_id, strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp
-FROM src_orders WHERE order_status = 'delivered'""")
+FROM src_orders WHERE order_status = 'F'""")
 def f1_delivered(spark, d):
-    return out(S.delivered(sources(spark, d)["orders"]).select("order_id", "order_purchase_timestamp"))
+    return out(S.delivered(sources(spark, d)["orders"], DELIVERED).select("order_id", "order_purchase_timestamp"))
 
 
 @q("f2_purchase_ts", with_(SRC) + """
 SELECT order_id, strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp,
        CAST(month(order_purchase_timestamp) AS INTEGER) AS month
-FROM src_orders WHERE order_status = 'delivered'""")
+FROM src_orders WHERE order_status = 'F'""")
 def f2_purchase_ts(spark, d):
-    o = S.delivered(sources(spark, d)["orders"])
+    o = S.delivered(sources(spark, d)["orders"], DELIVERED)
     text = o.select("order_id", F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")
                     .alias("order_purchase_timestamp"))
     parsed = S.with_purchase_ts(text)          # string → timestamp_ntz (ANSI: malformed raises)
@@ -159,10 +160,10 @@ def f15_nonempty_guard(spark, d):
 
 @q("j1_orders_items", with_(SRC) + """
 SELECT i.order_id, i.product_id, i.seller_id, CAST(i.price AS DOUBLE) AS price
-FROM src_items i JOIN src_orders o ON i.order_id = o.order_id WHERE o.order_status = 'delivered'""")
+FROM src_items i JOIN src_orders o ON i.order_id = o.order_id WHERE o.order_status = 'F'""")
 def j1_orders_items(spark, d):
     src = sources(spark, d)
-    o = S.delivered(src["orders"]).select("order_id")
+    o = S.delivered(src["orders"], DELIVERED).select("order_id")
     return (src["order_items"].join(o, "order_id")
             .select("order_id", "product_id", "seller_id", F.col("price").cast("double")))
 
@@ -414,7 +415,7 @@ def a14_category_counts(spark, d):
 
 
 @q("a15_stage_counts", with_(*CUBE_CTES) + """
-SELECT 0 AS step, 'delivered_orders' AS stage, CAST(count(*) AS BIGINT) AS rows FROM src_orders WHERE order_status = 'delivered'
+SELECT 0 AS step, 'delivered_orders' AS stage, CAST(count(*) AS BIGINT) AS rows FROM src_orders WHERE order_status = 'F'
 UNION ALL SELECT 1, 'family_lines', count(*) FROM lines
 UNION ALL SELECT 2, 'weekly_cube', count(*) FROM cube
 UNION ALL SELECT 3, 'popular_cube', count(*) FROM cube
@@ -423,7 +424,7 @@ def a15_stage_counts(spark, d):
     src = sources(spark, d)
     ln = lines(spark, d)
     cb = cube(spark, d)
-    return C.stage_counts({"delivered_orders": S.delivered(src["orders"]), "family_lines": ln,
+    return C.stage_counts({"delivered_orders": S.delivered(src["orders"], DELIVERED), "family_lines": ln,
                            "weekly_cube": cb, "popular_cube": C.popular(cb, 10)})
 
 
@@ -496,10 +497,10 @@ def t5_tail_rows(spark, d):
 SELECT strftime({WEEK_SQL.format(c='order_purchase_timestamp')}, '%Y-%m-%d') AS week,
        CAST(count(*) AS BIGINT) AS orders,
        CAST(count(DISTINCT dayofweek(order_purchase_timestamp)) AS BIGINT) AS weekdays
-FROM src_orders WHERE order_status = 'delivered' GROUP BY 1""")
+FROM src_orders WHERE order_status = 'F' GROUP BY 1""")
 def h1_week_label(spark, d):
     from margincast.functions.dates import week_label
-    o = S.delivered(sources(spark, d)["orders"])
+    o = S.delivered(sources(spark, d)["orders"], DELIVERED)
     return out(o.groupBy(week_label("order_purchase_timestamp").alias("week")).agg(
         F.count(F.lit(1)).alias("orders"),
         F.countDistinct(F.dayofweek("order_purchase_timestamp")).alias("weekdays")))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from margincast.functions.holidays import BASE_HOLIDAYS
 from margincast.operators.cube import weekly_cube
 from margincast.operators.sales import sales_lines
-from margincast.sources.driver_tables import ORACLE_SOURCES_SQL, load_driver_sources
+from margincast.sources.driver_tables import DELIVERED, ORACLE_SOURCES_SQL, load_driver_sources
 
 
 # ----------------------------------------------------------------- Spark side
@@ -19,7 +19,7 @@ def sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def lines(spark: SparkSession, d: str, family: bool = True) -> DataFrame:
-    return sales_lines(sources(spark, d), prefix="fashion_" if family else None)
+    return sales_lines(sources(spark, d), status=DELIVERED, prefix="fashion_" if family else None)
 
 
 def cube(spark: SparkSession, d: str, family: bool = True) -> DataFrame:
@@ -71,7 +71,7 @@ def lines_sql(name: str = "lines", family: bool = True) -> str:
   JOIN {name}_products p ON i.product_id = p.product_id
   JOIN src_orders o ON i.order_id = o.order_id
   LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
-  WHERE o.order_status = 'delivered' AND p.product_category_name_english IS NOT NULL)"""
+  WHERE o.order_status = 'F' AND p.product_category_name_english IS NOT NULL)"""
 
 
 def _mean(c: str, scale: int = 4) -> str:
