@@ -74,14 +74,17 @@ def next_non_null(df: DataFrame, key: str, value: str, out: str,
     blocks from a per-block table (one row per block)."""
     ranked = ordered_index(df, [key], out="_r", partitions=partitions)
     ranked = ranked.withColumn("_blk", F.floor(F.col("_r") / F.lit(block_rows)).cast("long"))
-    w_in = Window.partitionBy("_blk").orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
-    inner = ranked.withColumn("_in", F.first(value, ignorenulls=True).over(w_in))
+    # next non-null = running last non-null over the reversed order (an
+    # incremental frame; a current..unbounded-following frame is quadratic)
+    w_in = Window.partitionBy("_blk").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inner = ranked.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
     per_block = ranked.groupBy("_blk").agg(
         F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_r"))).alias("_first"))
+    # one row per block: the first non-null of the blocks after each block
     carry = per_block.select(
         "_blk",
-        F.first("_first", ignorenulls=True).over(
-            Window.orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)).alias("_carry"))
+        F.last("_first", ignorenulls=True).over(
+            Window.orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     return (inner.join(F.broadcast(carry), "_blk", "left")
             .withColumn(out, F.coalesce("_in", "_carry"))
             .drop("_r", "_blk", "_in", "_carry"))

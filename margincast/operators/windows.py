@@ -47,10 +47,18 @@ def ffill(col: str, w: WindowSpec | None = None) -> Column:
         (w or by_product()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def bfill(col: str, w: WindowSpec | None = None) -> Column:
-    """W8 (product scope): first non-null value at or after the row."""
-    return F.first(col, ignorenulls=True).over(
-        (w or by_product()).rowsBetween(0, Window.unboundedFollowing))
+def bfill(col: str, w: WindowSpec | None = None, order: list[str] | None = None,
+          key: str = "product_id") -> Column:
+    """W8 (product scope): first non-null value at or after the row.
+
+    Evaluated as a forward fill over the reversed order: a running frame
+    (unbounded preceding .. current) is updated incrementally, whereas a
+    (current .. unbounded following) frame is re-aggregated for every row,
+    quadratic in the rows per product.  ``w`` is accepted for compatibility;
+    the reversed spec is built from ``order``."""
+    order = order or ORDER
+    rev = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    return F.last(col, ignorenulls=True).over(rev.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def fill_within_product(df: DataFrame, cols: list[str], order: list[str] | None = None,
@@ -63,7 +71,7 @@ def fill_within_product(df: DataFrame, cols: list[str], order: list[str] | None
     product with no value at all takes the first value of the next product
     that has one (per-product first values → distributed next-non-null)."""
     w = by_product(order, key)
-    out = df.withColumns({c: F.coalesce(ffill(c, w), bfill(c, w)) for c in cols})
+    out = df.withColumns({c: F.coalesce(ffill(c, w), bfill(c, order=order, key=key)) for c in cols})
     if scope == "global":
         from margincast.operators.ordering import next_non_null
         order = order or ORDER
