@@ -54,6 +54,9 @@ def weekly_cube(lines: DataFrame, materialize: bool = True) -> DataFrame:
     checkpoint folder, so the dictionary branch and the main branch do not
     both re-run the joins (and lineage is cut for executor loss).
     """
+    # a line without a timestamp has no week: the grouping drops it (as a
+    # null grouping key is dropped by the weekly resampling being rebuilt)
+    lines = lines.where(F.col("order_purchase_timestamp").isNotNull())
     raw = (lines.groupBy("product_id", CATEGORY, "seller_state",
                          week_label("order_purchase_timestamp").alias("Date"))
            .agg(F.count(F.lit(1)).alias("QuantitySold"),
@@ -162,6 +165,19 @@ def product_week_grid(cube: DataFrame) -> DataFrame:
                         F.explode(week_spine_bounds(F.lit(span["lo"]), F.lit(span["hi"]))).alias("Date"))
 
 
+def collapse_regions(cube: DataFrame) -> DataFrame:
+    """Q24 option: one row per (product, week) — units summed over regions,
+    price the unit-weighted mean (the mean over that week's lines), product
+    measures carried (constant per product); region code −1 (all regions)."""
+    return (cube.groupBy("product_id", CATEGORY, "Date")
+            .agg(F.sum("QuantitySold").alias("QuantitySold"),
+                 (F.sum(F.col("AverageSellingPrice") * F.col("QuantitySold")) / F.sum("QuantitySold"))
+                 .alias("AverageSellingPrice"),
+                 *[F.max(m).alias(m) for m in MEASURES[2:]])
+            .withColumn("seller_state_encoded", F.lit(-1))
+            .select(*CUBE_KEYS, *MEASURES))
+
+
 def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
     """J7 (+J6, J8): every product over every week from the global first to
     last week; weeks without sales get QuantitySold 0, null measures and

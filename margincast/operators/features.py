@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from margincast.functions.dates import calendar_columns
 from margincast.functions.holidays import holiday_calendar, year_range
 from margincast.functions.scalars import cyclical, discount_pct, is_discounted
-from margincast.operators.cube import (densify, encode_large, encode_small, fallback_value,
+from margincast.operators.cube import (collapse_regions, densify, encode_large, encode_small, fallback_value,
                                        min_volume, popular)
 from margincast.operators.sales import CATEGORY
 from margincast.operators.windows import by_product, fill_within_product, lag, rolling
@@ -158,7 +158,8 @@ def service_features(cube: DataFrame, min_units: int = 10) -> DataFrame:
     return df.na.drop(how="any")
 
 
-def dense_features(cube: DataFrame, drop_filled: bool = False, min_total: float = 5) -> DataFrame:
+def dense_features(cube: DataFrame, drop_filled: bool = False, min_total: float = 5,
+                   collapse: bool = False) -> DataFrame:
     """The dense frame: grid, fills, calendar, holiday week, cyclical,
     lags 1–4/8/52, shifted rolling mean/std/max, discount and interaction
     features, 22-column null drop, low-volume filter (A20).
@@ -166,6 +167,8 @@ def dense_features(cube: DataFrame, drop_filled: bool = False, min_total: float
     Fills run in one window pass over the grid and the filled grid is kept
     for reuse (the global mean fallback is an action over it); dictionaries
     and holiday years come from the much smaller cube."""
+    if collapse:
+        cube = collapse_regions(cube)
     df = densify(cube, drop_filled=drop_filled)
     order = ["Date", "seller_state_encoded"]
     df = reuse(fill_within_product(df, [P] + DIM_MEANS, order, default={c: 0.0 for c in DIM_MEANS}))

@@ -1554,3 +1554,19 @@ def p1s_service_price_search(spark, d):
                     F.col("grid_demand").cast("long").alias("expected_demand"),
                     round_half_up("grid_profit").alias("expected_profit_brl"),
                     round_half_up(pct_change("grid_price", "current_price"), 1).alias("price_change_pct"))
+
+
+@q("j7c_densify_collapsed", with_(*ALL_CUBE_CTES) + """,
+coll AS (SELECT product_id, product_category_name_english, Date, CAST(sum(QuantitySold) AS BIGINT) AS q,
+                sum(AverageSellingPrice * QuantitySold) / sum(QuantitySold) AS p FROM cube_all GROUP BY 1, 2, 3),
+span AS (SELECT min(Date) AS lo, max(Date) AS hi FROM coll),
+prods AS (SELECT DISTINCT product_id FROM coll),
+grid AS (SELECT p.product_id, CAST(w.wk AS DATE) AS Date
+         FROM prods p, span, LATERAL (SELECT unnest(generate_series(span.lo, span.hi, INTERVAL 7 DAY)) AS wk) w)
+SELECT g.product_id, strftime(g.Date, '%Y-%m-%d') AS Date, CAST(coalesce(c.q, 0) AS BIGINT) AS QuantitySold,
+       round(c.p, 6) AS AverageSellingPrice
+FROM grid g LEFT JOIN coll c ON g.product_id = c.product_id AND g.Date = c.Date""")
+def j7c_densify_collapsed(spark, d):
+    dn = C.densify(C.collapse_regions(cube(spark, d, family=False)))
+    return out(dn.select("product_id", "Date", "QuantitySold", F.round("AverageSellingPrice", 6)
+                         .alias("AverageSellingPrice")))

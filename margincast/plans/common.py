@@ -71,7 +71,8 @@ def lines_sql(name: str = "lines", family: bool = True) -> str:
   JOIN {name}_products p ON i.product_id = p.product_id
   JOIN src_orders o ON i.order_id = o.order_id
   LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
-  WHERE o.order_status = 'F' AND p.product_category_name_english IS NOT NULL)"""
+  WHERE o.order_status = 'F' AND p.product_category_name_english IS NOT NULL
+    AND o.order_purchase_timestamp IS NOT NULL)"""
 
 
 def _mean(c: str, scale: int = 4) -> str:
