@@ -173,7 +173,7 @@ def _uniform(seed: int, *cols: Column) -> Column:
 
 
 def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: int = 30,
-                 seed: int = 42, variant: str = "a", checkpoint_every: int = 5,
+                 seed: int = 42, variant: str = "a", checkpoint_every: int = 10,
                  key: str = "product_id") -> DataFrame:
     """Particle-swarm price search for every product at once.
 
