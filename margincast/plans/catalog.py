@@ -1570,3 +1570,16 @@ def j7c_densify_collapsed(spark, d):
     dn = C.densify(C.collapse_regions(cube(spark, d, family=False)))
     return out(dn.select("product_id", "Date", "QuantitySold", F.round("AverageSellingPrice", 6)
                          .alias("AverageSellingPrice")))
+
+
+@q("m5b_random_search_gbt")
+def m5b_random_search_gbt(spark, d):
+    """M5 over the boosted-tree space (draws, folds and tree counts kept small
+    so the correctness run stays short; the space is the full one otherwise)."""
+    from margincast.operators.models import GBT_SPACE, random_search
+    f = _Fit(spark, d)
+    space = dict(GBT_SPACE) | {"maxIter": ("int", 5, 10), "maxDepth": ("choice", [3, 4, 5])}
+    cv = random_search(f.pipeline("gbt_a"), space, n=3, folds=2, seed=42, parallelism=3)
+    model = cv.fit(f.train)
+    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)],
+                                 "param_map int, cv_r2 double")

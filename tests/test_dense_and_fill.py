@@ -67,3 +67,11 @@ def test_candidates_within_bounds(spark):
     assert len(c) == 40
     assert all(r.lower <= r.price <= r.upper for r in c)
     assert {r.price for r in c if r.product_id == 1 and r.k in (0, 19)} == {3.0, 9.0}
+
+
+def test_collapse_regions_sums_units_and_weights_price(spark):
+    from margincast.operators.cube import collapse_regions
+    rows = [row(1, 0, 1, 2, 10.0), row(1, 3, 1, 1, 13.0), row(1, 0, 2, 5, 12.0)]
+    got = {r.Date: (r.QuantitySold, r.AverageSellingPrice, r.seller_state_encoded)
+           for r in collapse_regions(spark.createDataFrame(rows, CUBE)).collect()}
+    assert got[wk(1)] == (3, 11.0, -1) and got[wk(2)] == (5, 12.0, -1)
