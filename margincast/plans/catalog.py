@@ -1333,7 +1333,8 @@ def m13_feature_importance(spark, d):
     return importance(f.pipeline("rf").fit(f.train), f.cols, 10)
 
 
-@q("e5_assemble")
+@q("e5_assemble", _PRICE_SQL + """
+SELECT product_id, CAST(20 AS INTEGER) AS width, CAST(QuantitySold AS DOUBLE) AS label FROM train""")
 def e5_assemble(spark, d):
     from margincast.operators.splits import assemble
     f = _Fit(spark, d)
