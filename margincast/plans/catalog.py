@@ -1584,3 +1584,37 @@ def m5b_random_search_gbt(spark, d):
     model = cv.fit(f.train)
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)],
                                  "param_map int, cv_r2 double")
+
+
+# =========================================================== streaming: the cube from arriving files
+
+@q("st1_stream_weekly_cube", with_(SRC, lines_sql()) + f""",
+st AS (
+  SELECT product_id, product_category_name_english, seller_state, {WEEK_SQL.format(c='order_purchase_timestamp')} AS Date,
+         CAST(count(*) AS BIGINT) AS QuantitySold,
+         CAST(sum(CAST(price AS DECIMAL(30,2))) AS DOUBLE) / count(*) AS AverageSellingPrice,
+         CAST(sum(CAST(product_height_cm AS DECIMAL(30,4))) AS DOUBLE) / nullif(count(product_height_cm), 0)
+           AS Height_cm_Mean
+  FROM lines GROUP BY 1, 2, 3, 4)
+SELECT product_id, product_category_name_english, seller_state, strftime(Date, '%Y-%m-%d') AS Date,
+       QuantitySold, round(AverageSellingPrice, 6) AS AverageSellingPrice, Height_cm_Mean FROM st""")
+def st1_stream_weekly_cube(spark, d):
+    """A1 maintained by Structured Streaming: delivered order lines land as
+    files; the streaming cube (stream-static joins, Monday-labelled event-time
+    window, watermark) is written as a change log and read back as the latest
+    version per key."""
+    import uuid
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.streaming import latest_version, run_available, weekly_cube_stream
+    src = sources(spark, d)
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    o = S.delivered(src["orders"], DELIVERED).select("order_id", "order_purchase_timestamp")
+    arriving = src["order_items"].join(o, "order_id").select("order_purchase_timestamp", "product_id",
+                                                               "seller_id", "price")
+    arriving.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{base}/in")
+    cb = weekly_cube_stream(stream, src["products"], src["translation"], src["sellers"])
+    run_available(cb, f"{base}/out", f"{base}/ckpt")
+    cur = latest_version(spark, f"{base}/out", ["product_id", CAT, "seller_state", "Date"])
+    return out(cur.select("product_id", CAT, "seller_state", "Date", "QuantitySold",
+                          F.round("AverageSellingPrice", 6).alias("AverageSellingPrice"), "Height_cm_Mean"))

@@ -33,8 +33,13 @@ def weekly_cube_stream(lines: DataFrame, products: DataFrame, translation: DataF
     ``seller_state`` (codes depend on the whole region set and are applied
     when the cube is read)."""
     prods = products_with_category(products, translation, prefix).select("product_id", CATEGORY, *DIM_COLS)
-    # the event-time column must be a timestamp (with local time zone) for window()
-    ev = lines.withColumn("_ts", F.col("order_purchase_timestamp").cast("timestamp"))
+    # The watermark needs a zone-aware instant.  It is built from the
+    # wall-clock parts with an explicit UTC zone, and the week label is taken
+    # from epoch days of the window end, so week boundaries never depend on
+    # the session time zone.
+    t = F.col("order_purchase_timestamp")
+    ev = lines.withColumn("_ts", F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t),
+                                                  F.minute(t), F.second(t), F.lit("UTC")))
     joined = (ev.withWatermark("_ts", watermark)
               .join(prods, "product_id", "inner")
               .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
@@ -47,8 +52,32 @@ def weekly_cube_stream(lines: DataFrame, products: DataFrame, translation: DataF
     names = ["Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean"]
     return agg.select(
         "product_id", CATEGORY, "seller_state",
-        F.to_date(F.date_sub(F.to_date(F.col("w.end")), 1)).alias("Date"),
+        F.date_from_unix_date((F.unix_seconds(F.col("w.end")) / 86400).cast("int") - 1).alias("Date"),
         "QuantitySold",
         (F.col("_price_sum").cast("double") / F.col("QuantitySold")).alias("AverageSellingPrice"),
         *[(F.col(f"_{c}_sum").cast("double") / F.nullif(F.col(f"_{c}_n"), F.lit(0))).alias(n)
           for c, n in zip(DIM_COLS, names)])
+
+
+def run_available(stream_df: DataFrame, out_path: str, checkpoint_path: str) -> None:
+    """Process every available input file and stop (``availableNow``).
+
+    Update mode: each micro-batch emits only the cube rows it changed; they
+    are appended to ``out_path`` with the batch id (a distributed write per
+    batch), so the sink is an append-only change log that survives restarts
+    through the query checkpoint."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    q = (stream_df.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_version(spark, path: str, keys: list[str]) -> DataFrame:
+    """The current cube from the change log: the last written version of each
+    key (a grouped ``max_by`` over the batch id — partial aggregation)."""
+    log = spark.read.parquet(path)
+    others = [c for c in log.columns if c not in keys and c != "_batch"]
+    return (log.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_r"))
+            .select(*keys, "_r.*"))
