@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margincast.functions.scalars import has_prefix
-from margincast.operators.joins import broadcast_if_small
 
 CATEGORY = "product_category_name_english"
 DIM_COLS = ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]
+# above this many translation rows the table is joined, not broadcast, and
+# the family filter is not resolved on the driver
+TRANSLATION_MAX = 100_000
 
 
 def delivered(orders: DataFrame, status: str = "delivered") -> DataFrame:
@@ -61,10 +63,13 @@ def products_with_category(products: DataFrame, translation: DataFrame,
                            prefix: str | None = "fashion_") -> DataFrame:
     """J2 + J3 + F3 on the product dimension *before* it meets the order
     lines, so the family filter shrinks the dimension, not the fact table."""
-    t = broadcast_if_small(translation.select("product_category_name", CATEGORY), 100_000)
-    if prefix:
-        # resolve the family to source category names on the small translation
-        # table (checked above) so the products scan gets a pushable IN filter
+    t = translation.select("product_category_name", CATEGORY)
+    small = t.limit(TRANSLATION_MAX + 1).count() <= TRANSLATION_MAX
+    if small:
+        t = F.broadcast(t)
+    if prefix and small:
+        # resolve the family to source category names on the (proven small)
+        # translation table so the products scan gets a pushable IN filter
         names = [r[0] for r in category_family(t, prefix).select("product_category_name")
                  .where(F.col("product_category_name").isNotNull()).distinct().collect()]
         products = products.where(F.col("product_category_name").isin(names))
