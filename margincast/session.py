@@ -71,20 +71,21 @@ def reuse(df):
 
 
 def scale_conf(input_bytes: int, executors_cores: int = 8000,
-               target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+               input_per_partition: int = 1 << 30, max_partitions: int = 200_000) -> dict[str, str]:
     """Session settings for a run over ``input_bytes`` of source data.
 
-    Shuffle partitions start at about one per ``target_partition_bytes`` of
-    input (at least 2 × the cluster's cores) and AQE coalesces them down at run
-    time; skewed join partitions are split; file splits are 256 MB so scan
-    tasks stay large.  Pass the result as ``extra`` to ``get_spark`` or set it
-    on the cluster."""
-    parts = max(2 * executors_cores, -(-input_bytes // target_partition_bytes))
+    Shuffles carry a fraction of the input (projected columns, filtered rows,
+    map-side partial aggregates), so shuffle partitions start at about one per
+    GiB of input — at least 2 × the cluster's cores, at most ``max_partitions``
+    (map × reduce shuffle files grow with it) — and AQE coalesces them toward
+    128 MB at run time.  Skewed join partitions are split; file splits are
+    256 MB so scan tasks stay large."""
+    parts = min(max_partitions, max(2 * executors_cores, -(-input_bytes // input_per_partition)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
