@@ -141,8 +141,10 @@ def batch_features(cube: DataFrame, min_units: int = 1, exact_median: bool = Fal
 
 
 def service_features(cube: DataFrame, min_units: int = 10) -> DataFrame:
-    """The service feature frame; rows with any null are dropped (F8)."""
-    df = popular(cube, min_units)
+    """The service feature frame; rows with any null are dropped (F8).
+    The popular rows are kept for reuse: the category dictionary and the
+    window pass both read them (one shuffle of the cube by product)."""
+    df = reuse(popular(cube, min_units))
     df = encode_small(df, CATEGORY, "category_encoded")
     cal = calendar_columns("Date")
     df = df.withColumns({k: cal[k] for k in ("Year", "Month", "Week", "Quarter", "IsWeekend")})
