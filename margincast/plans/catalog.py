@@ -1618,3 +1618,15 @@ def st1_stream_weekly_cube(spark, d):
     cur = latest_version(spark, f"{base}/out", ["product_id", CAT, "seller_state", "Date"])
     return out(cur.select("product_id", CAT, "seller_state", "Date", "QuantitySold",
                           F.round("AverageSellingPrice", 6).alias("AverageSellingPrice"), "Height_cm_Mean"))
+
+
+@q("f13_casts", with_(*CUBE_CTES) + """
+SELECT DISTINCT strftime(Date, '%Y-%m-%d') AS Date, CAST(weekofyear(Date) AS DOUBLE) AS week_double,
+       CAST(isodow(Date) - 1 >= 5 AS INTEGER) AS weekend_int, CAST(QuantitySold AS DOUBLE) AS units_double
+FROM cube""")
+def f13_casts(spark, d):
+    """bool → int, week → double, units → double."""
+    cb = cube(spark, d)
+    return out(cb.select("Date", F.weekofyear("Date").cast("double").alias("week_double"),
+                         (F.weekday("Date") >= 5).cast("int").alias("weekend_int"),
+                         F.col("QuantitySold").cast("double").alias("units_double")).distinct())
