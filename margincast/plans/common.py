@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from margincast.functions.holidays import BASE_HOLIDAYS
-from margincast.operators.cube import weekly_cube
+from margincast.operators.cube import weekly_cube, weekly_cube_from_sources
 from margincast.operators.sales import sales_lines
 from margincast.sources.driver_tables import DELIVERED, ORACLE_SOURCES_SQL, load_driver_sources
 
@@ -23,7 +23,8 @@ def lines(spark: SparkSession, d: str, family: bool = True) -> DataFrame:
 
 
 def cube(spark: SparkSession, d: str, family: bool = True) -> DataFrame:
-    return weekly_cube(lines(spark, d, family))
+    # pre-aggregated build: one line-level shuffle (equal to weekly_cube(lines))
+    return weekly_cube_from_sources(sources(spark, d), DELIVERED, "fashion_" if family else None)
 
 
 def out(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ skew splitting forced on must give the same cube as the default plan."""
 from pyspark.sql import functions as F
 
 from conftest import SF0001
-from margincast.operators.cube import weekly_cube
+from margincast.operators.cube import weekly_cube, weekly_cube_from_sources
 from margincast.operators.sales import sales_lines
 from margincast.sources import load_driver_sources
 from margincast.sources.driver_tables import DELIVERED
@@ -39,9 +39,10 @@ def test_hot_product_cube_same_with_skew_split(spark):
         spark.conf.set(k, v)
     try:
         skew = sorted(weekly_cube(sales_lines(src, DELIVERED)).collect())
+        pre = sorted(weekly_cube_from_sources(src, DELIVERED).collect())
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert skew == base
+    assert skew == base == pre
     hot_units = sum(r.QuantitySold for r in base if r.product_id == 0)
     assert hot_units >= sum(r.QuantitySold for r in base) / 4

@@ -78,3 +78,14 @@ def test_oracle_agrees_sf0001(spark, name):
     d = sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in (row[i] for i in idx))
                 for row in res.fetchall()), key=repr)
     assert s == d
+
+
+@pytest.mark.parametrize("prefix", ["fashion_", None])
+def test_preaggregated_cube_equals_line_cube(spark, prefix):
+    from margincast.operators.cube import weekly_cube, weekly_cube_from_sources
+    from margincast.operators.sales import sales_lines
+    from margincast.sources.driver_tables import DELIVERED
+    src = load_driver_sources(spark, SF0001)
+    a = sorted(weekly_cube(sales_lines(src, DELIVERED, prefix)).collect())
+    b = sorted(weekly_cube_from_sources(src, DELIVERED, prefix).collect())
+    assert a == b and len(a) > 0
