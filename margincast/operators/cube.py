@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from margincast.functions.dates import week_label, week_spine_bounds
 from margincast.operators.ordering import dense_codes
 from margincast.operators.sales import CATEGORY, DIM_COLS
-from margincast.session import ensure_checkpoint_dir
+from margincast.session import ensure_checkpoint_dir, partitions_for
 
 CUBE_KEYS = ["product_id", CATEGORY, "seller_state_encoded", "Date"]
 MEASURES = ["QuantitySold", "AverageSellingPrice", "Weight_g_Mean", "Length_cm_Mean",
@@ -265,10 +265,12 @@ def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
     real = F.struct(F.col("seller_state_encoded"), F.col("Date"),
                     F.col("QuantitySold").cast("long").alias("QuantitySold"),
                     *[F.col(m) for m in MEASURES[1:]])
-    # the generator multiplies rows (weeks per sale), so the partition count is
-    # fixed here from the session setting instead of being coalesced from the
-    # (small) cube size
-    n = int(cube.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the generator multiplies rows (every product gets every week), so the
+    # partition count is sized from the output (products × weeks) instead of
+    # being coalesced by AQE from the small cube
+    weeks = (span["hi"] - span["lo"]).days // 7 + 1
+    products = cube.select("product_id").distinct().count()
+    n = partitions_for(cube.sparkSession, products * weeks, 200_000)
     gaps = cube.repartition(n, "product_id").withColumns({"_lead": leading, "_trail": trailing})
     rows = F.concat(F.transform("_lead", empty), F.array(real), F.transform("_trail", empty))
     out = gaps.select("product_id", CATEGORY, F.explode(rows).alias("_r"))  # generator pass

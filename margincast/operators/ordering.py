@@ -31,9 +31,11 @@ def ordered_index(df: DataFrame, order_cols: list[str], out: str = "_rank",
     """Add ``out`` = number of rows (or sum of ``weight``) strictly before each
     row in the total order ``order_cols`` (which must be unique per row)."""
     ensure_checkpoint_dir(df.sparkSession)
-    p = _partitions(df, partitions)
-    ranged = (df.repartitionByRange(p, *order_cols)
-              .sortWithinPartitions(*order_cols)
+    # Without an explicit count AQE may coalesce the range partitions; it only
+    # merges adjacent ones, so partition order still follows key order.
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else \
+        df.repartitionByRange(*order_cols)
+    ranged = (ranged.sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_pid").cast("long"), 33)))

@@ -1614,7 +1614,9 @@ def st1_stream_weekly_cube(spark, d):
     arriving.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(arriving.schema).parquet(f"{base}/in")
     cb = weekly_cube_stream(stream, src["products"], src["translation"], src["sellers"])
-    run_available(cb, f"{base}/out", f"{base}/ckpt")
+    from margincast.session import partitions_for
+    run_available(cb, f"{base}/out", f"{base}/ckpt",
+                  state_partitions=partitions_for(spark, spark.read.parquet(f"{base}/in").count(), 200_000))
     cur = latest_version(spark, f"{base}/out", ["product_id", CAT, "seller_state", "Date"])
     return out(cur.select("product_id", CAT, "seller_state", "Date", "QuantitySold",
                           F.round("AverageSellingPrice", 6).alias("AverageSellingPrice"), "Height_cm_Mean"))

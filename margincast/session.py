@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, app: str = "margincast",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MARGINCAST_DRIVER_MEM", "16g"))
@@ -68,6 +69,10 @@ def reuse(df):
     its partitioning (later per-product windows and aggregates do not
     re-shuffle), and is rebuilt from lineage if an executor is lost."""
     from pyspark import StorageLevel
+    # let AQE coalesce the cached plan's partitions (otherwise a cached frame
+    # keeps spark.sql.shuffle.partitions partitions however small it is);
+    # coalesced hash partitioning still serves later per-product windows
+    df.sparkSession.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -91,3 +96,13 @@ def scale_conf(input_bytes: int, executors_cores: int = 8000,
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     }
+
+
+def partitions_for(spark, rows: int, rows_per_partition: int) -> int:
+    """Partition count for a frame of ``rows`` rows that AQE cannot size
+    (e.g. before a generator multiplies rows): about ``rows_per_partition``
+    rows each, at least the default parallelism, at most the session's
+    shuffle partition setting."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = min(cap, spark.sparkContext.defaultParallelism)
+    return max(floor, min(cap, -(-rows // rows_per_partition)))

@@ -59,7 +59,8 @@ def weekly_cube_stream(lines: DataFrame, products: DataFrame, translation: DataF
           for c, n in zip(DIM_COLS, names)])
 
 
-def run_available(stream_df: DataFrame, out_path: str, checkpoint_path: str) -> None:
+def run_available(stream_df: DataFrame, out_path: str, checkpoint_path: str,
+                  state_partitions: int | None = None) -> None:
     """Process every available input file and stop (``availableNow``).
 
     Update mode: each micro-batch emits only the cube rows it changed; they
@@ -69,8 +70,19 @@ def run_available(stream_df: DataFrame, out_path: str, checkpoint_path: str) ->
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
-    q = (stream_df.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    spark = stream_df.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if state_partitions:
+        # the state store keeps this partition count for the life of the
+        # checkpoint (AQE does not resize streaming shuffles), so it is chosen
+        # deliberately at the first start
+        spark.conf.set(key, str(state_partitions))
+    try:
+        q = (stream_df.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
 
 

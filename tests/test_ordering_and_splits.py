@@ -39,3 +39,19 @@ def test_row_split_positional_and_complete(spark):
     flags = [r.is_train for r in ordered]
     cut = int(n * 0.8)
     assert flags == [True] * cut + [False] * (n - cut)
+
+
+def test_ordered_index_under_aqe_coalescing(spark):
+    rnd = random.Random(11)
+    keys = rnd.sample(range(10**6), 5000)
+    df = spark.createDataFrame([(k, 1) for k in keys], "k long, w long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                          "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        got = {r.k: r._rank for r in ordered_index(df, ["k"]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [got[k] for k in sorted(keys)] == list(range(len(keys)))
