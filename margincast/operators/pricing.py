@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from margincast.functions.scalars import (as_units, linspace, pct_change, recommendation,
                                           round_half_up, short_id, to_currency)
 from margincast.operators.sales import CATEGORY
-from margincast.session import ensure_checkpoint_dir, partitions_for
+from margincast.session import ensure_checkpoint_dir, partitions_for, reuse
 
 P, Q = "AverageSellingPrice", "QuantitySold"
 
@@ -190,6 +190,7 @@ def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: in
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
     base = scorer.attach(base) if hasattr(scorer, "attach") else base
+    base = reuse(base)        # counted for sizing, then expanded into the state
     span = F.col("upper") - F.col("lower")
     u0 = _uniform(seed, F.col(key), F.col("particle"), F.lit(-1), F.lit(0))
     g1 = _uniform(seed, F.col(key), F.col("particle"), F.lit(-1), F.lit(1))
@@ -197,7 +198,7 @@ def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: in
     normal = F.sqrt(-2.0 * F.log(1.0 - g1)) * F.cos(2 * math.pi * g2)
     # each product row expands into its own particles (a generator, no join)
     state = (base.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
-             .repartition(partitions_for(spark, base.count() * particles, 20_000), key)
+             .repartition(partitions_for(spark, base.count() * particles, 5_000), key)
              .withColumns({"pos": F.col("lower") + u0 * span,
                            "vel": normal * SWARM_VEL_SD,
                            "pbest_pos": F.lit(None).cast("double"),
