@@ -15,6 +15,8 @@ CUBE_KEYS = ["product_id", CATEGORY, "seller_state_encoded", "Date"]
 MEASURES = ["QuantitySold", "AverageSellingPrice", "Weight_g_Mean", "Length_cm_Mean",
             "Height_cm_Mean", "Width_cm_Mean"]
 _DIM_OUT = dict(zip(DIM_COLS, MEASURES[2:]))
+# largest dictionary ranked in one window and broadcast; bigger ones go distributed
+SMALL_DICT_MAX = 100_000
 
 
 def exact_mean(c, scale: int = 4) -> Column:
@@ -30,8 +32,11 @@ def encode_small(df: DataFrame, col: str, out: str, source: DataFrame | None = N
     (regions, categories): sorted distinct → 0-based code, broadcast back.
     The ranking window runs over the distinct values only.  ``source`` (a
     smaller frame with the same value set) may supply the dictionary."""
-    codes = ((source if source is not None else df).select(col).where(F.col(col).isNotNull()).distinct()
-             .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out)))
+    values = (source if source is not None else df).select(col).where(F.col(col).isNotNull()).distinct()
+    if values.limit(SMALL_DICT_MAX + 1).count() > SMALL_DICT_MAX:
+        # the bound does not hold: distributed dictionary, shuffle join
+        return df.join(dense_codes(values, col, out), col, "left")
+    codes = values.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out))
     return df.join(F.broadcast(codes), col, "left")
 
 

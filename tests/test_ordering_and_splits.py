@@ -55,3 +55,12 @@ def test_ordered_index_under_aqe_coalescing(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert [got[k] for k in sorted(keys)] == list(range(len(keys)))
+
+
+def test_encode_small_falls_back_when_bound_fails(spark, monkeypatch):
+    import margincast.operators.cube as C
+    df = spark.createDataFrame([(v,) for v in ["d", "b", "a", "c", "b", None]], "s string")
+    small = {r.s: r.code for r in C.encode_small(df, "s", "code").collect()}
+    monkeypatch.setattr(C, "SMALL_DICT_MAX", 2)
+    large = {r.s: r.code for r in C.encode_small(df, "s", "code").collect()}
+    assert small == large == {"a": 0, "b": 1, "c": 2, "d": 3, None: None}
