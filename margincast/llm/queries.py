@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from margincast.llm import brown_lm, license_scan, line_dedup, mixing, pii, quality, toxicity
+from margincast.llm import (brown_lm, collision_ann, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality,
+                            toxicity)
 from margincast.llm.common import LOWER, UPPER, read
 
 
@@ -49,6 +50,12 @@ SELECT doc_id, n_sentences, sentence_ids,
 FROM {last}"""
 
 
+# ---- 2. packing ----
+
+def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 # ---- 3. quality rules ----
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +125,38 @@ def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"), rules), rules)
 
 
+# ---- 5. nearest neighbours ----
+
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+# ---- 6. n-gram Jaccard join ----
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def _jaccard_sql() -> str:
+    rules = ngram_join.JaccardRules()
+    n = rules.n
+    gram = " || ' ' || ".join(f"w[p + {i}]" if i else "w[p]" for i in range(n))
+    return f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'),
+             lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS p FROM w WHERE len(w) >= {n})
+      UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {n - 1}),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+         JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= {rules.percent} * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents
+          UNION SELECT reach.v, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT v AS doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN size ON size.doc_id = v GROUP BY v"""
+
+
 # ---- 7. line dedup ----
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +203,11 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, _license_sql()),
+    "op2_bm25_packing": (op2_bm25_packing, None),
     "op3_quality_rules": (op3_quality_rules, _quality_sql()),
     "op4_toxicity_fm": (op4_toxicity_fm, None),
+    "op5_collision_ann": (op5_collision_ann, None),
+    "op6_ngram_jaccard": (op6_ngram_jaccard, _jaccard_sql()),
     "op7_line_dedup": (op7_line_dedup, _line_sql()),
     "op8_brown_lm": (op8_brown_lm, None),
     "op9_mix_pfair": (op9_mix_pfair, None),
