@@ -103,7 +103,10 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return c.select("_row", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "char_counts",
                     F.when(F.col("_n_hits") > 0, counts).otherwise(
-                        F.array_repeat(F.lit(0), len(VOCABULARY))).alias("word_counts"))
+                        F.array_repeat(F.lit(0), len(VOCABULARY))).alias("word_counts"),
+                    # a filter on the verdict must not be pushed below this step: it would repeat
+                    # the array work inside its own lambdas
+                    F.monotonically_increasing_id().alias("_at_row"))
 
 
 def fit_references(features: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, tuple[list[float], list[float]]]:
@@ -153,4 +156,4 @@ def judged(features: DataFrame, refs: dict, rules: QualityRules = QualityRules()
          | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))).alias("base_failed"))
     return out.select("*", (~F.col("base_failed")
                             & F.coalesce(F.col("char_js") <= rules.char_limit, F.lit(True))
-                            & F.coalesce(F.col("word_js") <= rules.word_limit, F.lit(True))).alias("kept"))
+                            & F.coalesce(F.col("word_js") <= rules.word_limit, F.lit(True)) & (F.col("_at_row") >= 0)).alias("kept"))
