@@ -73,7 +73,7 @@ class ChunkEncoder(dict):
     Chunks repeat, so most are looked up.  Texts where a white-space character
     stands before a space are encoded whole."""
 
-    def __init__(self, ranks: bytes, pattern: str, code: str, keep: int = 300_000):
+    def __init__(self, ranks: bytes, pattern: str, code: str, keep: int = 600_000):
         import tiktoken
         super().__init__()
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
@@ -81,7 +81,8 @@ class ChunkEncoder(dict):
         self.code, self.keep = code, keep
 
     def __missing__(self, chunk: str) -> bytes:
-        out = array(self.code, self.encode(chunk)).tobytes()
+        """Ids of a space and ``chunk``."""
+        out = array(self.code, self.encode(" " + chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.keep:
                 self.clear()
@@ -92,7 +93,7 @@ class ChunkEncoder(dict):
         if _AMBIGUOUS.search(text):
             return array(self.code, self.encode(text)).tobytes()
         first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + c] for c in rest]) if rest else self[first]
+        return array(self.code, self.encode(first)).tobytes() + b"".join(map(self.__getitem__, rest))
 
 
 def _encoder(ranks: bytes, pattern: str, code: str) -> ChunkEncoder:
