@@ -52,7 +52,8 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 class JaccardRules:
     n: int = 5
     percent: int = 75                # 100 * intersection >= percent * union
-    block_bytes: int = 12 << 20      # text per block
+    block_bytes: int = 5 << 20       # text per block
+    shard_bytes: int = 12 << 20      # text per shard of the frequency exchange
     star_rounds: int = 2
 
 
@@ -284,9 +285,10 @@ def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
 def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
-    n_blocks = max(1, -(-text_bytes(docs, text_col) // rules.block_bytes))
+    size = text_bytes(docs, text_col)
+    n_blocks, shards = max(1, -(-size // rules.block_bytes)), max(1, -(-size // rules.shard_bytes))
     blocked = _blocks(docs, n_blocks, id_col, text_col)
-    freq = frequencies(blocked, n_blocks, rules.n)
+    freq = frequencies(blocked, shards, rules.n)
     found = written(survivors(blocked, freq, rules), "jaccard-sets")
     alive = found.where(F.col("elems").isNotNull())
     classes = alive.groupBy("digest").agg(F.min("doc_id").alias("rep"))
