@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from margincast.llm.common import packed
+from margincast.llm.common import packed, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -153,10 +153,11 @@ def suspects(docs: DataFrame, twice: np.ndarray, rules: LineRules, id_col: str,
 def drop_lists(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses lines: the digests of the keys it loses."""
     _, twice = bloom_pair(docs, rules, id_col, text_col)
-    held = suspects(docs, twice, rules, id_col, text_col)
-    # repeated rows of one id count once; counted per task before the shuffle
-    repeats = (held.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-               .where(F.col("n") >= rules.min_docs).select("digest", "keeper"))
+    held = written(suspects(docs, twice, rules, id_col, text_col), "line-suspects")
+    # repeated rows of one id count once; both sides of the join are then plain tables,
+    # so a line that is everywhere can be split over tasks
+    repeats = written(held.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+                      .where(F.col("n") >= rules.min_docs).select("digest", "keeper"), "line-repeats")
     return (held.join(repeats, "digest").where(F.col("doc_id") != F.col("keeper"))
             .groupBy("doc_id").agg(F.collect_set("digest").alias("digests")))
 
