@@ -41,7 +41,7 @@ class MixRules:
     block_rows: int = 16
     period: int = 1000               # weights are rounded to multiples of 1/period
     temperature: float = 0.5         # default weights: row count ** temperature
-    bucket_rows: int = 20_000
+    bucket_rows: int = 2_000
     max_sources: int = 1000
 
 
