@@ -15,8 +15,8 @@ document frequency, rarest first.
    every representative first proposes the partner it shares most prefix
    shingles with, among the smallest ones of each size band, and verified pairs
    merge into components.  Then all remaining pairs - sharing a prefix shingle,
-   in different components - are proposed, after the length filter and the
-   positional filter.  Nothing inside a component needs a link, so a large
+   in different components - are proposed, after the length filter, the
+   positional filter and a bit-signature bound on the sets' difference.  Nothing inside a component needs a link, so a large
    group of near copies costs a few pairs per member instead of all pairs.
 4. A proposed pair is verified once: a suffix filter bounds the overlap from
    counts per hash range, then the sets are intersected.
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from margincast.llm.common import pack_ints, shard_of, split_words, text_bytes, unpack_ints, word_codes, written
+from margincast.llm.common import discard, pack_ints, shard_of, split_words, text_bytes, unpack_ints, word_codes, written
 from margincast.llm.graph import components
 
 #: The frequency exchange uses the upper 48 bits: a shingle unique in them is unique.
@@ -196,6 +196,27 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
     return reps.select("doc", "n", "r", "elems").mapInArrow(run, "h long, doc long, n long, pos long")
 
 
+WORDS = 8                            # longs of a signature
+
+
+def signatures(reps: DataFrame) -> DataFrame:
+    """(doc, r, s0 .. s7): every shared shingle flips one of 512 bits.  Two
+    signatures differ in at most as many bits as the sets differ in shingles."""
+    names = [f"s{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for elems in batch.column(2).to_pylist():
+                bit = (np.frombuffer(elems, np.uint64) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+                odd = np.bincount(bit, minlength=64 * WORDS) & 1
+                rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            cols = np.array(rows, np.int64).reshape(len(rows), WORDS).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in cols]],
+                                             names=["doc", "r", *names])
+    return reps.select("doc", "r", "elems").mapInArrow(run, "doc long, r long, " + ", ".join(f"{x} long" for x in names))
+
+
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +259,38 @@ def star_pairs(post: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("doc").alias("a"), (-F.col("m.c")).alias("b"))
 
 
-def remaining_pairs(post: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(post: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """All pairs that share a prefix shingle, pass the filters and are not yet
     in one component.  Of a shingle's members the largest component stands on
     one side only, so its members never meet each other."""
     per = post.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
     major = per.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
     mixed = major.where(F.col("labels") > 1).select("h", F.col("m.label").alias("major"))
-    p = post.join(mixed, "h")
-    x = p.where(F.col("label") != F.col("major")).select("h", *[F.col(c).alias(f"{c}_x") for c in ("doc", "n", "pos", "label")])
-    y = p.select("h", "major", "doc", "n", "pos", "label")
-    both = x.join(y, "h").where(
+    p = post.join(mixed, "h").join(sigs, "doc")
+    sig = [c for c in sigs.columns if c not in ("doc", "r")]
+    x = p.where(F.col("label") != F.col("major")).select(
+        "h", *[F.col(c).alias(f"{c}_x") for c in ("doc", "n", "pos", "label", "r", *sig)])
+    total = F.col("n") + F.col("n_x")
+    # shingles the two sets can't share: unique ones, and at least the bits their signatures differ in
+    apart = total - F.col("r") - F.col("r_x") + sum([F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_x"))) for c in sig], F.lit(0))
+    both = x.join(p, "h").where(
         (F.col("label_x") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("doc_x") < F.col("doc")))
         & _fits(F.least("n", "n_x"), F.greatest("n", "n_x"), percent)
         # positional filter: what is left after this shingle must do
-        & ((F.least(F.col("n") - F.col("pos"), F.col("n_x") - F.col("pos_x"))) * (100 + percent)
-           >= percent * (F.col("n") + F.col("n_x"))))
+        & ((F.least(F.col("n") - F.col("pos"), F.col("n_x") - F.col("pos_x"))) * (100 + percent) >= percent * total)
+        & (apart * (100 + percent) <= total * (100 - percent)))
     return both.select(F.least("doc", "doc_x").alias("a"), F.greatest("doc", "doc_x").alias("b")).distinct()
 
 
 def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
     """``doc, label`` of representatives that link with another."""
     spark = reps.sparkSession
-    post = written(postings(reps, rules.percent), "jaccard-postings")
+    raw = written(postings(reps, rules.percent), "jaccard-postings")
+    # a prefix shingle that one representative holds proposes nothing
+    shared = raw.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("h")
+    post = written(raw.join(shared, "h"), "jaccard-postings")
+    discard(spark, raw)
+    sigs = written(signatures(reps), "jaccard-signatures")
     labels = None
     edges = spark.createDataFrame([], "a long, b long")
 
@@ -272,12 +302,14 @@ def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
 
     for step in range(rules.star_rounds + 1):
         last = step == rules.star_rounds
-        pairs = remaining_pairs(relabelled(), rules.percent) if last else star_pairs(relabelled(), rules.percent)
+        pairs = remaining_pairs(relabelled(), sigs, rules.percent) if last else star_pairs(relabelled(), rules.percent)
         found = written(verified(pairs, reps, rules.percent), "jaccard-links")
         if not found.limit(1).count():
             continue
         edges = found if labels is None else labels.toDF("a", "b").union(found)
         labels = components(edges, "jaccard")
+        discard(spark, found)
+    discard(spark, post)
     return (spark.createDataFrame([], "doc long, label long") if labels is None
             else labels.select(F.col("v").alias("doc"), F.col("c").alias("label")))
 
@@ -299,10 +331,9 @@ def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules(), id_co
                    .dropDuplicates(["doc", "digest"]), "jaccard-reps")
     labels = linked(reps.select("doc", "n", "r", "elems"), rules)
     # documents -> representative -> component of representatives
-    ties = (member.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
-            .select("doc_id", F.coalesce("label", "rep").alias("label")))
-    smallest = ties.groupBy("label").agg(F.min("doc_id").alias("component"))
-    ids = ties.join(smallest, "label").groupBy("doc_id").agg(F.min("component").alias("component"))
+    # (the smallest document of a class stands for it, so labels are smallest documents too)
+    ids = (member.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
+           .groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component")))
     return (found.select("doc_id", F.col("n").alias("n_shingles"))
             .join(ids, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
