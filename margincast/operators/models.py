@@ -58,9 +58,9 @@ class LogTargetModel:
         self.model: PipelineModel | None = None
 
     def fit(self, df: DataFrame) -> "LogTargetModel":
-        reg = self.pipeline.getStages()[-1]
-        reg.setLabelCol("_log_label")
-        self.model = self.pipeline.fit(df.withColumn("_log_label", F.log1p(F.col(self.label))))
+        pipeline = self.pipeline.copy()          # the caller's pipeline keeps its own label
+        pipeline.getStages()[-1].setLabelCol("_log_label")
+        self.model = pipeline.fit(df.withColumn("_log_label", F.log1p(F.col(self.label))))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
