@@ -129,7 +129,8 @@ def frequencies(blocked: DataFrame, shards: int, n: int) -> DataFrame:
                          "n": pa.array([r["n"] for r in rows], pa.int64()),
                          "df": pa.array([pack_ints(df[e - r["n"]:e]) for r, e in zip(rows, ends)], pa.binary())})
 
-    asked = blocked.select("block", "t").groupBy("block").applyInArrow(ask, "shard int, block long, n long, names binary, counts binary")
+    # grouped with the columns that survivors() groups, so that both read one shuffle of the texts
+    asked = blocked.groupBy("block").applyInArrow(ask, "shard int, block long, n long, names binary, counts binary")
     return asked.groupBy("shard").applyInArrow(answer, "block long, shard int, n long, df binary")
 
 
