@@ -116,12 +116,6 @@ def recommendation(optimal_price, current_price) -> Column:
             .otherwise(F.lit(RECOMMENDATION_TEXT[4])))
 
 
-def recommendation_band(optimal_price, current_price) -> Column:
-    ch = pct_change(optimal_price, current_price)
-    return (F.when(ch > 15, "raise").when(ch > 5, "raise_slightly")
-            .when(ch < -15, "cut").when(ch < -5, "cut_slightly").otherwise("keep"))
-
-
 def r2_verdict(r2) -> Column:
     """Quality band of the test R²."""
     r2 = _c(r2)

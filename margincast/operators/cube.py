@@ -186,16 +186,11 @@ def price_stats(df: DataFrame, key: str = "product_id", col: str = "AverageSelli
                                F.min(col).alias("min_price"), F.max(col).alias("max_price"))
 
 
-def fallback_value(df: DataFrame, col: str, how: str = "median", exact: bool = False) -> float | None:
+def fallback_value(df: DataFrame, col: str, how: str = "median") -> float | None:
     """The global fallback used to fill what per-product fills leave.
-    ``median`` uses ``percentile_approx`` unless ``exact``; one scalar comes
+    ``median`` is the exact, interpolated one at every size; one scalar comes
     back to the driver."""
-    if how == "mean":
-        e = F.avg(col)
-    elif exact:
-        e = F.median(col)
-    else:
-        e = F.percentile_approx(col, 0.5, 100000)
+    e = F.avg(col) if how == "mean" else F.median(col)
     return df.agg(e.alias("v")).first()["v"]
 
 

@@ -105,7 +105,7 @@ def encode_all(df: DataFrame, product: bool = True) -> DataFrame:
     return out
 
 
-def batch_features(cube: DataFrame, min_units: int = 1, exact_median: bool = False,
+def batch_features(cube: DataFrame, min_units: int = 1,
                    fill_scope: str = "product") -> DataFrame:
     """The batch feature frame (every column of the 22-feature list).
 
@@ -118,7 +118,7 @@ def batch_features(cube: DataFrame, min_units: int = 1, exact_median: bool = Fal
     df = fill_within_product(df, [P] + DIM_MEANS, default={c: 0.0 for c in DIM_MEANS},
                              scope=fill_scope)
     df = reuse(df)
-    med = fallback_value(df, P, "median", exact=exact_median)
+    med = fallback_value(df, P, "median")
     df = df.withColumn(P, F.coalesce(P, F.lit(med)))
     df = encode_all(df)
     cal = calendar_columns("Date")

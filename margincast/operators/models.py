@@ -73,13 +73,16 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """M8: n, MAE, RMSE, R² (= 1 − SSE / (n·var_pop(y))) as one row."""
+    """M8: n, MAE, RMSE, R² (= 1 − SSE / (n·var_pop(y))) as one row.  On a
+    constant label R² is 1 when every prediction meets it, else 0."""
     e = F.col(label).cast("double") - F.col(prediction)
     agg = pred.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"),
                    F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("_sse"),
-                   F.var_pop(F.col(label).cast("double")).alias("_var"))
+                   F.var_pop(F.col(label).cast("double")).alias("_var"),
+                   (F.min(label) == F.max(label)).alias("_flat"))
     return agg.select("n", "mae", "rmse",
-                      (F.lit(1.0) - F.col("_sse") / F.nullif(F.col("n") * F.col("_var"), F.lit(0.0)))
+                      F.when(F.col("_flat"), (F.col("_sse") == 0).cast("double"))
+                      .otherwise(F.lit(1.0) - F.col("_sse") / F.nullif(F.col("n") * F.col("_var"), F.lit(0.0)))
                       .alias("r2"))
 
 

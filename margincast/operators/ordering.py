@@ -20,12 +20,6 @@ from pyspark.sql.window import Window
 from margincast.session import ensure_checkpoint_dir
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def ordered_index(df: DataFrame, order_cols: list[str], out: str = "_rank",
                   weight: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``out`` = number of rows (or sum of ``weight``) strictly before each

@@ -47,15 +47,15 @@ def ffill(col: str, w: WindowSpec | None = None) -> Column:
         (w or by_product()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def bfill(col: str, w: WindowSpec | None = None, order: list[str] | None = None,
+def bfill(col: str, order: list[str] | None = None,
           key: str = "product_id") -> Column:
     """W8 (product scope): first non-null value at or after the row.
 
     Evaluated as a forward fill over the reversed order: a running frame
     (unbounded preceding .. current) is updated incrementally, whereas a
     (current .. unbounded following) frame is re-aggregated for every row,
-    quadratic in the rows per product.  ``w`` is accepted for compatibility;
-    the reversed spec is built from ``order``."""
+    quadratic in the rows per product.  The reversed spec is built from
+    ``order``."""
     order = order or ORDER
     rev = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     return F.last(col, ignorenulls=True).over(rev.rowsBetween(Window.unboundedPreceding, 0))

@@ -57,7 +57,7 @@ def s1_read_sources(spark, d):
 def s2_check_sources(spark, d):
     from margincast.sources.tables import check_sources
     need = ["orders.parquet", "lineitem.parquet", "part.parquet", "supplier.parquet",
-            "nation.parquet", "olist_sellers_dataset.csv"]
+            "nation.parquet", "sellers.csv"]
     return check_sources(spark, d, need)
 
 
@@ -443,7 +443,7 @@ def a17_price_stats(spark, d):
 
 
 @q("a18_fallback_price", with_(*CUBE_CTES) + """
-SELECT quantile_disc(AverageSellingPrice, 0.5) AS median_price,
+SELECT median(AverageSellingPrice) AS median_price,
        round(avg(AverageSellingPrice), 6) AS mean_price FROM cube""")
 def a18_fallback_price(spark, d):
     cb = cube(spark, d)
@@ -711,7 +711,7 @@ pop AS (SELECT * FROM cube WHERE product_id IN
         (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 1)),
 filled0 AS (SELECT product_id, product_category_name_english, seller_state_encoded, Date, QuantitySold,
             {_fill_sql(P_)} AS {P_}, {", ".join(f"{_fill_sql(c, '0.0')} AS {c}" for c in _DIMS)} FROM pop),
-filled AS (SELECT * REPLACE (coalesce({P_}, (SELECT quantile_disc({P_}, 0.5) FROM filled0)) AS {P_}) FROM filled0),
+filled AS (SELECT * REPLACE (coalesce({P_}, (SELECT median({P_}) FROM filled0)) AS {P_}) FROM filled0),
 prods AS (SELECT product_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS INTEGER) AS product_encoded
           FROM (SELECT DISTINCT product_id FROM filled)),
 cats AS (SELECT c AS product_category_name_english,
@@ -1058,9 +1058,14 @@ def _pred(spark, d):
                          F.coalesce("prediction", F.lit(0.0)).alias("yhat"))
 
 
-@q("m8_metrics", _PRED_SQL + """
+# a constant target has R² 1 when met exactly, else 0
+_R2_SQL = ("CASE WHEN min(y) = max(y) THEN CASE WHEN sum((y - yhat) ^ 2) = 0 THEN 1.0 ELSE 0.0 END "
+           "ELSE 1 - sum((y - yhat) ^ 2) / (count(*) * var_pop(y)) END")
+
+
+@q("m8_metrics", _PRED_SQL + f"""
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat) ^ 2)), 6) AS rmse,
-       round(1 - sum((y - yhat) ^ 2) / nullif(count(*) * var_pop(y), 0), 6) AS r2 FROM pred""")
+       round({_R2_SQL}, 6) AS r2 FROM pred""")
 def m8_metrics(spark, d):
     from margincast.operators.models import metrics
     return metrics(_pred(spark, d), "y", "yhat").withColumns(r6("mae", "rmse", "r2"))
@@ -1212,8 +1217,8 @@ def x12_recommendation(spark, d):
     return p8_optimization_report(spark, d).groupBy("recommendation").agg(F.count(F.lit(1)).alias("products"))
 
 
-@q("x13_verdicts", _PRED_SQL + """,
-m AS (SELECT 1 - sum((y - yhat) ^ 2) / nullif(count(*) * var_pop(y), 0) AS r2,
+@q("x13_verdicts", _PRED_SQL + f""",
+m AS (SELECT {_R2_SQL} AS r2,
              avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) * 100 AS mape FROM pred)
 SELECT CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.6 THEN 'fair' ELSE 'poor' END AS r2_verdict,
        CASE WHEN mape IS NULL THEN NULL WHEN mape < 20 THEN 'good' ELSE 'improve' END AS mape_verdict FROM m""")

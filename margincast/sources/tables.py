@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# The five required input files, in the order the service lists them.
+# Default names of the five required input files, in the order the service lists them.
 SOURCE_FILES = {
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "products": "olist_products_dataset.csv",
-    "translation": "product_category_name_translation.csv",
-    "sellers": "olist_sellers_dataset.csv",
+    "orders": "orders.csv",
+    "order_items": "order_items.csv",
+    "products": "products.csv",
+    "translation": "category_translation.csv",
+    "sellers": "sellers.csv",
 }
 
 _S, _D = T.StringType(), T.DoubleType()
@@ -48,11 +48,12 @@ SOURCE_SCHEMAS = {
 }
 
 
-def read_sources(spark: SparkSession, directory: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """Read the five tables.  CSV uses explicit schemas and FAILFAST;
+def read_sources(spark: SparkSession, directory: str, fmt: str = "csv",
+                 files: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Read the five tables (``files`` renames single inputs).  CSV uses explicit schemas and FAILFAST;
     parquet uses the file schema (same names).  Nothing is read eagerly."""
     out = {}
-    for name, fname in SOURCE_FILES.items():
+    for name, fname in {**SOURCE_FILES, **(files or {})}.items():
         if fmt == "csv":
             out[name] = (spark.read.schema(SOURCE_SCHEMAS[name])
                          .option("header", True).option("mode", "FAILFAST")

@@ -31,20 +31,28 @@ def test_csv_sources_round_trip(spark, tmp_path):
         assert back[name].count() == df.count()
 
 
-# a real category translation file (header + 71 rows, UTF-8 with BOM), if available
-REF_CSV = os.environ.get("MARGINCAST_TRANSLATION_CSV", "")
-
-
-@pytest.mark.skipif(not (REF_CSV and os.path.exists(REF_CSV)), reason="translation csv not given")
-def test_translation_csv_with_bom(spark):
+def test_translation_csv_with_bom(spark, tmp_path):
     from margincast.sources.tables import SOURCE_SCHEMAS
-    t = spark.read.schema(SOURCE_SCHEMAS["translation"]).option("header", True).csv(REF_CSV)
-    assert t.count() == 71
-    fam = t.where(F.lower("product_category_name_english").startswith("fashion_"))
-    assert fam.count() == 6
+    rows = [("calcados", "fashion_shoes"), ("moda, esporte", "fashion_sport"), ("saude", "health_beauty")]
+    for name, schema in SOURCE_SCHEMAS.items():
+        lines = [",".join(schema.names)]
+        if name == "translation":
+            lines += [f'"{a}",{b}' for a, b in rows]
+        (tmp_path / SOURCE_FILES[name]).write_text("\n".join(lines) + "\n", encoding="utf-8-sig")
+    (tmp_path / SOURCE_FILES["translation"]).rename(tmp_path / "names.csv")
+    t = read_sources(spark, str(tmp_path), "csv", files={"translation": "names.csv"})["translation"]
+    assert sorted(tuple(r) for r in t.collect()) == sorted(rows)
     assert t.columns[0] == "product_category_name"
 
 
+def test_r2_of_a_constant_label(spark):
+    from margincast.operators.models import metrics
+    met = spark.createDataFrame([(2.0, 2.0)] * 3, "y double, p double")
+    missed = spark.createDataFrame([(2.0, 2.0), (2.0, 1.0)], "y double, p double")
+    assert metrics(met, "y", "p").first()["r2"] == 1.0
+    assert metrics(missed, "y", "p").first()["r2"] == 0.0
+
+
 def test_cube_units_equal_lines(spark):
     from margincast.plans.common import cube, lines
     assert cube(spark, SF0001).agg(F.sum("QuantitySold")).first()[0] == lines(spark, SF0001).count()
