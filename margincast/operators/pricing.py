@@ -95,10 +95,17 @@ class LinearDemand:
     """Per-product linear demand ``units = a + b·price`` fitted by least
     squares on the product's cube rows (``regr_intercept`` / ``regr_slope``,
     both partial aggregates).  A product with one distinct price gets b = 0
-    and a = its mean units."""
+    and a = its mean units; a product without rows in ``cube`` gets the line
+    fitted on all of them (``pooled=False``: no prediction)."""
 
-    def __init__(self, cube: DataFrame, key: str = "product_id"):
+    def __init__(self, cube: DataFrame, key: str = "product_id", pooled: bool = True):
         self.key = key
+        self.pooled = None
+        if pooled:
+            a, b, mean = cube.agg(F.regr_intercept(F.col(Q).cast("double"), F.col(P)),
+                                  F.regr_slope(F.col(Q).cast("double"), F.col(P)),
+                                  F.avg(F.col(Q).cast("double"))).first()
+            self.pooled = (mean, 0.0) if b is None else (a, b)
         self.coef = cube.groupBy(key).agg(
             F.regr_intercept(F.col(Q).cast("double"), F.col(P)).alias("_a"),
             F.regr_slope(F.col(Q).cast("double"), F.col(P)).alias("_b"),
@@ -109,7 +116,12 @@ class LinearDemand:
              .alias("demand_intercept"))
 
     def attach(self, df: DataFrame) -> DataFrame:
-        return df.join(self.coef, self.key, "left")
+        out = df.join(self.coef, self.key, "left")
+        if self.pooled is None:
+            return out
+        a, b = self.pooled
+        return out.withColumns({"demand_slope": F.coalesce("demand_slope", F.lit(b)),
+                                "demand_intercept": F.coalesce("demand_intercept", F.lit(a))})
 
     def __call__(self, df: DataFrame) -> DataFrame:
         if "demand_slope" not in df.columns:
@@ -133,9 +145,9 @@ class ModelDemand:
 # --------------------------------------------------------------------------- P4
 def profit(scored: DataFrame, price_col: str = "price") -> DataFrame:
     """P4 (+X6): demand rounded half-even and floored at 0; profit =
-    (price − cost) × demand."""
+    (price − cost) × demand.  Without a prediction both are null, not 0."""
     return scored.withColumns({
-        "demand": as_units("prediction"),
+        "demand": F.when(F.col("prediction").isNotNull(), as_units("prediction")),
     }).withColumn("profit", (F.col(price_col) - F.col("cost")) * F.col("demand"))
 
 
@@ -146,8 +158,9 @@ def score_candidates(cand: DataFrame, scorer: Scorer, variant: str = "a") -> Dat
 # --------------------------------------------------------------------------- P5
 def grid_search(profits: DataFrame, key: str = "product_id") -> DataFrame:
     """P5: best candidate per product; equal profits → the lowest price.
-    A grouped max over (profit, −price) — partial aggregation, no sort."""
-    best = profits.groupBy(key).agg(F.max(F.struct(
+    A grouped max over (profit, −price) — partial aggregation, no sort.  A
+    price without a prediction is never recommended."""
+    best = profits.where(F.col("profit").isNotNull()).groupBy(key).agg(F.max(F.struct(
         F.col("profit"), (-F.col("price")).alias("neg_price"), F.col("demand"))).alias("_b"))
     return best.select(key, (-F.col("_b.neg_price")).alias("grid_price"),
                        F.col("_b.profit").alias("grid_profit"), F.col("_b.demand").alias("grid_demand"))
@@ -331,10 +344,11 @@ def ranked_targets(train: DataFrame, n: int | None = 10, key: str = "product_id"
     return with_cost(ranked, PRODUCT_COSTS, DEFAULT_COST)
 
 
-def product_costs(train: DataFrame, key: str = "product_id") -> DataFrame:
-    """J12 for pricing: unit cost of every product — the listed costs for the
-    top sales ranks, the default for the rest.  Only the top len(list)
+def product_costs(train: DataFrame, key: str = "product_id", products: DataFrame | None = None) -> DataFrame:
+    """J12 for pricing: unit cost of every product of ``products`` (default:
+    of ``train``) — the listed costs for the top sales ranks of ``train``, the
+    default for the rest.  Only the top len(list)
     products need a rank, so this is a distributed top-k, not a full sort."""
     top = ranked_targets(train, len(PRODUCT_COSTS), key).select(key, F.col("cost").alias("_c"))
-    return (train.select(key).distinct().join(F.broadcast(top), key, "left")   # ≤ 10 rows broadcast
+    return ((train if products is None else products).select(key).distinct().join(F.broadcast(top), key, "left")   # ≤ 10 rows broadcast
             .select(key, F.coalesce("_c", F.lit(DEFAULT_COST)).alias("cost")))

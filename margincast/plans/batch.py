@@ -39,7 +39,7 @@ class BatchConfig:
 def run_batch(src: dict[str, DataFrame], cfg: BatchConfig | None = None) -> dict[str, DataFrame]:
     cfg = cfg or BatchConfig()
     lines = sales_lines(src, cfg.status, cfg.prefix)
-    cube = C.weekly_cube(lines)
+    cube = C.weekly_cube_from_sources(src, cfg.status, cfg.prefix)   # one line-level shuffle
     if not cfg.min_units:
         cube = cube.join(C.top_n_products(cube, cfg.top_n).select("product_id"), "product_id", "left_semi")
     feats = batch_features(cube, cfg.min_units or 1, fill_scope=cfg.fill_scope)
@@ -55,9 +55,11 @@ def run_batch(src: dict[str, DataFrame], cfg: BatchConfig | None = None) -> dict
     if cfg.targets:
         costs = PR.ranked_targets(train, cfg.targets).select("product_id", "cost")
     else:
-        costs = PR.product_costs(train)
-    stats = C.price_stats(train).select("product_id", "mean_price")
-    base = (PR.base_rows(train).join(costs, "product_id")
+        costs = PR.product_costs(train, products=split)
+    # chosen targets are train products; pricing every product takes the whole frame
+    priced = train if cfg.targets else split.drop("is_train")
+    stats = C.price_stats(priced).select("product_id", "mean_price")
+    base = (PR.base_rows(priced).join(costs, "product_id")
             .join(PR.price_bounds(stats, "mean"), "product_id"))
     grid = PR.grid_search(PR.score_candidates(PR.price_candidates(base, cfg.grid_points), scorer, "b"))
     swarm = PR.swarm_search(base, scorer, cfg.particles, cfg.iters, cfg.seed, "b")

@@ -816,30 +816,37 @@ pos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_enc
 train AS (SELECT * FROM pos WHERE p < CAST(floor(n * 0.8) AS BIGINT)),
 base AS (SELECT *, {P_} AS current_price, {Q_} AS current_units FROM (
            SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY Date DESC, seller_state_encoded DESC) AS rn
-           FROM train) WHERE rn = 1),
+           FROM batch) WHERE rn = 1),
 ranked AS (SELECT product_id, CAST(sum({Q_}) AS BIGINT) AS total_units,
                   row_number() OVER (ORDER BY sum({Q_}) DESC, product_id) AS rank FROM train GROUP BY product_id),
 costed AS (SELECT product_id, total_units, rank, {_COSTS_CASE} AS cost FROM ranked),
-stats AS (SELECT product_id, avg({P_}) AS mean_price FROM train GROUP BY 1),
+stats AS (SELECT product_id, avg({P_}) AS mean_price FROM batch GROUP BY 1),
+unit_cost AS (SELECT product_id, coalesce(cost, 10.0) AS cost FROM stats LEFT JOIN costed USING (product_id)),
 coef AS (SELECT product_id, regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS b,
                 regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS a, avg(CAST({Q_} AS DOUBLE)) AS mu
          FROM train GROUP BY 1),
-model AS (SELECT product_id, coalesce(b, 0.0) AS demand_slope,
-                 CASE WHEN b IS NULL THEN mu ELSE a END AS demand_intercept FROM coef),
+pooled AS (SELECT regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS pb, regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS pa,
+                  avg(CAST({Q_} AS DOUBLE)) AS pmu FROM train),
+model AS (SELECT product_id, CASE WHEN mu IS NULL THEN coalesce(pb, 0.0) ELSE coalesce(b, 0.0) END AS demand_slope,
+                 CASE WHEN mu IS NOT NULL THEN CASE WHEN b IS NULL THEN mu ELSE a END
+                      WHEN pb IS NULL THEN pmu ELSE pa END AS demand_intercept
+          FROM stats LEFT JOIN coef USING (product_id), pooled),
 bounds AS (SELECT product_id, mean_price, mean_price * 0.7 AS lower, mean_price * 1.3 AS upper FROM stats),
 cand AS (SELECT product_id, CAST(k AS INTEGER) AS k, lower, upper,
                 CASE WHEN k = 19 THEN upper ELSE CAST(k AS DOUBLE) * ((upper - lower) / 19.0) + lower END AS price
          FROM bounds, range(20) t(k)),
 prof AS (SELECT c.*, cost, greatest(0.0, round_even(demand_intercept + demand_slope * price, 0)) AS demand,
                 (price - cost) * greatest(0.0, round_even(demand_intercept + demand_slope * price, 0)) AS profit
-         FROM cand c JOIN model USING (product_id) JOIN costed USING (product_id)),
+         FROM cand c JOIN model USING (product_id) JOIN unit_cost USING (product_id)),
 grid AS (SELECT product_id, price AS grid_price, profit AS grid_profit, demand AS grid_demand FROM (
            SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY profit DESC, price ASC) AS r FROM prof)
          WHERE r = 1)"""
 
 
 class _Price:
-    """The price-search inputs of the batch run, built once per query."""
+    """The price-search inputs of the batch run, built once per query: costs by
+    sales rank and demand from the train side, base rows and mean prices of
+    every product from the whole frame."""
 
     def __init__(self, spark, d):
         from margincast.operators.pricing import LinearDemand, base_rows, product_costs, ranked_targets
@@ -848,10 +855,12 @@ class _Price:
         # every branch below (bases, ranks, stats, demand fit, candidates) reads this frame
         feats = reuse(row_split(batch_frame(spark, d), 0.8))
         self.train = feats.where("is_train").drop("is_train")
-        self.base = base_rows(self.train)
-        self.costs = product_costs(self.train)
+        self.test = feats.where(~F.col("is_train")).drop("is_train")
+        every = feats.drop("is_train")
+        self.base = base_rows(every)
+        self.costs = product_costs(self.train, products=every)
         self._ranked = lambda: ranked_targets(self.train, n=None)
-        self.stats = C.price_stats(self.train).select("product_id", "mean_price")
+        self.stats = C.price_stats(every).select("product_id", "mean_price")
         self.demand = LinearDemand(self.train)
 
     def bounds(self):
@@ -965,7 +974,7 @@ def _report_sql() -> str:
            f"WHEN {ch} < -5 THEN 'แนะนำลดราคาเล็กน้อย ' || {fmt1.format(x=f'abs({ch})')} || '%' "
            "ELSE 'ราคาปัจจุบันเหมาะสมแล้ว คงราคาไว้' END")
     return _PRICE_SQL + f""",
-rep AS (SELECT * FROM base JOIN grid USING (product_id) JOIN costed USING (product_id))
+rep AS (SELECT * FROM base JOIN grid USING (product_id) JOIN unit_cost USING (product_id))
 SELECT product_id, substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short,
        product_category_name_english AS category,
        {rm(cp)} AS current_price_brl, {rm(cp + ' * 6.8')} AS current_price_thb,
@@ -1045,17 +1054,14 @@ def p7_best_of(spark, d):
 _PRED_SQL = _PRICE_SQL + f""",
 test AS (SELECT * FROM pos WHERE p >= CAST(floor(n * 0.8) AS BIGINT)),
 pred AS (SELECT t.product_id, CAST(t.{Q_} AS DOUBLE) AS y,
-                coalesce(m.demand_intercept + m.demand_slope * t.{P_}, 0.0) AS yhat
-         FROM test t LEFT JOIN model m USING (product_id))"""
+                m.demand_intercept + m.demand_slope * t.{P_} AS yhat
+         FROM test t JOIN model m USING (product_id))"""
 
 
 def _pred(spark, d):
     pr = _Price(spark, d)
-    feats = __import__("margincast.operators.splits", fromlist=["row_split"]).row_split(batch_frame(spark, d), 0.8)
-    test = feats.where(~F.col("is_train"))
-    scored = pr.demand(test)
-    return scored.select("product_id", F.col(Q_).cast("double").alias("y"),
-                         F.coalesce("prediction", F.lit(0.0)).alias("yhat"))
+    return pr.demand(pr.test).select("product_id", F.col(Q_).cast("double").alias("y"),
+                                     F.col("prediction").alias("yhat"))
 
 
 # a constant target has R² 1 when met exactly, else 0
@@ -1521,13 +1527,18 @@ slatest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
 scoef AS (SELECT product_id, regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS b,
                  regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS a, avg(CAST({Q_} AS DOUBLE)) AS mu
           FROM strain GROUP BY 1),
-smodel AS (SELECT product_id, coalesce(b, 0.0) AS sl, CASE WHEN b IS NULL THEN mu ELSE a END AS ic FROM scoef),
+spooled AS (SELECT regr_slope(CAST({Q_} AS DOUBLE), {P_}) AS pb, regr_intercept(CAST({Q_} AS DOUBLE), {P_}) AS pa,
+                   avg(CAST({Q_} AS DOUBLE)) AS pmu FROM strain),
+smodel AS (SELECT product_id, CASE WHEN mu IS NULL THEN coalesce(pb, 0.0) ELSE coalesce(b, 0.0) END AS sl,
+                  CASE WHEN mu IS NOT NULL THEN CASE WHEN b IS NULL THEN mu ELSE a END
+                       WHEN pb IS NULL THEN pmu ELSE pa END AS ic
+           FROM slatest LEFT JOIN scoef USING (product_id), spooled),
 scand AS (SELECT product_id, CAST(k AS INTEGER) AS k, {P_} AS cur, {Q_} AS cur_units,
                  CASE WHEN k = 19 THEN {P_} * 1.3
                       ELSE CAST(k AS DOUBLE) * (({P_} * 1.3 - {P_} * (1 - 0.3)) / 19.0) + {P_} * (1 - 0.3) END AS price
           FROM slatest, range(20) t(k)),
-sprof AS (SELECT c.*, greatest(0.0, round_even(coalesce(ic + sl * price, 0.0), 0)) AS demand FROM scand c
-          LEFT JOIN smodel USING (product_id)),
+sprof AS (SELECT c.*, greatest(0.0, round_even(ic + sl * price, 0)) AS demand FROM scand c
+          JOIN smodel USING (product_id)),
 sbest AS (SELECT * FROM (SELECT *, (price - 10.0) * demand AS profit,
                  row_number() OVER (PARTITION BY product_id ORDER BY (price - 10.0) * demand DESC, price) AS r
                  FROM sprof) WHERE r = 1)"""
@@ -1540,7 +1551,8 @@ SELECT product_id, {rm('cur')} AS current_price_brl, {rm('price')} AS optimal_pr
 def p1s_service_price_search(spark, d):
     """The service flow for every product at once: latest row of the
     service frame, bounds = current price × [0.7, 1.3], default unit cost,
-    linear demand fitted on the positional train split, grid argmax."""
+    linear demand fitted on the positional train split (products it lacks: the
+    line of all its rows), grid argmax."""
     from margincast.functions.scalars import pct_change, round_half_up
     from margincast.operators.pricing import (DEFAULT_COST, LinearDemand, grid_search, price_bounds,
                                               price_candidates, score_candidates)
@@ -1552,8 +1564,7 @@ def p1s_service_price_search(spark, d):
     base = latest_rows(sf).withColumns({"current_price": F.col(P_), "current_units": F.col(Q_),
                                         "cost": F.lit(DEFAULT_COST)})
     cand = price_candidates(price_bounds(base, "current", price_range=0.3), 20)
-    scorer = LinearDemand(train)
-    best = grid_search(score_candidates(cand, lambda df: scorer(df).na.fill({"prediction": 0.0}), "a"))
+    best = grid_search(score_candidates(cand, LinearDemand(train), "a"))
     j = base.select("product_id", "current_price").join(best, "product_id")
     return j.select("product_id", round_half_up("current_price").alias("current_price_brl"),
                     round_half_up("grid_price").alias("optimal_price_brl"),

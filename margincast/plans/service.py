@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from margincast.operators import dashboard as D
 from margincast.operators import pricing as PR
-from margincast.operators.cube import weekly_cube
+from margincast.operators.cube import weekly_cube_from_sources
 from margincast.operators.features import SERVICE_FEATURES, service_features
 from margincast.operators.models import demand_model, metrics, mape, training_summary
-from margincast.operators.sales import sales_lines
 from margincast.operators.splits import row_split
 from margincast.session import reuse
 from margincast.sources.tables import SOURCE_FILES, check_sources
@@ -35,7 +34,7 @@ class Service:
     # -- training
     def train(self, kind: str = "gbt_b", **overrides) -> DataFrame:
         t0 = time.time()
-        cube = weekly_cube(sales_lines(self.src, self.status, self.prefix))
+        cube = weekly_cube_from_sources(self.src, self.status, self.prefix)
         self.frame = reuse(service_features(cube, self.min_units))
         self.split = reuse(row_split(self.frame, 0.8))
         train = self.split.where("is_train")

@@ -128,3 +128,21 @@ def test_bounds_policies(spark):
     df = spark.createDataFrame([(1, 100.0), (2, None)], "product_id long, mean_price double")
     m = {r.product_id: (r.lower, r.upper) for r in price_bounds(df, "mean_floor").collect()}
     assert m[1] == (70.0, 130.0) and m[2] == (5.0, 500.0)
+
+
+def test_products_without_train_rows_take_the_pooled_line(spark):
+    train = spark.createDataFrame([(1, 10.0, 9), (1, 12.0, 7), (2, 10.0, 5), (2, 14.0, 1)],
+                                  "product_id long, AverageSellingPrice double, QuantitySold long")
+    b, a = np.polyfit([10.0, 12.0, 10.0, 14.0], [9, 7, 5, 1], 1)
+    new = spark.createDataFrame([(1, 11.0), (3, 11.0)], "product_id long, AverageSellingPrice double")
+    got = {r["product_id"]: r["prediction"] for r in LinearDemand(train)(new).collect()}
+    assert abs(got[1] - 8.0) < 1e-9 and abs(got[3] - (a + b * 11.0)) < 1e-9
+    bare = {r["product_id"]: r["prediction"] for r in LinearDemand(train, pooled=False)(new).collect()}
+    assert bare[3] is None
+
+
+def test_no_recommendation_without_a_prediction(spark):
+    cand = spark.createDataFrame([(1, 10.0, 3.0), (1, 11.0, None), (2, 10.0, None)],
+                                 "product_id long, price double, prediction double").withColumn("cost", F.lit(5.0))
+    got = grid_search(profit(cand)).collect()
+    assert [(r["product_id"], r["grid_price"]) for r in got] == [(1, 10.0)]
