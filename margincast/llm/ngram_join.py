@@ -283,6 +283,21 @@ def remaining_pairs(post: DataFrame, sigs: DataFrame, percent: int) -> DataFrame
     return both.select(F.least("doc", "doc_x").alias("a"), F.greatest("doc", "doc_x").alias("b")).distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, c) after more links (a, b).  A component's label stands for
+    its members, so only distinct links between components are followed."""
+    spark = labels.sparkSession
+    ends = (links.join(labels.toDF("a", "_la"), "a", "left").join(labels.toDF("b", "_lb"), "b", "left")
+            .select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).where("a <> b").distinct())
+    joined = components(ends, "jaccard")
+    moved = (labels.join(joined.toDF("c", "_new"), "c", "left").select("v", F.coalesce("_new", "c").alias("c")))
+    fresh = joined.join(labels.select("v"), "v", "left_anti").select("v", "c")
+    out = written(moved.union(fresh), "jaccard-labels")
+    discard(spark, labels)
+    discard(spark, joined)
+    return out
+
+
 def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
     """``doc, label`` of representatives that link with another."""
     spark = reps.sparkSession
@@ -293,7 +308,6 @@ def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
     discard(spark, raw)
     sigs = written(signatures(reps), "jaccard-signatures")
     labels = None
-    edges = spark.createDataFrame([], "a long, b long")
 
     def relabelled():
         if labels is None:
@@ -307,8 +321,7 @@ def linked(reps: DataFrame, rules: JaccardRules) -> DataFrame:
         found = written(verified(pairs, reps, rules.percent), "jaccard-links")
         if not found.limit(1).count():
             continue
-        edges = found if labels is None else labels.toDF("a", "b").union(found)
-        labels = components(edges, "jaccard")
+        labels = components(found, "jaccard") if labels is None else merged(labels, found)
         discard(spark, found)
     discard(spark, post)
     return (spark.createDataFrame([], "doc long, label long") if labels is None

@@ -400,3 +400,11 @@ def test_pipeline_stages(spark):
     full = pieces_ok(out["packing"], {r.doc_id: [r.text] for r in once})
     assert full[False] <= 1
     assert p.run(spark, SF0001).count() == len(out["packing"])
+
+
+def test_merged_labels_follow_links_between_components(spark):
+    from margincast.llm.ngram_join import merged
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "v long, c long")
+    links = spark.createDataFrame([(2, 6), (2, 6), (1, 2), (6, 9), (7, 8)], "a long, b long")
+    got = dict(merged(labels, links).collect())
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 9: 1, 7: 7, 8: 7}
