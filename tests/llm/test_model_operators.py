@@ -305,6 +305,17 @@ def test_exchange_groups_words_used_alike():
     assert len(set(word[::2])) == 1 and len(set(word[1::2])) == 1 and word[0] != word[1]
 
 
+def test_lm_words_beyond_the_clustered_ones_get_classes(spark):
+    """Two kinds of 60 words alternate; only a few words are clustered by
+    exchange, yet after one kind only the words of the other are expected."""
+    rng = random.Random(5)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    rows = [(d, " ".join(rng.choice(kinds[i % 2]) for i in range(100))) for d in range(300)]
+    rules = brown_lm.BrownRules(clustered=15, classes=2, sweeps=20)
+    got = [r for r in brown_lm.score_lm(frame(spark, rows), rules).collect() if r.held_out]
+    assert 10 ** (-sum(r.score for r in got) / sum(r.n_tokens for r in got)) < 75       # 60, and 120 for unsorted words
+
+
 def test_lm_empty_table(spark):
     assert brown_lm.score_lm(frame(spark, [])).count() == 0
 
