@@ -1,8 +1,11 @@
 """Licence recognition by sentence rules.
 
-A text is normalised (ASCII letters lower-cased, marks to spaces) and cut into
-sentences.  A sentence found in the sentence table becomes that sentence's
-identifier; all others are dropped.  The identifier sequence is matched
+A text is normalised (ASCII letters lower-cased, marks to spaces) and its cuts
+are marked: a sentence mark before white space, a blank line, a line break, a
+colon or a semicolon.  A listed sentence stands between two cuts; a single
+line break, a colon, a semicolon or the point of "v. 2.0" may also lie inside
+it, as in wrapped notices (the longest listed sentence is taken).  It becomes
+its identifier; all other text is dropped.  The identifier sequence is matched
 against licence rules in their order: a rule names a licence and the sequence
 of identifiers that must follow each other, and uses up what it matches, so a
 long licence is not reported again through a shorter rule that is part of it.
@@ -89,22 +92,39 @@ RULES = (
     ("CC0-1.0", ("Cc0Ref",)),
     ("Proprietary", ("AllRights",)),
 )
-#: Sentence ends: a mark before white space or the end, a line break, or a
-#: colon or semicolon.  "2.0" stays whole.
+#: Sentence ends of the SQL version, which looks up only what lies between two
+#: of them: a mark before white space or the end, a line break, or a colon or
+#: semicolon.  "2.0" stays whole.
 SENTENCE_END = r"[.!?]+(?:[\x20\x09-\x0D]|\z)|[\n:;]"
+#: Cuts, in this order: a sentence may go on over a soft one (S), not over a
+#: hard one (H).  Capitals are free for this in lower-cased text.
+CUTS = (
+    (r"(?<=[^a-z0-9]v)\.(?=[\x20\x09-\x0D]+[0-9])", "S"),
+    (r"(?<![.!?])[.!?]+(?:[\x20\x09-\x0D]|\z)", "H"),
+    # a line of ASCII marks alone is blank: comment signs
+    (r"\n[\x20\t\r!-/:-@\[-`{-~]*\n", "H"),
+    (r"[\n:;]", "S"),
+)
 #: Every listed sentence holds one of these, so other texts have no identifiers.
-SIGNS = r"licen[cs]e|permission|redistribution|copyright|warrant|free software|public domain|rights reserved|mpl"
+SIGNS = (r"licen[cs]e|permission|redistribution|copyright|warrant|free[^a-z0-9]+software|public[^a-z0-9]+domain"
+         r"|rights[^a-z0-9]+reserved|mpl")
 
 
 def sentence_ids(text: Column, table: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of ``text``, in order."""
     table = SENTENCES if table is None else table
+    if not table:
+        return F.array().cast("array<string>")
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    normal = F.transform(F.split(low, SENTENCE_END),
-                         lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
-    known = F.filter(normal, lambda s: s.isin(list(table)))
-    return F.transform(known, lambda s: F.element_at(lookup, s))
+    for pattern, mark in CUTS:
+        low = F.regexp_replace(low, pattern, mark)
+    normal = F.trim(F.regexp_replace(low, r"[^a-z0-9HS]+", " "))
+    for pattern, mark in ((" ?H ?", "H"), (" ?S ?", "S")):
+        normal = F.regexp_replace(normal, pattern, mark)
+    listed = "|".join(s.replace(" ", "[ S]+") for s in sorted(table, key=lambda s: (-len(s), s)))
+    known = F.regexp_extract_all(normal, F.lit(rf"(?<![^HS])(?:{listed})(?![^HS])"), F.lit(0))
+    return F.transform(known, lambda s: F.element_at(lookup, F.regexp_replace(s, "[ S]+", " ")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

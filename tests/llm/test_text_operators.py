@@ -46,6 +46,73 @@ def test_license_sequences(spark):
         assert (got[i].n_sentences, got[i].sentence_ids, got[i].licenses) == (0, "", "")
 
 
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL ..."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+
+def test_license_wrapped_notices(spark):
+    texts = [(GPL, "GPL-3.0-or-later"), (GPL.replace("version 3", "version 2").replace("software:", "software;"), "GPL-2.0-or-later"),
+             (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"),
+             ("This is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+             ("Licensed under the MIT License\nMore words", "MIT"), ("Licensed under the MIT\n\nLicense", "")]
+    commented = ["\n".join(f" * {x}".rstrip() for x in t.split("\n")) for t, _ in texts[:6]]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(commented)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == [x for _, x in texts]
+    assert [got[100 + i].licenses for i in range(6)] == [x for _, x in texts[:6]]
+    assert [got[i].unmatched for i in range(6)] == [""] * 6
+
+
 def test_license_signs_cover_table():
     assert all(re.search(license_scan.SIGNS, s) or s.startswith(("licensed", "you may", "unless", "see", "neither"))
                for s in license_scan.SENTENCES)
