@@ -2,8 +2,9 @@
 
 Each recogniser has a regular expression that proposes spans (leftmost, not
 overlapping), a validator (Luhn, mod-97, octet and digit-count checks) and a
-score.  Context words in the 48 characters before a span raise its score; a
-span is reported when its score reaches the threshold.  The four base kinds
+score.  Context words in the 48 characters before or after a span raise its
+score, also where other spans lie between (behind a span a word before "=" or
+":" doesn't count); a span is reported when its score reaches the threshold.  The four base kinds
 (email, ip, card, phone) score above the threshold once valid, so context
 can't remove them; the added kinds (IBAN, national id, secret tokens) need a
 checksum or context.
@@ -52,7 +53,7 @@ class Recognizer:
     pattern: str
     needs: str = ""                  # literal that must occur in the text
     score: float = 0.4
-    boost: float = 0.3               # for a context word before the span
+    boost: float = 0.3               # for a context word near the span
     context: tuple[str, ...] = ()
 
 
@@ -119,26 +120,41 @@ def _valid(kind: str, m: Column) -> Column:
 def _found(kind: str, text: Column, pieces: Column, matches: Column, rules: PiiRules,
            rec: Recognizer | None) -> Column:
     """Array of (start, end, ok, score) of one kind's proposals."""
+    window = rules.window
+    context = "|".join(rec.context).replace(" ", r"\x20") if rec is not None else ""
+
+    # behind a span, a word before "=" or ":" tells of the value that follows it
+    behind = rf"(?:{context})(?![a-z0-9_]*[\"']?\x20*[:=])"
+
     def step(acc, x):
         start = acc["at"] + F.length(x["piece"])
-        return F.struct((start + F.length(x["match"])).alias("at"),
-                        F.when(x["ok"], F.concat(acc["spans"], F.lit(f"{kind}:"), start.cast("string"), F.lit(":"),
-                                                 (start + F.length(x["match"])).cast("string"), F.lit(",")))
+        end = start + F.length(x["match"])
+        ok, tail = x["ok"], F.lit("")
+        if context:
+            before = F.concat(acc["tail"], F.substring(x["piece"], -window, window))
+            near = F.lower(F.substring(before, -window, window)).rlike(context) | F.lower(x["after"]).rlike(behind)
+            ok = ok & (F.when(near, rec.score + rec.boost).otherwise(rec.score) >= rules.threshold)
+            tail = F.substring(F.concat(before, x["match"]), -window, window)
+        return F.struct(end.alias("at"),
+                        F.when(ok, F.concat(acc["spans"], F.lit(f"{kind}:"), start.cast("string"), F.lit(":"),
+                                            end.cast("string"), F.lit(",")))
                         .otherwise(acc["spans"]).alias("spans"),
-                        (acc["n"] + x["ok"].cast("long")).alias("n"))
+                        (acc["n"] + ok.cast("long")).alias("n"), tail.alias("tail"))
 
-    def judged(p, m):
+    def judged(p, i):
+        m = F.get(matches, i)
         ok = F.coalesce(_valid(kind, m), F.lit(False))
-        if rec is not None:
-            score = F.lit(rec.score)
-            if rec.context:
-                before = F.lower(F.substring(p, -rules.window, rules.window))
-                near = before.rlike("|".join(rec.context).replace(" ", r"\x20"))
-                score = F.when(near, rec.score + rec.boost).otherwise(score)
-            ok = ok & (score >= rules.threshold)
-        return F.struct(p.alias("piece"), m.alias("match"), ok.alias("ok"))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, judged)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n"))
+        after = F.lit("")
+        if context:
+            # at most ``window`` matches of a character or more lie in the window
+            after = F.substring(F.array_join(F.zip_with(
+                F.slice(pieces, i + 2, window + 1), F.slice(matches, i + 2, window + 1),
+                lambda q, n: F.concat(F.substring(q, 1, window), F.coalesce(n, F.lit("")))), ""), 1, window)
+        elif rec is not None:
+            ok = ok & F.lit(rec.score >= rules.threshold)
+        return F.struct(p.alias("piece"), m.alias("match"), ok.alias("ok"), after.alias("after"))
+    pairs = F.transform(F.slice(pieces, 1, F.size(matches)), judged)
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n"), F.lit("").alias("tail"))
     return F.aggregate(pairs, zero, step, lambda a: F.struct(a["spans"].alias("spans"), a["n"].alias("n")))
 
 

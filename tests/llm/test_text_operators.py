@@ -279,6 +279,20 @@ def test_pii_context_and_checksums(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "national_id:5:16", 4: "", 5: "secret:9:26", 6: "", 7: "access_key:0:20"}
 
 
+def test_pii_context_reaches_all_ids_of_a_list(spark):
+    ids, gap = "123-45-6789, 987-65-4321, 111-22-3333", "x" * 48
+    key = "0123456789abcdef"
+    rows = [(1, f"SSN: {ids}"), (2, f"{ids} (ssn)"), (3, f"{ids} or"), (4, f"token {key} {key}"),
+            (5, f"ssn {gap} 123-45-6789 {gap} ssn"), (6, "ssn " + "123-45-6789, " * 9), (7, f'{key} and token = "x"')]
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[1] == "national_id:5:16,national_id:18:29,national_id:31:42"
+    assert got[2] == "national_id:0:11,national_id:13:24,national_id:26:37"
+    assert got[3] == got[5] == got[7] == ""
+    assert got[4] == "secret:6:22,secret:23:39"
+    # the ids that have the word in the 48 characters before them
+    assert got[6] == ",".join(f"national_id:{p}:{p + 11}" for p in (4, 17, 30, 43))
+
+
 def test_pii_empty_table(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
