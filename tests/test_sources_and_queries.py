@@ -98,3 +98,14 @@ def test_preaggregated_cube_equals_line_cube(spark, prefix):
     a = sorted(weekly_cube(sales_lines(src, DELIVERED, prefix)).collect())
     b = sorted(weekly_cube_from_sources(src, DELIVERED, prefix).collect())
     assert a == b and len(a) > 0
+
+
+def test_entry_without_the_training_data_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__ as E
+    monkeypatch.setitem(sys.modules, "margincast.llm", None)
+    monkeypatch.setitem(sys.modules, "margincast.llm.queries", None)
+    names = set(E.queries())
+    assert "a1_weekly_cube" in names and "pipeline" not in names
+    assert set(E.oracle_sql()) <= names
