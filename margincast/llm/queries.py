@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from margincast.llm import (brown_lm, collision_ann, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality,
-                            toxicity)
+from margincast.llm import (brown_lm, collision_ann, license_scan, line_dedup, mixing, ngram_join, packing, phrases, pii, quality,
+                            simhash_ring, spelling, toxicity)
 from margincast.llm.common import LOWER, UPPER, read
 
 
@@ -201,6 +201,94 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 
+# ---- 11. SimHash near-duplicates ----
+
+def op11_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ring.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+# ---- 12. spelling variants ----
+
+#: One distinct word of a document in so many loses a code point.
+TYPO_DIVISOR = 199
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spelling.SpellingRules()
+    words = spelling.word_counts(read(spark, sf_dir, "documents"), rules, typo_divisor=TYPO_DIVISOR)
+    return spelling.group_variants(words, rules)
+
+
+def _spelling_sql() -> str:
+    rules = spelling.SpellingRules()
+    return f"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
+               lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b)),
+run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+        WHERE length(run) >= {rules.min_chars} GROUP BY ALL),
+hashed AS (SELECT run, k, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+             list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || substr(hex(encode(s)), (2 * i - 1)::INT, 2))::UBIGINT)),
+             lambda c, x: xor(c >> 8, crc.t[((xor(c, x) & 255) + 1)::BIGINT]))) AS h
+           FROM (SELECT run, k, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM run), crc),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % {TYPO_DIVISOR} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                    ELSE run END AS word, k FROM hashed)
+      WHERE length(word) >= {rules.min_chars} GROUP BY word HAVING sum(k) >= {rules.min_count}),
+gone AS (SELECT DISTINCT word, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS v
+         FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT DISTINCT a.word, b.word AS other FROM gone a JOIN gone b ON a.v = b.v AND a.word <> b.word
+         WHERE levenshtein(a.word, b.word) = 1
+         UNION SELECT g.word, g.v FROM gone g JOIN w ON w.word = g.v
+         UNION SELECT g.v, g.word FROM gone g JOIN w ON w.word = g.v),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS n
+         FROM near JOIN w ON w.word = other GROUP BY near.word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {rules.ratio} * w.n THEN other END AS form,
+                CASE WHEN best.n >= {rules.ratio} * w.n THEN best.n END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+up AS (SELECT word, word AS root, 0 AS d FROM form UNION ALL
+       SELECT up.word, form.form, d + 1 FROM up JOIN form ON form.word = up.root WHERE form.form IS NOT NULL)
+SELECT form.word, form, r.root, n, n_near, form_n
+FROM form JOIN (SELECT word, arg_max(root, d) AS root FROM up GROUP BY word) r ON r.word = form.word"""
+
+
+# ---- 13. phrase collocations ----
+
+def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def _phrase_sql() -> str:
+    rules = phrases.PhraseRules()
+    top = rules.max_words
+    follow = ", ".join(f"lead(w, {i}) OVER p AS w{i + 1}" for i in range(1, top))
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS size, concat_ws(' ', {', '.join(f'w{i}' for i in range(1, k + 1))}) AS phrase, count(*) AS f "
+        f"FROM t WHERE w{k} IS NOT NULL GROUP BY ALL HAVING count(*) >= {rules.min_count}" for k in range(1, top + 1))
+    return f"""
+WITH piece AS (SELECT lang, row_number() OVER () AS pid, p FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+word AS (SELECT lang, pid, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i
+         FROM (SELECT lang, pid, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece)),
+t AS (SELECT lang, w1, {follow.replace('lead(w,', 'lead(w1,')} FROM word WINDOW p AS (PARTITION BY pid ORDER BY i)),
+total AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+g AS ({grams}),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, n, k, x.f AS l, y.f AS r,
+               (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c JOIN total USING (lang)
+        JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+        JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+scored AS (SELECT lang, phrase, a, n, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score)::BIGINT AS score
+           FROM cut GROUP BY ALL),
+around AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS around
+           FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM cand)) GROUP BY ALL),
+best AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+         FROM scored s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase
+         WHERE o.around IS NULL OR 100 * o.around < {rules.percent} * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best WHERE rank <= {rules.top}"""
+
+
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, _license_sql()),
     "op2_bm25_packing": (op2_bm25_packing, None),
@@ -212,4 +300,7 @@ REGISTRY = {
     "op8_brown_lm": (op8_brown_lm, None),
     "op9_mix_pfair": (op9_mix_pfair, None),
     "op10_pii_spans": (op10_pii_spans, None),
+    "op11_simhash_ring": (op11_simhash_ring, None),
+    "op12_spelling_variants": (op12_spelling_variants, _spelling_sql()),
+    "op13_son_phrases": (op13_son_phrases, _phrase_sql()),
 }
