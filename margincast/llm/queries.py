@@ -236,10 +236,9 @@ w AS (SELECT word, sum(k)::BIGINT AS n FROM (
         SELECT CASE WHEN h % {TYPO_DIVISOR} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
                     ELSE run END AS word, k FROM hashed)
       WHERE length(word) >= {rules.min_chars} GROUP BY word HAVING sum(k) >= {rules.min_count}),
-gone AS (SELECT DISTINCT word, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS v
+gone AS (SELECT word, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS v
          FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
-near AS (SELECT DISTINCT a.word, b.word AS other FROM gone a JOIN gone b ON a.v = b.v AND a.word <> b.word
-         WHERE levenshtein(a.word, b.word) = 1
+near AS (SELECT DISTINCT a.word, b.word AS other FROM gone a JOIN gone b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
          UNION SELECT g.word, g.v FROM gone g JOIN w ON w.word = g.v
          UNION SELECT g.v, g.word FROM gone g JOIN w ON w.word = g.v),
 best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS n
