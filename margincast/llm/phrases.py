@@ -51,7 +51,7 @@ from margincast.llm.common import pack_ints, shard_of, text_bytes, unpack_ints,
 #: Characters that end a piece, all read as a comma (which no word can hold).
 ENDS = bytes.maketrans(b".;:!?\n\x0b\x0c\r", b",,,,,,,,,")
 #: Tokens counted at a time, and distinct words a task remembers.
-RUN, KNOWN = 1 << 20, 1 << 19
+RUN, KNOWN = 1 << 19, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +64,7 @@ class PhraseRules:
     percent: int = 100
     shards: int = 16
     #: Text bytes per hash range.
-    range_bytes: int = 1 << 28
+    range_bytes: int = 1 << 23
     #: Bound of a filter: 2^29 bits are 64 MB.
     max_filter_bits: int = 1 << 29
 
@@ -279,9 +279,11 @@ def mine(texts: DataFrame, supports: DataFrame, ks: range, words: BitFilter, pai
         h = np.concatenate([unpack_ints(b, np.uint64, s) for b, s in zip(table["h"].to_pylist(), sizes)])
         n = np.concatenate([unpack_ints(b, np.int32, s) for b, s in zip(table["n"].to_pylist(), sizes)])
         need = np.repeat(table["need"].to_numpy(), sizes)
-        h, first, back = np.unique(h, return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(h))  # exact below 2^53
-        return pa.table({"h": pa.array(h[total >= need[first]].view(np.int64))})
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        return pa.table({"h": pa.array(h[first[total >= need[order][first]]].view(np.int64))})
 
     cols = [F.col(c) for c in ("lang", "shard", "need", "t")]
     counted = texts.join(supports, ["lang", "shard"]).select(*cols).mapInArrow(
