@@ -50,7 +50,7 @@ from margincast.llm.common import pack_ints, shard_of, text_bytes, unpack_ints,
 
 #: Characters that end a piece, all read as a comma (which no word can hold).
 ENDS = bytes.maketrans(b".;:!?\n\x0b\x0c\r", b",,,,,,,,,")
-#: Tokens counted at a time, and distinct words a task remembers.
+#: Tokens counted at a time, and distinct words counted before they are sent.
 RUN, KNOWN = 1 << 19, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,20 +74,16 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().translate(ENDS).replace(b",", b" , ").split()
 
 
-class _Codes(dict):
-    """Word -> 64-bit code within a language; 0 for what can't be in a phrase."""
-
-    def __init__(self, lang: str, frequent: BitFilter):
-        self.seed, self.frequent = lang.encode("utf-8") + b"\0", frequent
-
-    def __missing__(self, word: bytes) -> int:
-        code = word_code(self.seed, word) if word != b"," else 0
-        if code and not self.frequent.has(code):
-            code = 0
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = code
-        return code
+def coded(lang: str, toks: list[bytes], frequent: BitFilter) -> np.ndarray:
+    """Every token's 64-bit code within its language; 0 for what can't be in a phrase."""
+    seed, index = lang.encode("utf-8") + b"\0", {}
+    for i, w in enumerate(dict.fromkeys(toks)):
+        index[w] = i
+    codes = np.fromiter((word_code(seed, w) for w in index), np.uint64, len(index))
+    codes[~frequent.holds(codes)] = 0
+    if b"," in index:
+        codes[index[b","]] = 0
+    return codes[np.fromiter(map(index.__getitem__, toks), np.int64, len(toks))]
 
 
 def word_code(seed: bytes, word: bytes) -> int:
@@ -100,10 +96,6 @@ class BitFilter:
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
 
-    def has(self, h: int) -> bool:
-        m = int(self.mask)
-        return all(self.bits[at >> 3] >> (at & 7) & 1 for at in (h & m, ((h * int(_MIX) & (1 << 64) - 1) >> 32) & m))
-
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         ok = np.ones(len(hashes), bool)
         for at in places(hashes, self.mask):
@@ -245,14 +237,12 @@ def mine(texts: DataFrame, supports: DataFrame, ks: range, words: BitFilter, pai
     held_words, held_pairs = sc.broadcast(words), sc.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, _Codes] = {}
         runs = _Runs()
 
         def flush() -> pa.RecordBatch:
             rows = []
             for (lang, shard, need), toks in runs.take().items():
-                coder = codes.setdefault(lang, _Codes(lang, held_words.value))
-                c = np.array(list(map(coder.__getitem__, toks)), np.uint64)
+                c = coded(lang, toks, held_words.value)
                 found = [h for _, _, h in _grams(c, ks, held_pairs.value)]
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 part = shard_of(h, ranges)
@@ -269,8 +259,6 @@ def mine(texts: DataFrame, supports: DataFrame, ks: range, words: BitFilter, pai
                     runs.add((lang, shard, need), toks)
                     if runs.size >= RUN:
                         yield flush()
-            if len(codes) > 64:
-                codes.clear()
         if runs.size:
             yield flush()
 
@@ -297,14 +285,12 @@ def count_phrases(texts: DataFrame, rules: PhraseRules, words: BitFilter, phrase
     held_words, held_phrases, ks = sc.broadcast(words), sc.broadcast(phrases), range(2, rules.max_words + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, _Codes] = {}
         runs = _Runs()
 
         def flush() -> pa.RecordBatch:
             langs, found, sizes, counts = [], [], [], []
             for (lang,), toks in runs.take().items():
-                coder = codes.setdefault(lang, _Codes(lang, held_words.value))
-                c = np.array(list(map(coder.__getitem__, toks)), np.uint64)
+                c = coded(lang, toks, held_words.value)
                 for k, at, h in _grams(c, ks, held_phrases.value):
                     keep = held_phrases.value.holds(h)
                     at, h = at[keep], h[keep]
@@ -323,8 +309,6 @@ def count_phrases(texts: DataFrame, rules: PhraseRules, words: BitFilter, phrase
                     runs.add((lang,), toks)
                     if runs.size >= RUN:
                         yield flush()
-            if len(codes) > 64:
-                codes.clear()
         if runs.size:
             yield flush()
 
@@ -387,6 +371,10 @@ def collocations(docs: DataFrame, rules: PhraseRules = PhraseRules(), id_col: st
              .groupBy("lang", "phrase").agg(F.max("around").alias("around")))
     kept = (scored.join(inner, ["lang", "phrase"], "left")
             .where(F.col("around").isNull() | (100 * F.col("around") < rules.percent * F.col("a"))))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= rules.top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the first of every bucket, then of every language: no task ranks all phrases of a language
+    bucket = F.pmod(F.xxhash64("phrase"), F.lit(256))
+    best = (kept.withColumn("b", bucket).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order)))
+            .where(F.col("rank") <= rules.top))
+    return (best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= rules.top)
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
