@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from margincast.functions.dates import week_label, week_spine_bounds
 from margincast.operators.ordering import dense_codes
+from margincast.operators.quantiles import exact_quantile
 from margincast.operators.sales import CATEGORY, DIM_COLS
 from margincast.session import ensure_checkpoint_dir, partitions_for
 
@@ -188,10 +189,11 @@ def price_stats(df: DataFrame, key: str = "product_id", col: str = "AverageSelli
 
 def fallback_value(df: DataFrame, col: str, how: str = "median") -> float | None:
     """The global fallback used to fill what per-product fills leave.
-    ``median`` is the exact, interpolated one at every size; one scalar comes
-    back to the driver."""
-    e = F.avg(col) if how == "mean" else F.median(col)
-    return df.agg(e.alias("v")).first()["v"]
+    ``median`` is the exact, interpolated one, found by narrowing value ranges
+    (``quantiles``), so no task holds all prices; one scalar comes back to the driver."""
+    if how == "median":
+        return exact_quantile(df, col)
+    return df.agg(F.avg(col).alias("v")).first()["v"]
 
 
 def distinct_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

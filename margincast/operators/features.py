@@ -18,7 +18,7 @@ from margincast.functions.scalars import cyclical, discount_pct, is_discounted
 from margincast.operators.cube import (collapse_regions, densify, encode_large, encode_small, fallback_value,
                                        min_volume, popular)
 from margincast.operators.sales import CATEGORY
-from margincast.operators.windows import by_product, fill_within_product, lag, rolling
+from margincast.operators.windows import by_product, fill_sequence, fill_within_product, lag, rolling
 from margincast.session import reuse
 
 DIM_MEANS = ["Weight_g_Mean", "Length_cm_Mean", "Height_cm_Mean", "Width_cm_Mean"]
@@ -106,17 +106,22 @@ def encode_all(df: DataFrame, product: bool = True) -> DataFrame:
 
 
 def batch_features(cube: DataFrame, min_units: int = 1,
-                   fill_scope: str = "product") -> DataFrame:
+                   fill_scope: str = "product", fill_order: list[str] | None = None) -> DataFrame:
     """The batch feature frame (every column of the 22-feature list).
 
     One window pass fills price and dimensions (forward then backward within
     the product; ``fill_scope="global"`` for the whole-sequence backward
-    fill); the filled frame is kept for reuse so the median fallback, the
+    fill; ``fill_scope="sequence"`` for fills over the rows in ``fill_order``, by
+    default the cube's own (category, region, date), with the backward fill
+    running on across products); the filled frame is kept for reuse so the median fallback, the
     dictionaries and the lag/roll windows all read it once, on its product
     partitioning."""
     df = popular(cube, min_units)
-    df = fill_within_product(df, [P] + DIM_MEANS, default={c: 0.0 for c in DIM_MEANS},
-                             scope=fill_scope)
+    default = {c: 0.0 for c in DIM_MEANS}
+    if fill_scope == "sequence":
+        df = fill_sequence(df, [P] + DIM_MEANS, fill_order or [CATEGORY, "seller_state_encoded", "Date"], default)
+    else:
+        df = fill_within_product(df, [P] + DIM_MEANS, fill_order, default=default, scope=fill_scope)
     df = reuse(df)
     med = fallback_value(df, P, "median")
     df = df.withColumn(P, F.coalesce(P, F.lit(med)))

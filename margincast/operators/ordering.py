@@ -84,3 +84,24 @@ def next_non_null(df: DataFrame, key: str, value: str, out: str,
     return (inner.join(F.broadcast(carry), "_blk", "left")
             .withColumn(out, F.coalesce("_in", "_carry"))
             .drop("_r", "_blk", "_in", "_carry"))
+
+
+def global_backfill(df: DataFrame, order_cols: list[str], cols: list[str], partitions: int | None = None) -> DataFrame:
+    """Every null of ``cols`` takes the first non-null value after it in the total
+    order ``order_cols`` (any columns, unique per row), across all keys.
+
+    Rows are range-partitioned and sorted; a window fills inside each partition, and
+    what its tail leaves null takes the first value of the following
+    partitions from a table of one row per partition."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols))
+    ranged = (ranged.sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
+              .withColumn("_local", F.monotonically_increasing_id()).checkpoint(eager=True))
+    back = Window.partitionBy("_pid").orderBy(F.col("_local").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inner = ranged.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in cols})
+    firsts = ranged.groupBy("_pid").agg(*[
+        F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_local"))).alias(f"_first_{c}") for c in cols])
+    later = Window.orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = firsts.select("_pid", *[F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_carry_{c}") for c in cols])
+    return (inner.join(F.broadcast(carry), "_pid", "left")
+            .withColumns({c: F.coalesce(c, f"_carry_{c}") for c in cols}).select(*df.columns))

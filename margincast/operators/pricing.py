@@ -327,6 +327,36 @@ def base_rows(train: DataFrame, order: list[str] | None = None, key: str = "prod
     return last.withColumns({"current_price": F.col(P), "current_units": F.col(Q)})
 
 
+def base_rows_with_fallback(train: DataFrame, targets: DataFrame, features: list[str],
+                            order: list[str] | None = None, key: str = "product_id") -> DataFrame:
+    """J11 + A22: a base row for every target, by the first of three levels that
+    has one (``base_level``):
+
+    * ``last_week`` - the product's first row (in ``order``) of the last train week;
+    * ``last_row``  - its latest train row;
+    * ``mean``      - the mean of every feature over the train side (a product
+      without train rows; its units are the mean units).
+
+    Levels one and two come from one grouped pass: ``min_by`` ignores rows
+    whose ordering is null, which makes it a filtered lookup.  The mean vector
+    is one row."""
+    from margincast.operators.windows import ORDER
+    order = order or ORDER
+    cols = list(dict.fromkeys([*features, P, Q]))
+    last = train.agg(F.max("Date").alias("d"), *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols]).first()
+    row = F.struct("Date", *[F.col(c).cast("double").alias(c) for c in cols])
+    found = train.groupBy(key).agg(
+        F.min_by(row, F.when(F.col("Date") == F.lit(last["d"]), F.struct(*order))).alias("_week"),
+        F.max_by(row, F.struct(*order)).alias("_row"))
+    mean = F.struct(F.lit(None).cast("date").alias("Date"), *[F.lit(last[f"m_{c}"]).cast("double").alias(c) for c in cols])
+    base = (targets.select(key).distinct().join(found, key, "left")
+            .withColumn("base_level", F.when(F.col("_week").isNotNull(), "last_week").when(F.col("_row").isNotNull(), "last_row")
+                        .otherwise("mean"))
+            .withColumn("_b", F.coalesce("_week", "_row", mean)))
+    return (base.select(key, "base_level", "_b.*")
+            .withColumns({"current_price": F.col(P), "current_units": F.col(Q)}))
+
+
 def ranked_targets(train: DataFrame, n: int | None = 10, key: str = "product_id") -> DataFrame:
     """T4 + J12: products ranked by units (ties → lower id) with unit cost by
     rank.  ``n=None`` ranks every product (costs past the list use the

@@ -86,6 +86,17 @@ def fill_within_product(df: DataFrame, cols: list[str], order: list[str] | None
     return out.na.fill(default) if default else out
 
 
+def fill_sequence(df: DataFrame, cols: list[str], order: list[str], default: dict | None = None,
+                  key: str = "product_id") -> DataFrame:
+    """W7 + W8 over the rows as one sequence (key, *order): forward fill within
+    the key, then a backward fill that runs on across keys, then a default.
+    ``order`` may be any columns that make the sequence total."""
+    from margincast.operators.ordering import global_backfill
+    w = by_product(order, key)
+    out = global_backfill(df.withColumns({c: ffill(c, w) for c in cols}), [key, *order], cols)
+    return out.na.fill(default) if default else out
+
+
 def latest_rows(df: DataFrame, order: list[str] | None = None, key: str = "product_id") -> DataFrame:
     """The last row of each product in the total order.
 

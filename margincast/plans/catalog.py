@@ -744,6 +744,30 @@ def e2_batch_features(spark, d):
     return out(batch_frame(spark, d).withColumns(r6(f"{P_}_Roll_Mean_4", f"{Q_}_Roll_Mean_4")))
 
 
+# fills over the cube's own row order, the backward one across products
+_SEQ = "product_id, product_category_name_english, seller_state_encoded, Date"
+_PARITY_SQL = _BATCH_SQL.replace("filled0 AS (SELECT", f"""ff AS (SELECT * REPLACE ({", ".join(
+    f"last_value({c} IGNORE NULLS) OVER (PARTITION BY product_id ORDER BY {_SEQ} ROWS UNBOUNDED PRECEDING) AS {c}"
+    for c in [P_, *_DIMS])}) FROM pop),
+bf AS (SELECT * REPLACE ({", ".join(
+    f"first_value({c} IGNORE NULLS) OVER (ORDER BY {_SEQ} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}"
+    for c in [P_, *_DIMS])}) FROM ff),
+unused AS (SELECT""", 1).replace("filled AS (SELECT * REPLACE", f"""filled0 AS (
+  SELECT * REPLACE ({", ".join(f"coalesce({c}, 0.0) AS {c}" for c in _DIMS)}) FROM bf),
+filled AS (SELECT * REPLACE""", 1)
+
+
+@q("e2p_parity_features", _PARITY_SQL + f"""
+SELECT * REPLACE (strftime(Date, '%Y-%m-%d') AS Date, round({P_}_Roll_Mean_4, 6) AS {P_}_Roll_Mean_4,
+                  round({Q_}_Roll_Mean_4, 6) AS {Q_}_Roll_Mean_4) FROM batch""")
+def e2p_parity_features(spark, d):
+    """The batch frame with fills over the cube's row order (category, region,
+    date) and a backward fill that runs on across products."""
+    from margincast.operators.features import batch_features
+    return out(batch_features(cube(spark, d), fill_scope="sequence")
+               .withColumns(r6(f"{P_}_Roll_Mean_4", f"{Q_}_Roll_Mean_4")))
+
+
 _SERVICE_SQL = with_(*CUBE_CTES) + f""",
 pop AS (SELECT * FROM cube WHERE product_id IN
         (SELECT product_id FROM cube GROUP BY 1 HAVING sum(QuantitySold) >= 10)),
@@ -888,6 +912,35 @@ def j11_base_rows(spark, d):
                                             "current_units"))
 
 
+_BASE_COLS = [P_, "Weight_g_Mean", f"{P_}_Lag_1", f"{Q_}_Lag_1", "Month"]
+
+
+@q("j11f_base_rows_fallback", _BATCH_SQL + f""",
+dates AS (SELECT Date, row_number() OVER (ORDER BY Date) AS rn, count(*) OVER () AS n
+          FROM (SELECT DISTINCT Date FROM batch)),
+train AS (SELECT * FROM batch WHERE Date < (SELECT Date FROM dates WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1)),
+lastd AS (SELECT max(Date) AS d FROM train),
+week AS (SELECT *, 'last_week' AS base_level FROM train WHERE Date = (SELECT d FROM lastd)
+         QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seller_state_encoded) = 1),
+lastrow AS (SELECT *, 'last_row' AS base_level FROM train WHERE product_id NOT IN (SELECT product_id FROM week)
+            QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY Date DESC, seller_state_encoded DESC) = 1),
+either AS (SELECT * FROM week UNION ALL SELECT * FROM lastrow),
+means AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in [*_BASE_COLS, Q_])} FROM train)
+SELECT t.product_id, coalesce(base_level, 'mean') AS base_level, strftime(e.Date, '%Y-%m-%d') AS Date,
+       {", ".join(f"round(CASE WHEN base_level IS NULL THEN m.{c} ELSE e.{c} END, 6) AS {c}" for c in _BASE_COLS)},
+       round(CASE WHEN base_level IS NULL THEN m.{Q_} ELSE e.{Q_} END, 6) AS current_units
+FROM (SELECT DISTINCT product_id FROM batch) t LEFT JOIN either e ON e.product_id = t.product_id, means m""")
+def j11f_base_rows_fallback(spark, d):
+    """Every product of the frame gets a base row from the train weeks."""
+    from margincast.operators.pricing import base_rows_with_fallback
+    from margincast.operators.splits import date_split
+    feats = batch_frame(spark, d)
+    train = date_split(feats, 0.8).where("is_train")
+    base = base_rows_with_fallback(train, feats, _BASE_COLS)
+    return out(base.select("product_id", "base_level", "Date", *[F.round(c, 6).alias(c) for c in _BASE_COLS],
+                           F.round("current_units", 6).alias("current_units")))
+
+
 @q("j12_cost_by_rank", _PRICE_SQL + """
 SELECT product_id, total_units, CAST(rank AS INTEGER) AS rank, cost FROM costed""")
 def j12_cost_by_rank(spark, d):
