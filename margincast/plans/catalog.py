@@ -53,6 +53,56 @@ def s1_read_sources(spark, d):
     return res
 
 
+def _csv_copy(spark, d):
+    """The given tables as the five CSV files: byte-order marks, quoted line
+    breaks and quotes inside values, and one order line whose number is no number."""
+    import uuid
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.sources.tables import write_sources_csv
+    src = dict(sources(spark, d))
+    noted = F.concat(F.lit('note "'), F.col("order_id").cast("string"), F.lit('",\nsecond line'))
+    src["orders"] = src["orders"].withColumn("customer_id", noted)
+    items = src["order_items"].withColumn("order_item_id", F.lit(1).cast("string"))
+    one = items.agg(*[F.min(F.col(c).cast("string")).alias(c) for c in items.columns if c != "order_item_id"])
+    src["order_items"] = items.select(*[F.col(c).cast("string").alias(c) for c in items.columns]).unionByName(
+        one.withColumn("order_item_id", F.lit("first")))
+    path = f"{ensure_checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}"
+    write_sources_csv(src, path, bom=True)
+    return path
+
+
+@q("s1_csv_ingest", with_(SRC) + """
+SELECT 'orders' AS source, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS bad_rows,
+       CAST(sum(length('note "' || order_id || '",' || chr(10) || 'second line')) AS BIGINT) AS checksum FROM src_orders
+UNION ALL SELECT 'order_items', count(*), 1, CAST(sum(CAST(price * 100 AS BIGINT)) AS BIGINT) FROM src_items
+UNION ALL SELECT 'products', count(*), 0, CAST(sum(product_weight_g) AS BIGINT) FROM src_products
+UNION ALL SELECT 'translation', count(*), 0, CAST(sum(length(product_category_name_english)) AS BIGINT) FROM src_translation
+UNION ALL SELECT 'sellers', count(*), 0, CAST(sum(length(seller_state)) AS BIGINT) FROM src_sellers""")
+def s1_csv_ingest(spark, d):
+    from margincast.sources.tables import read_sources_checked
+    src, bad = read_sources_checked(spark, _csv_copy(spark, d))
+    sums = {"orders": F.sum(F.length("customer_id")), "order_items": F.sum(F.round(F.col("price") * 100).cast("long")),
+            "products": F.sum("product_weight_g").cast("long"), "translation": F.sum(F.length("product_category_name_english")),
+            "sellers": F.sum(F.length("seller_state"))}
+    read = None
+    for name, df in src.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows"), sums[name].alias("checksum")).withColumn("source", F.lit(name))
+        read = one if read is None else read.unionByName(one)
+    bad = bad.groupBy("source").agg(F.count(F.lit(1)).alias("bad_rows"))
+    return read.join(bad, "source", "left").select("source", "rows", F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"), "checksum")
+
+
+@q("s1c_csv_cube", with_(*CUBE_CTES) + """
+SELECT CAST(product_id AS VARCHAR) AS product_id, product_category_name_english, seller_state_encoded,
+       strftime(Date, '%Y-%m-%d') AS Date, QuantitySold, AverageSellingPrice, Weight_g_Mean,
+       Length_cm_Mean, Height_cm_Mean, Width_cm_Mean FROM cube""")
+def s1c_csv_cube(spark, d):
+    """The weekly cube straight from CSV files."""
+    from margincast.sources.tables import read_sources_checked
+    src, _ = read_sources_checked(spark, _csv_copy(spark, d))
+    return out(C.weekly_cube_from_sources(src, DELIVERED, "fashion_"))
+
+
 @q("s2_check_sources")
 def s2_check_sources(spark, d):
     from margincast.sources.tables import check_sources
@@ -1422,6 +1472,45 @@ def s3_model_store(spark, d):
             .withColumn("n_features", F.lit(n_feats)))
 
 
+_STORE_COLS = {"product_id": "product_encoded", CAT: "category_encoded"}
+
+
+@q("s3e_stored_encoders", with_(*CUBE_CTES) + """,
+dates AS (SELECT Date, row_number() OVER (ORDER BY Date) AS rn, count(*) OVER () AS n
+          FROM (SELECT DISTINCT Date FROM cube)),
+split AS (SELECT Date AS split_date FROM dates WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1),
+prods AS (SELECT product_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS INTEGER) AS product_encoded
+          FROM (SELECT DISTINCT product_id FROM cube, split WHERE Date < split_date)),
+cats AS (SELECT c AS product_category_name_english, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS category_encoded
+         FROM (SELECT DISTINCT product_category_name_english AS c FROM cube, split WHERE Date < split_date))
+SELECT cube.product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date,
+       coalesce(product_encoded, -1) AS product_encoded, coalesce(category_encoded, -1) AS category_encoded,
+       true AS same_prediction
+FROM cube JOIN split ON Date >= split_date LEFT JOIN prods ON prods.product_id = cube.product_id
+LEFT JOIN cats ON cats.product_category_name_english = cube.product_category_name_english""")
+def s3e_stored_encoders(spark, d):
+    """Encoders and model fitted on the train weeks, stored, loaded, and used on
+    the later weeks, which hold products that the dictionary has not seen."""
+    import uuid
+    from margincast.operators.models import demand_model
+    from margincast.operators.splits import date_split
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.sources.model_store import encode, fit_encoders, load_encoders, load_model, save_model
+    frame = date_split(cube(spark, d), 0.8)
+    train, new = frame.where("is_train"), frame.where("not is_train")
+    fitted = fit_encoders(train, _STORE_COLS, unseen="code")
+    cols = [*_STORE_COLS.values(), "seller_state_encoded", P_]
+    model = demand_model("linear", cols).fit(encode(train, fitted))
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    save_model(model, path, spark, cols, fitted)
+    loaded, _ = load_model(path, spark)
+    keys = ["product_id", "seller_state_encoded", "Date"]
+    again = loaded.transform(encode(new, load_encoders(path, spark)))
+    first = model.transform(encode(new, fitted)).select(*keys, F.col("prediction").alias("_first"))
+    return out(again.join(first, keys).select(*keys, *_STORE_COLS.values(),
+                                              (F.col("prediction") == F.col("_first")).alias("same_prediction")))
+
+
 @q("p10m_profit_by_model")
 def p10m_profit_by_model(spark, d):
     """A23 / P10 per model: grid search with each fitted demand model."""

@@ -65,6 +65,50 @@ def read_sources(spark: SparkSession, directory: str, fmt: str = "csv",
     return out
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """One CSV source as (rows that fit the schema, the raw text of those that
+    don't).  A record is bad when a value has not its column's type or the
+    number of values differs; the rest of the file is still read.  Every record
+    is parsed in full, whatever columns a query asks for, so the same rows
+    are bad in every query."""
+    raw = (spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, _S)]))
+           .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+           .option("multiLine", True).option("escape", '"').csv(path))
+    # the parser skips columns that a query does not read; a test that names all of
+    # them (and never holds: there are no fewer than zero values) keeps it from that
+    filled = sum(F.col(c).isNotNull().cast("int") for c in schema.names)
+    bad = F.col(CORRUPT).isNotNull() | (filled < 0)
+    return (raw.where(~bad).select(*schema.names),
+            raw.where(bad).select(F.col(CORRUPT).alias("record")))
+
+
+def read_sources_checked(spark: SparkSession, directory: str,
+                         files: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """S1 for files that may hold malformed rows: the five tables without them,
+    and the bad records of all files (source, record) for a quarantine."""
+    out, bad = {}, None
+    for name, fname in {**SOURCE_FILES, **(files or {})}.items():
+        out[name], rest = read_csv_checked(spark, f"{directory}/{fname}", SOURCE_SCHEMAS[name])
+        rest = rest.select(F.lit(name).alias("source"), "record")
+        bad = rest if bad is None else bad.unionByName(rest)
+    return out, bad
+
+
+def write_sources_csv(src: dict[str, DataFrame], directory: str, bom: bool = False) -> None:
+    """The five tables as CSV folders in their files' column order; columns
+    that a table lacks stay empty.  ``bom`` starts every file with a byte-order mark."""
+    for name, df in src.items():
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast("string").alias(f.name)
+                for f in SOURCE_SCHEMAS[name].fields]
+        if bom:
+            cols[0] = cols[0].alias("\ufeff" + SOURCE_SCHEMAS[name].names[0])
+        (df.select(*cols).write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "")
+         .csv(f"{directory}/{SOURCE_FILES[name]}"))
+
+
 def check_sources(spark: SparkSession, directory: str,
                   required: list[str] | None = None) -> DataFrame:
     """(source, file, present) for every required input file.
