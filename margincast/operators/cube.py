@@ -232,7 +232,21 @@ def collapse_regions(cube: DataFrame) -> DataFrame:
             .select(*CUBE_KEYS, *MEASURES))
 
 
-def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
+def mean_over_weeks(cube: DataFrame, col: str) -> float | None:
+    """The mean of ``col`` over the dense grid that ``densify(carry=True)`` makes of
+    ``cube``, from the cube alone: a row counts once for itself and once for
+    every empty week it is carried into."""
+    span = cube.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
+    w = Window.partitionBy("product_id").orderBy("Date", "seller_state_encoded")
+    until = F.coalesce(F.lead("Date").over(w), F.date_add(F.lit(span["hi"]), 7))
+    weeks = F.greatest(F.datediff(until, "Date") / 7, F.lit(1))
+    before = F.when(F.lag("Date").over(w).isNull(), F.datediff("Date", F.lit(span["lo"])) / 7).otherwise(F.lit(0))
+    n = F.when(F.col(col).isNotNull(), F.col("_n"))
+    return (cube.withColumn("_n", (weeks + before).cast("long"))
+            .agg((F.sum(F.col(col) * n) / F.nullif(F.sum(n), F.lit(0))).alias("v")).first()["v"])
+
+
+def densify(cube: DataFrame, drop_filled: bool = False, carry: bool = False) -> DataFrame:
     """J7 (+J6, J8): every product over every week from the global first to
     last week; weeks without sales get QuantitySold 0, null measures and
     region code -1 (``drop_filled`` leaves the code null, the variant that
@@ -243,8 +257,14 @@ def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
     row emits itself plus the empty weeks up to the product's next sale (the
     first row also emits the weeks since the global start, the last row those
     up to the global end).  One window on the product partitioning and a
-    generator — the fill, lag and rolling windows that follow reuse the same
-    partitioning, so the products × weeks frame is never shuffled."""
+    generator — the lag and rolling windows that follow reuse the same
+    partitioning, so the products × weeks frame is never shuffled.
+
+    ``carry`` fills while generating: an empty week takes the price and measures of
+    the row that emits it (the product's previous row, or its first one for the
+    weeks before).  With the cube's own nulls filled within the product first,
+    that is what a forward and backward fill over the grid gives, without a
+    window over products × weeks."""
     span = cube.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
     lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
     w = Window.partitionBy("product_id").orderBy("Date", "seller_state_encoded")
@@ -258,11 +278,11 @@ def densify(cube: DataFrame, drop_filled: bool = False) -> DataFrame:
     before = F.date_sub("Date", 7)
     leading = F.when(prv.isNull() & (lo <= before), F.sequence(lo, before, step)).otherwise(none)
     code = F.lit(None).cast("int") if drop_filled else F.lit(-1)
-    nulls = [F.lit(None).cast("double").alias(m) for m in MEASURES[1:]]
+    held = [(F.col(m) if carry else F.lit(None).cast("double")).alias(m) for m in MEASURES[1:]]
 
     def empty(d):
         return F.struct(code.alias("seller_state_encoded"), d.alias("Date"),
-                        F.lit(0).cast("long").alias("QuantitySold"), *nulls)
+                        F.lit(0).cast("long").alias("QuantitySold"), *held)
 
     real = F.struct(F.col("seller_state_encoded"), F.col("Date"),
                     F.col("QuantitySold").cast("long").alias("QuantitySold"),

@@ -16,7 +16,7 @@ from margincast.functions.dates import calendar_columns
 from margincast.functions.holidays import holiday_calendar, year_range
 from margincast.functions.scalars import cyclical, discount_pct, is_discounted
 from margincast.operators.cube import (collapse_regions, densify, encode_large, encode_small, fallback_value,
-                                       min_volume, popular)
+                                       mean_over_weeks, min_volume, popular)
 from margincast.operators.sales import CATEGORY
 from margincast.operators.windows import by_product, fill_sequence, fill_within_product, lag, rolling
 from margincast.session import reuse
@@ -171,16 +171,16 @@ def dense_features(cube: DataFrame, drop_filled: bool = False, min_total: float
     lags 1–4/8/52, shifted rolling mean/std/max, discount and interaction
     features, 22-column null drop, low-volume filter (A20).
 
-    Fills run in one window pass over the grid and the filled grid is kept
-    for reuse (the global mean fallback is an action over it); dictionaries
-    and holiday years come from the much smaller cube."""
+    Fills run on the cube's rows; the generator that makes the grid carries the
+    filled values into the empty weeks, so the products × weeks frame is only
+    read by the lag and rolling windows.  The global mean fallback,
+    dictionaries and holiday years come from the much smaller cube."""
     if collapse:
         cube = collapse_regions(cube)
-    df = densify(cube, drop_filled=drop_filled)
     order = ["Date", "seller_state_encoded"]
-    df = reuse(fill_within_product(df, [P] + DIM_MEANS, order, default={c: 0.0 for c in DIM_MEANS}))
-    mean_price = fallback_value(df, P, "mean")
-    df = df.withColumn(P, F.coalesce(P, F.lit(mean_price)))
+    full = reuse(fill_within_product(cube, [P] + DIM_MEANS, order, default={c: 0.0 for c in DIM_MEANS}))
+    mean_price = mean_over_weeks(full, P)
+    df = densify(full.withColumn(P, F.coalesce(P, F.lit(mean_price))), drop_filled=drop_filled, carry=True)
     df = encode_small(df, CATEGORY, "category_encoded", source=cube)
     cal = calendar_columns("Date")
     df = df.withColumns(cal)

@@ -191,33 +191,36 @@ def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: in
     """Particle-swarm price search for every product at once.
 
     ``base`` has one row per product with its features, ``current_price``,
-    ``cost``, ``lower`` and ``upper``.  State rows are (product, particle)
-    and stay hash-partitioned by product for the whole run, so the per-product
-    best (a window, not a join) never re-shuffles.  Each iteration scores the
-    positions of every swarm with a single scorer call; then personal and
-    product bests are updated (strict improvement, earliest wins on ties) and
-    velocities move (w = .5, c1 = c2 = 1.5, clamped to bounds).  Lineage is
-    cut with a reliable checkpoint every ``checkpoint_every`` iterations.
-    Returns (product, swarm_price, swarm_profit) with profit positive.
+    ``cost``, ``lower`` and ``upper``.  The state is narrow: product, particle,
+    position, velocity and the bests.  It is hash-partitioned by product, as
+    the static feature table is, and meets it once every ``checkpoint_every``
+    iterations; checkpoints write the narrow columns only.  In between the features ride
+    along in memory, and the per-product best is a window on the same
+    partitioning.  Each iteration scores the positions of every swarm with a
+    single scorer call; then personal and product bests are updated (strict
+    improvement, earliest wins on ties) and velocities move (w = .5, c1 = c2 =
+    1.5, clamped to bounds).  Returns (product, swarm_price, swarm_profit) with
+    profit positive.
     """
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
     base = scorer.attach(base) if hasattr(scorer, "attach") else base
-    base = reuse(base)        # counted for sizing, then expanded into the state
+    n = partitions_for(spark, base.count() * particles, 5_000)
+    static = reuse(base.repartition(n, key))
     span = F.col("upper") - F.col("lower")
     u0 = _uniform(seed, F.col(key), F.col("particle"), F.lit(-1), F.lit(0))
     g1 = _uniform(seed, F.col(key), F.col("particle"), F.lit(-1), F.lit(1))
     g2 = _uniform(seed, F.col(key), F.col("particle"), F.lit(-1), F.lit(2))
     normal = F.sqrt(-2.0 * F.log(1.0 - g1)) * F.cos(2 * math.pi * g2)
     # each product row expands into its own particles (a generator, no join)
-    state = (base.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
-             .repartition(partitions_for(spark, base.count() * particles, 5_000), key)
+    narrow = [key, "particle", "pos", "vel", "pbest_pos", "pbest_val", "g"]
+    state = (static.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
              .withColumns({"pos": F.col("lower") + u0 * span,
                            "vel": normal * SWARM_VEL_SD,
                            "pbest_pos": F.lit(None).cast("double"),
                            "pbest_val": F.lit(None).cast("double"),
                            "g": F.lit(None).cast("struct<val:double,it:int,particle:int,pos:double>")}))
-    keep = state.columns
+    wide = state.columns
     wprod = Window.partitionBy(key)
     for it in range(iters):
         scored = profit(scorer(counterfactual(state.withColumn("price", F.col("pos")), variant)))
@@ -239,9 +242,13 @@ def swarm_search(base: DataFrame, scorer: Scorer, particles: int = 10, iters: in
         step = step.withColumn("vel", vel)
         step = step.withColumn("pos", F.least(F.greatest(F.col("pos") + F.col("vel"), F.col("lower")),
                                               F.col("upper")))
-        state = step.select(*keep)
-        if checkpoint_every and (it + 1) % checkpoint_every == 0 and it + 1 < iters:
-            state = state.checkpoint(eager=True)
+        # scorers change feature columns of their copy only: the static ones come back from ``static``
+        last = it + 1 == iters
+        if not last and checkpoint_every and (it + 1) % checkpoint_every == 0:
+            kept = step.select(*narrow).checkpoint(eager=True)
+            state = static.join(kept, key).select(*wide)
+        else:
+            state = step.select(*narrow) if last else step.select(*wide)
     best = state.groupBy(key).agg(F.first("g").alias("g"))
     return best.select(key, F.col("g.pos").alias("swarm_price"), (-F.col("g.val")).alias("swarm_profit"))
 

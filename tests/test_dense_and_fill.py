@@ -75,3 +75,23 @@ def test_collapse_regions_sums_units_and_weights_price(spark):
     got = {r.Date: (r.QuantitySold, r.AverageSellingPrice, r.seller_state_encoded)
            for r in collapse_regions(spark.createDataFrame(rows, CUBE)).collect()}
     assert got[wk(1)] == (3, 11.0, -1) and got[wk(2)] == (5, 12.0, -1)
+
+
+def test_carrying_while_generating_equals_filling_the_grid(spark):
+    from margincast.operators.cube import MEASURES, mean_over_weeks
+    rnd = random.Random(8)
+    rows = []
+    for p in range(25):
+        for i in sorted(rnd.sample(range(12), rnd.randrange(1, 9))):
+            for s in rnd.sample(range(4), rnd.choice([1, 1, 2])):
+                price = None if p == 3 or rnd.random() < 0.4 else round(rnd.uniform(1, 9), 2)
+                rows.append((p, "fashion_x", s, wk(i), 1, price, 1.0, rnd.choice([None, 2.0]), None, 3.0))
+    cube = spark.createDataFrame(rows, CUBE)
+    order, cols = ["Date", "seller_state_encoded"], MEASURES[1:]
+    key = ["product_id", *order, "QuantitySold"]
+    after = fill_within_product(densify(cube), cols, order).select(*key, *cols)
+    first = fill_within_product(cube, cols, order)
+    during = densify(first, carry=True).select(*key, *cols)
+    assert sorted(after.collect(), key=repr) == sorted(during.collect(), key=repr)
+    want = after.agg(F.avg("AverageSellingPrice")).first()[0]
+    assert abs(mean_over_weeks(first, "AverageSellingPrice") - want) < 1e-9
