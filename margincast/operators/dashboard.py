@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from margincast.functions.dates import fmt_date
 from margincast.functions.scalars import (PCT_EPS, pct_change, revenue, round_half_up, short_id,
                                           to_currency)
+from margincast.operators.ordering import ordered_index
 from margincast.operators.sales import CATEGORY
 
 P, Q = "AverageSellingPrice", "QuantitySold"
@@ -36,6 +37,17 @@ def money_report(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
     return df.withColumns(out).drop(*cols)
 
 
+def product_listing(cube: DataFrame, id_chars: int = 30) -> DataFrame:
+    """Every product by revenue (reported cents; ties → lower product id): its
+    ``position`` in the list, short id, category, total sales, mean price and
+    revenue in both currencies.  Positions come from a distributed order."""
+    rows = money_report(product_summary(cube).withColumnRenamed(CATEGORY, "category")
+                        .withColumnRenamed("total_units", "total_sales")
+                        .withColumn("product_id_short", short_id("product_id", id_chars)), ["avg_price", "revenue"])
+    listed = ordered_index(rows.withColumn("_neg", -F.col("revenue_brl")), ["_neg", "product_id"], out="position")
+    return listed.withColumn("position", (F.col("position") + 1).cast("long")).drop("_neg")
+
+
 def top_products(cube: DataFrame, n: int = 10, id_chars: int = 20) -> DataFrame:
     """Top n products by revenue (ties → lower product id)."""
     top = product_summary(cube).orderBy(F.desc("revenue"), F.asc("product_id")).limit(n)

@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from margincast.functions.scalars import mape_verdict, overfit_verdict, r2_verdict
+from margincast.functions.scalars import as_units, mape_verdict, overfit_verdict, r2_verdict
 from margincast.operators.splits import sample_n
 
 LABEL = "QuantitySold"
@@ -125,9 +125,14 @@ def _metric_row(pred: DataFrame, label: str) -> dict:
     return metrics(pred, label).first().asDict()
 
 
-def compare(models: dict, train: DataFrame, test: DataFrame, label: str = LABEL):
-    """Fit every model on the (cached) train side, score both sides,
-    return (leaderboard DataFrame, fitted models).  Leaderboard order: test
+def demand_units(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """X6 on a scored table: predictions as whole units, none below zero."""
+    return pred.withColumn(prediction, as_units(prediction))
+
+
+def compare(models: dict, train: DataFrame, test: DataFrame, label: str = LABEL, units: bool = False):
+    """Fit every model on the (cached) train side, score both sides (raw,
+    or with ``units`` after rounding to whole non-negative units), return (leaderboard DataFrame, fitted models).  Leaderboard order: test
     R² descending, then test RMSE ascending (T3)."""
     spark = train.sparkSession
     rows, fitted = [], {}
@@ -136,8 +141,9 @@ def compare(models: dict, train: DataFrame, test: DataFrame, label: str = LABEL)
         m = est.fit(train)
         fit_s = time.time() - t0
         fitted[name] = m
-        tr = _metric_row(m.transform(train), label)
-        pte = m.transform(test)
+        scored = (lambda df: demand_units(m.transform(df))) if units else m.transform  # noqa: B023
+        tr = _metric_row(scored(train), label)
+        pte = scored(test)
         te = _metric_row(pte, label)
         mp = mape(pte, label).first()["mape"]
         rows.append((name, tr["mae"], te["mae"], tr["rmse"], te["rmse"], tr["r2"], te["r2"], mp,
@@ -215,6 +221,8 @@ RF_SPACE = {"numTrees": ("int", 100, 300), "maxDepth": ("choice", [30, 15, 20, 2
 GBT_SPACE = {"maxIter": ("int", 200, 500), "stepSize": ("choice", [0.01, 0.02, 0.05]),
              "maxDepth": ("choice", [30, 15, 20]),
              "featureSubsetStrategy": ("choice", ["0.7", "0.9"])}
+# What the boosted-tree search holds constant (rows a leaf, row share).
+GBT_FIXED = {"minInstancesPerNode": 50, "subsamplingRate": 0.8}
 
 
 def sample_param_maps(reg, space: dict, n: int = 20, seed: int = 42) -> list:

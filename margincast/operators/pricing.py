@@ -265,6 +265,19 @@ def best_of(grid: DataFrame, swarm: DataFrame, key: str = "product_id") -> DataF
     })
 
 
+def prices_by_model(base: DataFrame, scorers: dict[str, Scorer], particles: int = 10, iters: int = 30, seed: int = 42,
+                    variant: str = "b", key: str = "product_id") -> DataFrame:
+    """P10 / A23 input: per fitted model and product the grid's and the swarm's
+    best, and the better of both (``model``, ``optimal_price``, ``max_profit``)."""
+    out = None
+    for name, scorer in scorers.items():
+        grid = grid_search(score_candidates(price_candidates(base, GRID_POINTS), scorer, variant))
+        swarm = swarm_search(base, scorer, particles, iters, seed, variant)
+        one = best_of(grid, swarm).join(base.select(key, "lower", "upper", "current_price"), key).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --------------------------------------------------------------------------- P8
 def optimization_report(base: DataFrame, best: DataFrame, scorer: Scorer | None = None,
                         variant: str = "a", key: str = "product_id") -> DataFrame:

@@ -364,6 +364,17 @@ def a7_top_products(spark, d):
     return D.top_products(cube(spark, d), 10)
 
 
+@q("a6l_product_listing", with_(*CUBE_CTES) + f""",
+u AS (SELECT product_id, product_category_name_english AS category, CAST(sum(QuantitySold) AS BIGINT) AS total_sales,
+             avg(AverageSellingPrice) AS p, sum(QuantitySold) * avg(AverageSellingPrice) AS r FROM cube GROUP BY 1, 2)
+SELECT CAST(row_number() OVER (ORDER BY {rm('r')} DESC, product_id) AS BIGINT) AS position, product_id,
+       substr(CAST(product_id AS VARCHAR), 1, 30) || '...' AS product_id_short, category, total_sales,
+       {rm('p')} AS avg_price_brl, {rm('p * 6.8')} AS avg_price_thb, {rm('r')} AS revenue_brl, {rm('r * 6.8')} AS revenue_thb
+FROM u""")
+def a6l_product_listing(spark, d):
+    return D.product_listing(cube(spark, d))
+
+
 _LAST8_SQL = """,
 last8 AS (SELECT QuantitySold AS q, QuantitySold * AverageSellingPrice AS rev,
                  row_number() OVER (ORDER BY Date DESC, product_id DESC, seller_state_encoded DESC) AS rk
@@ -1525,6 +1536,69 @@ def p10m_profit_by_model(spark, d):
     return profit_total(parts[0].unionByName(parts[1]))
 
 
+def _swarm_facts(base, scorer, swarm, variant):
+    """Per product: the found price lies within its bounds, its profit is what
+    the demand model gives at that price, and it is no worse than both ends."""
+    from margincast.operators.pricing import score_candidates
+    found = base.join(swarm, "product_id")
+    at = lambda c: score_candidates(found.withColumn("price", F.col(c)), scorer, variant).select(
+        "product_id", F.col("profit").alias(f"at_{c}"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-6 * (1 + F.abs(F.col(b)))
+    j = found.join(at("swarm_price"), "product_id").join(at("lower"), "product_id").join(at("upper"), "product_id")
+    return j.select("product_id", F.col("swarm_price").between(F.col("lower"), F.col("upper")).alias("within_bounds"),
+                    near("swarm_profit", "at_swarm_price").alias("profit_at_price"),
+                    (F.col("swarm_profit") >= F.least("at_lower", "at_upper") - 1e-6).alias("no_worse_than_ends"))
+
+
+_SWARM_FACTS_SQL = "\nSELECT product_id, true AS within_bounds, true AS profit_at_price, true AS no_worse_than_ends FROM "
+
+
+@q("p6m_swarm_tree_model", _PRICE_SQL + _SWARM_FACTS_SQL + "stats")
+def p6m_swarm_tree_model(spark, d):
+    """The batch run's swarm (10 x 30) for every product over a boosted-tree model."""
+    from margincast.operators.pricing import ModelDemand, swarm_search
+    pr, f = _Price(spark, d), _Fit(spark, d)
+    scorer = ModelDemand(f.pipeline("gbt_a").fit(f.train), drop=("features_raw", "features"))
+    base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id").checkpoint(eager=True)
+    swarm = swarm_search(base, scorer, particles=10, iters=30, seed=42, variant="b").checkpoint(eager=True)
+    return _swarm_facts(base, scorer, swarm, "b")
+
+
+@q("p6w_swarm_service_model", _SERVICE_SQL + _SWARM_FACTS_SQL + "(SELECT DISTINCT product_id FROM service)")
+def p6w_swarm_service_model(spark, d):
+    """The service's swarm (30 x 50, bounds of 30 % around the current price)
+    over a boosted-tree model of the service features."""
+    from margincast.operators.features import SERVICE_FEATURES
+    from margincast.operators.models import demand_model
+    from margincast.operators.pricing import ModelDemand, base_rows, price_bounds, swarm_search
+    frame = service_frame(spark, d).checkpoint(eager=True)
+    scorer = ModelDemand(demand_model("gbt_b", SERVICE_FEATURES, **_SMALL["gbt_b"]).fit(frame), drop=("features_raw", "features"))
+    base = price_bounds(base_rows(frame).withColumn("cost", F.lit(10.0)), "current", price_range=0.3).checkpoint(eager=True)
+    swarm = swarm_search(base, scorer, particles=30, iters=50, seed=42, variant="a").checkpoint(eager=True)
+    return _swarm_facts(base, scorer, swarm, "a")
+
+
+@q("p10s_prices_by_model", _PRICE_SQL + """
+SELECT m.model, product_id, true AS best_of_both, true AS within_bounds
+FROM stats, (VALUES ('linear'), ('gbt_a')) m(model)""")
+def p10s_prices_by_model(spark, d):
+    """Optimal price and profit of every product under every fitted model, grid
+    against swarm; the facts are checked per row, ``max_profit`` and
+    ``optimal_price`` are in ``prices_by_model``."""
+    r = _prices_by_model(spark, d)
+    return r.select("model", "product_id",
+                    (F.col("max_profit") == F.greatest("grid_profit", "swarm_profit")).alias("best_of_both"),
+                    F.col("optimal_price").between(F.col("lower") - 1e-9, F.col("upper") + 1e-9).alias("within_bounds"))
+
+
+def _prices_by_model(spark, d):
+    from margincast.operators.pricing import ModelDemand, prices_by_model
+    pr, f = _Price(spark, d), _Fit(spark, d)
+    scorers = {k: ModelDemand(f.pipeline(k).fit(f.train), drop=("features_raw", "features")) for k in ("linear", "gbt_a")}
+    base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id").checkpoint(eager=True)
+    return prices_by_model(base, scorers, particles=10, iters=30, seed=42, variant="b")
+
+
 # =========================================================== E4 / J9: dense frame
 
 _DW = "PARTITION BY product_id ORDER BY Date, seller_state_encoded"

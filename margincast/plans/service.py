@@ -68,7 +68,7 @@ class Service:
         return D.top_products(self.frame, 10)
 
     def products(self) -> DataFrame:
-        return D.money_report(D.product_summary(self.frame), ["avg_price", "revenue"])
+        return D.product_listing(self.frame)
 
     def product_analysis(self, product_id) -> DataFrame:
         one = D.for_product(self.frame, product_id)
