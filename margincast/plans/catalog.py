@@ -192,6 +192,38 @@ def f11_product_lookup(spark, d):
                                              "QuantitySold", "AverageSellingPrice"))
 
 
+def _stored_cube(spark, d):
+    import uuid
+    from margincast.session import ensure_checkpoint_dir
+    from margincast.sources.cube_table import store_cube
+    name = f"cube_{uuid.uuid4().hex}"
+    store_cube(cube(spark, d), name, f"{ensure_checkpoint_dir(spark)}/tables/{name}")
+    return name
+
+
+@q("f11t_stored_product_rows", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold, AverageSellingPrice
+FROM cube WHERE product_id = (SELECT min(product_id) FROM cube)""")
+def f11t_stored_product_rows(spark, d):
+    from margincast.sources.cube_table import product_rows
+    name = _stored_cube(spark, d)
+    pid = spark.table(name).agg(F.min("product_id")).first()[0]
+    return out(product_rows(spark, name, pid).select("product_id", "seller_state_encoded", "Date", "QuantitySold",
+                                                     "AverageSellingPrice"))
+
+
+@q("f12t_stored_last_weeks", with_(*CUBE_CTES) + """
+SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold
+FROM cube WHERE Date >= (SELECT max(Date) - 21 FROM cube)""")
+def f12t_stored_last_weeks(spark, d):
+    from margincast.sources.cube_table import between_weeks
+    import datetime as dt
+    name = _stored_cube(spark, d)
+    last = spark.table(name).agg(F.max("Date")).first()[0]
+    return out(between_weeks(spark, name, last - dt.timedelta(days=21), last)
+               .select("product_id", "seller_state_encoded", "Date", "QuantitySold"))
+
+
 @q("f14_drop_column", with_(*CUBE_CTES) + """
 SELECT product_id, seller_state_encoded, strftime(Date, '%Y-%m-%d') AS Date, QuantitySold FROM cube""")
 def f14_drop_column(spark, d):
@@ -469,6 +501,25 @@ def a13_distinct_counts(spark, d):
     return C.distinct_counts(cube(spark, d), [CAT, "product_id", "Date"])
 
 
+@q("a13s_distinct_sketches", with_(*CUBE_CTES) + """
+SELECT CAST(count(DISTINCT product_id) AS BIGINT) AS products, CAST(count(DISTINCT Date) AS BIGINT) AS weeks,
+       true AS within_bound, true AS later_within_bound FROM cube""")
+def a13s_distinct_sketches(spark, d):
+    """Sketches per week, merged at once, and merged from two halves; both
+    within three standard errors (1.04 / sqrt(2^12) each) of the exact count."""
+    cb = cube(spark, d).checkpoint(eager=True)
+    weekly = C.distinct_sketches(cb, ["product_id", "Date"]).checkpoint(eager=True)
+    early = F.col("Date") < F.lit(cb.agg(F.min("Date")).first()[0]) + F.expr("INTERVAL 100 DAYS")
+    union = [F.hll_union_agg(f"s_{c}").alias(f"s_{c}") for c in ("product_id", "Date")]
+    halves = weekly.where(early).agg(*union).unionByName(weekly.where(~early).agg(*union))
+    once, later = C.merged_distinct(weekly, ["product_id", "Date"]), C.merged_distinct(halves, ["product_id", "Date"])
+    exact = C.distinct_counts(cb, ["product_id", "Date"]).toDF("products", "weeks")
+    near = lambda e, n: F.abs(F.col(e) - F.col(n)) <= F.greatest(F.lit(1), 3 * 1.04 / 64 * F.col(n))
+    return (exact.crossJoin(once).crossJoin(later.toDF("p2", "w2"))       # one row each
+            .select("products", "weeks", (near("n_product_id", "products") & near("n_Date", "weeks")).alias("within_bound"),
+                    (near("p2", "products") & near("w2", "weeks")).alias("later_within_bound")))
+
+
 @q("a14_category_counts", with_(SRC, lines_sql()) + """
 SELECT product_category_name_english, CAST(count(*) AS BIGINT) AS rows FROM lines GROUP BY 1""")
 def a14_category_counts(spark, d):
