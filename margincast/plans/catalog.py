@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from margincast.sources.driver_tables import DELIVERED
-from margincast.plans.common import (ALL_CUBE_CTES, CUBE_CTES, SRC, WEEK_SQL, cube, holidays_sql,
+from margincast.plans.common import (ALL_CUBE_CTES, CUBE_CTES, DEMAND_SRC, SRC, demand_sources, WEEK_SQL, cube, holidays_sql,
                                      lines, lines_sql, out, r6, rm, sources, with_)
 from margincast.operators import cube as C
 from margincast.operators import dashboard as D
@@ -1869,6 +1869,41 @@ def m5b_random_search_gbt(spark, d):
                                  "param_map int, cv_r2 double")
 
 
+# =========================================================== the same operators where demand varies
+
+def _over_demand(name: str) -> None:
+    """The query once more over products that sell several units a week at prices
+    that move them: units, metrics, optima and monotone demand are not constant."""
+    fn, sql = REGISTRY[name]
+
+    def run(spark, d):
+        with demand_sources():
+            return fn(spark, d)
+    head, rest = name.split("_", 1)
+    REGISTRY[f"{head}v_{rest}"] = (run, sql.replace(SRC, DEMAND_SRC) if sql else None)
+
+
+for _name in ("a1_weekly_cube", "w4_rolling_std", "w5_rolling_max", "x6_x9_units_log", "m8_metrics", "m9_mape",
+              "m15_residual_hist", "x13_verdicts", "p4_profit", "p5_grid_search", "p8_optimization_report",
+              "p9_profit_curve", "p10_optimization_summary", "p11_monotone_demand", "m10_model_leaderboard"):
+    _over_demand(_name)
+
+
+@q("p5o_optima_inside", (with_(DEMAND_SRC) + _PRICE_SQL.split(SRC, 1)[1]) + """
+SELECT CAST(count(*) AS BIGINT) AS products,
+       CAST(sum(CASE WHEN grid_price > lower * 1.0001 AND grid_price < upper * 0.9999 THEN 1 ELSE 0 END) AS BIGINT) AS inside,
+       CAST(count(DISTINCT grid_demand) AS BIGINT) AS demands
+FROM grid JOIN bounds USING (product_id)""")
+def p5o_optima_inside(spark, d):
+    """How many products' best price lies inside their bounds."""
+    with demand_sources():
+        pr = _Price(spark, d)
+        g = pr.grid().join(pr.bounds(), "product_id")
+    inside = (F.col("grid_price") > F.col("lower") * 1.0001) & (F.col("grid_price") < F.col("upper") * 0.9999)
+    return g.agg(F.count(F.lit(1)).alias("products"), F.sum(inside.cast("long")).alias("inside"),
+                 F.countDistinct("grid_demand").alias("demands"))
+
+
 # =========================================================== streaming: the cube from arriving files
 
 @q("st1_stream_weekly_cube", with_(SRC, lines_sql()) + f""",

@@ -3,6 +3,8 @@ DuckDB CTE text over the same driver tables."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,12 +12,26 @@ from pyspark.sql import types as T
 from margincast.functions.holidays import BASE_HOLIDAYS
 from margincast.operators.cube import weekly_cube, weekly_cube_from_sources
 from margincast.operators.sales import sales_lines
-from margincast.sources.driver_tables import DELIVERED, ORACLE_SOURCES_SQL, load_driver_sources
+from margincast.sources.driver_tables import (DELIVERED, ORACLE_DEMAND_SQL, ORACLE_SOURCES_SQL, load_demand_sources,
+                                              load_driver_sources)
 
 
 # ----------------------------------------------------------------- Spark side
+_LOAD = [load_driver_sources]
+
+
+@contextmanager
+def demand_sources():
+    """Within, queries are built over the tables with varying, planted demand."""
+    _LOAD.append(load_demand_sources)
+    try:
+        yield
+    finally:
+        _LOAD.pop()
+
+
 def sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return load_driver_sources(spark, d)
+    return _LOAD[-1](spark, d)
 
 
 def lines(spark: SparkSession, d: str, family: bool = True) -> DataFrame:
@@ -53,6 +69,7 @@ def with_(*blocks: str) -> str:
 
 
 SRC = ORACLE_SOURCES_SQL.strip()
+DEMAND_SRC = ORACLE_DEMAND_SQL.strip()
 
 
 def lines_sql(name: str = "lines", family: bool = True) -> str:
