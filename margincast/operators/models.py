@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from margincast.functions.scalars import as_units, mape_verdict, overfit_verdict, r2_verdict
 from margincast.operators.splits import sample_n
+from margincast.session import reuse
 
 LABEL = "QuantitySold"
 
@@ -251,6 +255,59 @@ def random_search(pipeline: Pipeline, space: dict, n: int = 20, folds: int = 3,
                           numFolds=folds, parallelism=parallelism, seed=seed)
 
 
+def with_folds(df: DataFrame, folds: int = 3, seed: int = 42, key_cols: list[str] | None = None, out: str = "fold") -> DataFrame:
+    """Folds by a seeded hash of the row's key: a row keeps its fold on every
+    read and partitioning, so a search can stop and go on later."""
+    key = [F.col(c) for c in (key_cols or df.columns)]
+    return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(folds)).cast("int"))
+
+
+def resumable_search(pipeline: Pipeline, space: dict, train: DataFrame, path: str, n: int = 20, folds: int = 3,
+                     seed: int = 42, parallelism: int = 4, label: str = LABEL, key_cols: list[str] | None = None,
+                     fixed: dict | None = None) -> DataFrame:
+    """M5 as a job that survives being stopped: ``n`` sampled parameter maps x
+    ``folds`` hash folds, scored by R², best first (``draw, params, r2_mean,
+    r2_std, best``).
+
+    The feature stages are fitted once and their output (vector, label, fold) is
+    kept; ``parallelism`` draws are fitted at a time over it.  Every finished draw
+    is written to ``path`` and skipped when the search is started again with
+    the same seed and space.  ``fixed`` parameters hold for every draw."""
+    spark = train.sparkSession
+    reg = pipeline.getStages()[-1].copy({pipeline.getStages()[-1].getParam(k): v for k, v in (fixed or {}).items()})
+    prep = Pipeline(stages=pipeline.getStages()[:-1]).fit(train)
+    # the fold is a column of the kept frame: fits filter it and read nothing else
+    data = reuse(prep.transform(with_folds(train, folds, seed, key_cols, "_fold")).select("features", label, "_fold"))
+    maps = sample_param_maps(reg, space, n, seed)
+    schema = "draw int, params string, fold int, r2 double, fit_sec double"
+
+    def finished() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{path}/draws")
+        except AnalysisException:              # nothing written yet
+            return spark.createDataFrame([], schema)
+
+    def run(draw: int) -> None:
+        named = str(sorted((p.name, v) for p, v in maps[draw].items()))
+        rows = []
+        for f in range(folds):
+            t0 = time.time()
+            model = reg.copy(maps[draw]).fit(data.where(F.col("_fold") != f))
+            r2 = _metric_row(model.transform(data.where(F.col("_fold") == f)), label)["r2"]
+            rows.append((draw, named, f, r2, time.time() - t0))
+        # a folder of its own: draws finish side by side
+        spark.createDataFrame(rows, schema).drop("draw").coalesce(1).write.mode("overwrite").parquet(f"{path}/draws/draw={draw}")
+
+    done = {r["draw"] for r in finished().select("draw").distinct().collect()}
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), [i for i in range(n) if i not in done]))
+    data.unpersist()
+    per_draw = finished().where(F.col("draw") < n).groupBy("draw", "params").agg(
+        F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"), F.count(F.lit(1)).alias("folds"))
+    best = per_draw.agg(F.max_by("draw", F.struct("r2_mean", -F.col("draw")))).first()[0]
+    return per_draw.withColumn("best", F.col("draw") == F.lit(best)).orderBy(F.desc("r2_mean"), "draw")
+
+
 __all__ = ["demand_model", "LogTargetModel", "predict", "metrics", "mape", "residuals",
            "residual_hist", "compare", "cross_validate", "importance", "training_summary",
-           "random_search", "sample_param_maps", "RF_SPACE", "GBT_SPACE", "ParamGridBuilder"]
+           "random_search", "resumable_search", "with_folds", "demand_units", "GBT_FIXED", "sample_param_maps", "RF_SPACE", "GBT_SPACE", "ParamGridBuilder"]

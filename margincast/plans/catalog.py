@@ -1419,8 +1419,8 @@ def e6_standard_scale(spark, d):
 
 
 # =========================================================== M: model fits (rows-only checks)
-# Registered fits use small tree counts so the correctness run stays short;
-# the full settings of the batch script are the defaults of demand_model().
+# Fits run at the full settings of demand_model().  Only the swarm queries, which score
+# every particle in every iteration, use the smaller trees below (README: figures).
 
 _SMALL = {"gbt_a": dict(maxIter=10, maxDepth=4), "gbt_b": dict(maxIter=10, maxDepth=4),
           "rf": dict(numTrees=10, maxDepth=6), "linear": {}}
@@ -1435,9 +1435,9 @@ class _Fit:
         self.train = feats.where("is_train").drop("is_train")
         self.test = feats.where(~F.col("is_train")).drop("is_train")
 
-    def pipeline(self, kind):
+    def pipeline(self, kind, small=False):
         from margincast.operators.models import demand_model
-        return demand_model(kind, self.cols, **_SMALL[kind])
+        return demand_model(kind, self.cols, **(_SMALL[kind] if small else {}))
 
 
 def _fit_query(kind):
@@ -1454,15 +1454,28 @@ for _k, _id in (("gbt_a", "m1_gbt_leafwise"), ("gbt_b", "m2_gbt_subsampled"), ("
     REGISTRY[_id] = (_fit_query(_k), None)
 
 
-@q("m5_random_search")
-def m5_random_search(spark, d):
-    from margincast.operators.models import RF_SPACE, random_search
+def _search(spark, d, kind, space, n, folds, fixed=None):
+    import uuid
+    from margincast.operators.models import resumable_search
+    from margincast.session import ensure_checkpoint_dir
     f = _Fit(spark, d)
-    cv = random_search(f.pipeline("rf"), {k: v for k, v in RF_SPACE.items() if k != "numTrees"}
-                       | {"numTrees": ("int", 5, 10)}, n=3, folds=2, seed=42, parallelism=3)
-    model = cv.fit(f.train)
-    rows = [(i, float(m)) for i, m in enumerate(model.avgMetrics)]
-    return spark.createDataFrame(rows, "param_map int, cv_r2 double")
+    path = f"{ensure_checkpoint_dir(spark)}/search/{uuid.uuid4().hex}"
+    found = resumable_search(f.pipeline(kind), space, f.train, path, n=n, folds=folds, seed=42, parallelism=4,
+                             key_cols=["product_id", "Date", "seller_state_encoded"], fixed=fixed)
+    return found.select("draw", F.col("folds").cast("int").alias("folds"), F.col("r2_mean").isNotNull().alias("scored"),
+                        F.col("r2_std").isNotNull().alias("spread_known"))
+
+
+def _search_sql(n, folds):
+    return (f"SELECT CAST(range AS INTEGER) AS draw, {folds}::INTEGER AS folds, true AS scored, true AS spread_known FROM range({n})")
+
+
+@q("m5_random_search", _search_sql(3, 2))
+def m5_random_search(spark, d):
+    """Fewer draws, folds and trees than ``resumable_search``'s defaults (20 x 3
+    over the whole space takes longer than a query should; README: figures)."""
+    from margincast.operators.models import RF_SPACE
+    return _search(spark, d, "rf", RF_SPACE | {"numTrees": ("int", 5, 10)}, 3, 2)
 
 
 @q("m6_log_target_model")
@@ -1609,7 +1622,7 @@ def p6m_swarm_tree_model(spark, d):
     """The batch run's swarm (10 x 30) for every product over a boosted-tree model."""
     from margincast.operators.pricing import ModelDemand, swarm_search
     pr, f = _Price(spark, d), _Fit(spark, d)
-    scorer = ModelDemand(f.pipeline("gbt_a").fit(f.train), drop=("features_raw", "features"))
+    scorer = ModelDemand(f.pipeline("gbt_a", small=True).fit(f.train), drop=("features_raw", "features"))
     base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id").checkpoint(eager=True)
     swarm = swarm_search(base, scorer, particles=10, iters=30, seed=42, variant="b").checkpoint(eager=True)
     return _swarm_facts(base, scorer, swarm, "b")
@@ -1645,7 +1658,7 @@ def p10s_prices_by_model(spark, d):
 def _prices_by_model(spark, d):
     from margincast.operators.pricing import ModelDemand, prices_by_model
     pr, f = _Price(spark, d), _Fit(spark, d)
-    scorers = {k: ModelDemand(f.pipeline(k).fit(f.train), drop=("features_raw", "features")) for k in ("linear", "gbt_a")}
+    scorers = {k: ModelDemand(f.pipeline(k, small=True).fit(f.train), drop=("features_raw", "features")) for k in ("linear", "gbt_a")}
     base = pr.base.join(pr.costs, "product_id").join(pr.bounds(), "product_id").checkpoint(eager=True)
     return prices_by_model(base, scorers, particles=10, iters=30, seed=42, variant="b")
 
@@ -1856,17 +1869,13 @@ def j7c_densify_collapsed(spark, d):
                          .alias("AverageSellingPrice")))
 
 
-@q("m5b_random_search_gbt")
+@q("m5b_random_search_gbt", _search_sql(3, 2))
 def m5b_random_search_gbt(spark, d):
-    """M5 over the boosted-tree space (draws, folds and tree counts kept small
-    so the correctness run stays short; the space is the full one otherwise)."""
-    from margincast.operators.models import GBT_SPACE, random_search
-    f = _Fit(spark, d)
-    space = dict(GBT_SPACE) | {"maxIter": ("int", 5, 10), "maxDepth": ("choice", [3, 4, 5])}
-    cv = random_search(f.pipeline("gbt_a"), space, n=3, folds=2, seed=42, parallelism=3)
-    model = cv.fit(f.train)
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)],
-                                 "param_map int, cv_r2 double")
+    """M5 over the boosted-tree space, rows a leaf and row share held at their
+    fixed values; draws, folds, iterations and depth kept small as in ``m5_random_search``."""
+    from margincast.operators.models import GBT_FIXED, GBT_SPACE
+    space = GBT_SPACE | {"maxIter": ("int", 5, 10), "maxDepth": ("choice", [3, 4, 5])}
+    return _search(spark, d, "gbt_a", space, 3, 2, GBT_FIXED)
 
 
 # =========================================================== the same operators where demand varies

@@ -34,3 +34,33 @@ def test_linear_pipeline_fits_planted_line(spark):
     model = demand_model("linear", ["x"]).fit(df)
     pred = model.transform(df)
     assert metrics(pred).first().rmse < 1e-6
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from margincast.operators.models import GBT_FIXED, GBT_SPACE, demand_model, resumable_search, with_folds
+    rows = [(i, float(i % 17), float(i % 5), float(3 * (i % 17) + (i % 5) + i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, QuantitySold double")
+    pipe = demand_model("gbt_a", ["a", "b"])
+    space = GBT_SPACE | {"maxIter": ("int", 2, 4), "maxDepth": ("choice", [2, 3])}
+    args = dict(folds=3, seed=5, key_cols=["id"], fixed=GBT_FIXED)
+    first = resumable_search(pipe, space, df, str(tmp_path), n=2, **args).collect()
+    stamp = {r.draw: r.r2_mean for r in first}
+    done = spark.read.parquet(f"{tmp_path}/draws").select("draw", "fit_sec").collect()
+    more = resumable_search(pipe, space, df.repartition(5), str(tmp_path), n=4, **args).collect()
+    again = spark.read.parquet(f"{tmp_path}/draws")
+    assert {r.draw for r in more} == {0, 1, 2, 3} and all(r.folds == 3 for r in more)
+    assert all(abs(stamp[r.draw] - r.r2_mean) < 1e-12 for r in more if r.draw in stamp)
+    # the first draws were not fitted again
+    assert sorted(map(tuple, done)) == sorted(map(tuple, again.where("draw < 2").select("draw", "fit_sec").collect()))
+    assert [r.best for r in more] == [True, False, False, False] and more[0].r2_mean > 0.5
+    a = with_folds(df, 3, 5, ["id"]).select("id", "fold").collect()
+    b = with_folds(df.repartition(7), 3, 5, ["id"]).orderBy(F.desc("id")).select("id", "fold").collect()
+    assert sorted(a) == sorted(b) and {r.fold for r in a} == {0, 1, 2}
+
+
+def test_units_before_scoring(spark):
+    from margincast.operators.models import demand_units
+    df = spark.createDataFrame([(1.0, -3.2), (2.0, 2.5), (2.0, 1.5), (0.0, 0.4)], "y double, prediction double")
+    assert [r.prediction for r in demand_units(df).collect()] == [0.0, 2.0, 2.0, 0.0]
