@@ -9,15 +9,18 @@ inner product.  Search stops when the k-th best verified vector lies within
 the radius the present level answers for.
 
 Largest inner product becomes smallest distance by one more coordinate,
-sqrt(M^2 - |x|^2) for rows (M: the largest norm) and 0 for queries.
+sqrt(M^2 - |x|^2) for rows (M: the largest norm) and 0 for queries.  Lengths
+are taken in units of a power of two near M, so that no square overflows;
+scores are of the vectors as given.
 
 Rows are dealt to shards of bounded size by a hash of their id and queries to
 blocks; every (shard, block) pair is one task, so neither side is ever whole
 in one place.  Shard results are at most k rows per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do vectors of another length than most; equal
-scores rank by smaller id; rows that repeat an id are candidates each, but
+components take no part, nor do vectors of another length than most; components of
+any finite size are searched, and a product beyond the doubles is infinite; an
+empty table gives no rows; equal scores rank by smaller id; rows that repeat an id are candidates each, but
 never for a query of that id; with fewer than k candidates all are returned;
 other columns are not read.
 """
@@ -52,8 +55,9 @@ class AnnRules:
 class ShardIndex:
     """Sorted projections of one shard."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, top: float, rules: AnnRules):
-        self.ids, self.x, self.rules = ids, x, rules
+    def __init__(self, ids: np.ndarray, given: np.ndarray, top: float, rules: AnnRules, unit: int = 0):
+        self.ids, self.given, self.rules, self.unit = ids, given, rules, unit
+        self.x = x = np.ldexp(given, -unit) if unit else given
         self.rest = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0.0))
         self.norms = top * top
         lines = np.random.default_rng(rules.seed).standard_normal((x.shape[1] + 1, rules.projections))
@@ -62,14 +66,25 @@ class ShardIndex:
         self.order = np.ascontiguousarray(np.argsort(p, axis=0).T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.take_along_axis(p.T, self.order, axis=1))
 
-    def search(self, query_id: int, q: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    def products(self, at: np.ndarray, given: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products with the query, as given and in units."""
+        if abs(self.unit) < 500:                       # no product of two lengths overflows
+            s = (self.given[at] * given).sum(axis=1)
+            return s, np.ldexp(s, -2 * self.unit)
+        u = (self.x[at] * q).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = (self.given[at] * given).sum(axis=1)
+            return np.where(np.isfinite(s), s, np.ldexp(u, 2 * self.unit)), u
+
+    def search(self, query_id: int, given: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k best found."""
         r, n, m = self.rules, len(self.ids), self.rules.projections
         need = math.ceil(r.threshold * m)
+        q = np.ldexp(given, -self.unit) if self.unit else given
         center = q @ self.lines[:-1]
         hits = np.zeros(n, np.int32)
         seen = self.ids == query_id
-        found, scores = [], []
+        found, scores, units = [], [], []
         lo = np.empty(m, np.int64)
         hi = np.empty(m, np.int64)
         old = None
@@ -92,9 +107,11 @@ class ShardIndex:
                 seen[new] = True
                 left -= len(new)
                 found.append(new)
-                scores.append((self.x[new] * q).sum(axis=1))
+                s, u = self.products(new, given, q)
+                scores.append(s)
+                units.append(u)
                 if n - left > r.k:
-                    best = np.concatenate(scores)
+                    best = np.concatenate(units)
                     if len(best) >= r.k:
                         # squared distance in the lifted space: M^2 + |q|^2 - 2 <x, q>
                         kth = math.sqrt(max(0.0, self.norms + qq - 2 * float(np.partition(best, -r.k)[-r.k])))
@@ -132,7 +149,9 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, rules: AnnRules = AnnRules(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for all queries among the rows."""
     rows = usable(vectors, id_col, vec_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    # log2 of a length, from its largest component, so that no square overflows
+    big = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm = F.log2(big) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / big) * (x / big))) / 2
     is_query = F.col("vec_id") % rules.query_every == 0
     sizes = (rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"),
                                                       F.sum(is_query.cast("long")).alias("q"))
@@ -140,7 +159,9 @@ def nearest(vectors: DataFrame, rules: AnnRules = AnnRules(), id_col: str = "vec
     spark = vectors.sparkSession
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, top, n_q = sizes[0]["d"], sizes[0]["n"], float(sizes[0]["top"]), sizes[0]["q"]
+    dim, n, n_q = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"]
+    unit = math.floor(sizes[0]["top"])
+    top = 2.0 ** (float(sizes[0]["top"]) - unit) * (1 + 1e-12)
     shards, blocks = max(1, -(-n // rules.shard_rows)), max(1, -(-n_q // rules.query_rows))
     rows = rows.where(F.size("v") == dim)
     h = F.xxhash64("vec_id", F.lit(rules.seed))
@@ -154,8 +175,8 @@ def nearest(vectors: DataFrame, rules: AnnRules = AnnRules(), id_col: str = "vec
         out: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
             x, q = _matrix(left["v"]), _matrix(right["v"])
-            index = ShardIndex(left["vec_id"].to_numpy(), x, top, rules)
-            start = start_radius(x, q, top, rules.k)
+            index = ShardIndex(left["vec_id"].to_numpy(), x, top, rules, unit)
+            start = start_radius(index.x, np.ldexp(q, -unit), top, rules.k)
             for i, (qid, key) in enumerate(zip(right["vec_id"].to_pylist(), right["q"].to_pylist())):
                 ids, scores = index.search(qid, q[i], start)
                 out[0].extend([qid] * len(ids))

@@ -419,3 +419,27 @@ def test_merged_labels_follow_links_between_components(spark):
     links = spark.createDataFrame([(2, 6), (2, 6), (1, 2), (6, 9), (7, 8)], "a long, b long")
     got = dict(merged(labels, links).collect())
     assert got == {1: 1, 2: 1, 5: 1, 6: 1, 9: 1, 7: 7, 8: 7}
+
+
+@pytest.mark.parametrize("size", [1e200, 1.5e308, 1e-200])
+def test_ann_of_vectors_of_any_finite_size(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8))
+    x[7, 2] = size
+    x[20] *= size
+    rows = [(i, [float(c) for c in np.nan_to_num(v, posinf=1.7e308, neginf=-1.7e308)]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in collision_ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 20, 40} and all(len(v) == 20 for v in got.values())
+    given = np.array([v for _, v in rows])
+    hits = 0
+    for q, found in got.items():
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = (given * given[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert all(f == s[i] for i, f in found if np.isfinite(s[i]))
+        best = [i for i in np.lexsort((np.arange(60), -np.nan_to_num(s, nan=-np.inf, posinf=np.inf, neginf=-np.inf)))[:20]]
+        hits += len({i for i, _ in found} & set(best))
+    assert hits >= 0.9 * 60
