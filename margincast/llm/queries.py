@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from margincast.llm import (brown_lm, collision_ann, license_scan, line_dedup, mixing, ngram_join, packing, phrases, pii, quality,
                             simhash_ring, spelling, toxicity)
-from margincast.llm.common import LOWER, UPPER, read
+from margincast.llm.common import LOWER, UPPER, read, written
 
 
 def _q(text: str) -> str:
@@ -60,6 +60,9 @@ def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = quality.text_features(read(spark, sf_dir, "documents"))
+    # counts only, without the texts: written once, read for the references and again for the verdicts
+    rest = [c for c in features.columns if c != "_row"]
+    features = written(features.select(F.struct("_row.doc_id").alias("_row"), *rest), "quality-counts")
     rules = quality.QualityRules()
     return quality.judged(features, quality.fit_references(features, rules), rules).select(
         F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
