@@ -18,6 +18,7 @@ from margincast.operators import cube as C
 from margincast.operators import dashboard as D
 from margincast.operators import sales as S
 from margincast.operators.joins import keep_products
+from margincast.operators.pricing import PRODUCT_COSTS
 from margincast.operators.sales import CATEGORY
 
 REGISTRY: dict = {}
@@ -944,7 +945,7 @@ def h_cal_batch_columns(spark, d):
 # =========================================================== P: price search (closed-form demand)
 
 _COSTS_CASE = "CAST(CASE rank " + " ".join(
-    f"WHEN {i} THEN {float(c)}" for i, c in enumerate([10, 15, 20, 12, 18, 10, 15, 20, 12, 18], 1)) + " ELSE 10.0 END AS DOUBLE)"
+    f"WHEN {i} THEN {float(c)}" for i, c in enumerate(PRODUCT_COSTS, 1)) + " ELSE 10.0 END AS DOUBLE)"
 
 _PRICE_SQL = _BATCH_SQL + f""",
 pos AS (SELECT *, row_number() OVER (ORDER BY product_id, Date, seller_state_encoded) - 1 AS p,

@@ -61,26 +61,20 @@ def test_linear_demand_recovers_line(spark):
     assert abs(coef.demand_slope + 2.0) < 1e-9 and abs(coef.demand_intercept - 100.0) < 1e-9
 
 
-def _numpy_swarm(lo, hi, cost, a, b, rnd, particles, iters):
-    """Reference synchronous PSO with the same random streams."""
-    pos = np.array([lo + rnd[("u0", j)] * (hi - lo) for j in range(particles)])
-    vel = np.array([math.sqrt(-2 * math.log(1 - rnd[("g1", j)])) * math.cos(2 * math.pi * rnd[("g2", j)]) * 0.1
-                    for j in range(particles)])
-    pbest_pos, pbest_val = pos.copy(), np.full(particles, np.inf)
-    g_val, g_pos = np.inf, None
-    for it in range(iters):
-        for j in range(particles):
-            units = max(0.0, float(np.rint(a + b * pos[j])))
-            f = -((pos[j] - cost) * units)
-            if f < pbest_val[j]:
-                pbest_val[j], pbest_pos[j] = f, pos[j]
-            if f < g_val:
-                g_val, g_pos = f, pos[j]
-        for j in range(particles):
-            vel[j] = (0.5 * vel[j] + 1.5 * rnd[("r1", it, j)] * (pbest_pos[j] - pos[j])
-                      + 1.5 * rnd[("r2", it, j)] * (g_pos - pos[j]))
-            pos[j] = min(max(pos[j] + vel[j], lo), hi)
-    return g_pos, -g_val
+def _swarm_by_arrays(lo, hi, cost, a, b, start, moves):
+    """The swarm's definition on whole arrays: ``start`` holds the three first
+    draws of every particle, ``moves`` a pair of draws for every iteration."""
+    u, g1, g2 = start
+    at = lo + u * (hi - lo)
+    speed = np.sqrt(-2 * np.log(1 - g1)) * np.cos(2 * math.pi * g2) * 0.1
+    own_at, own, best = at, np.full(len(at), np.inf), (np.inf, np.nan)
+    for r1, r2 in moves:
+        loss = -(at - cost) * np.maximum(0.0, np.rint(a + b * at))
+        own_at, own = np.where(loss < own, at, own_at), np.minimum(loss, own)
+        best = min(best, (loss.min(), at[loss.argmin()]), key=lambda x: x[0])
+        speed = 0.5 * speed + 1.5 * r1 * (own_at - at) + 1.5 * r2 * (best[1] - at)
+        at = np.clip(at + speed, lo, hi)
+    return best[1], -best[0]
 
 
 def test_swarm_equals_bruteforce_reference(spark):
@@ -100,15 +94,11 @@ def test_swarm_equals_bruteforce_reference(spark):
         _uniform(seed, k, p, F.col("it"), F.lit(1)).alias("r1"),
         _uniform(seed, k, p, F.col("it"), F.lit(2)).alias("r2")).collect()
     for row in base.collect():
-        rnd = {}
-        for r in init:
-            if r.product_id == row.product_id:
-                rnd[("u0", r.particle)], rnd[("g1", r.particle)], rnd[("g2", r.particle)] = r.u0, r.g1, r.g2
-        for r in steps:
-            if r.product_id == row.product_id:
-                rnd[("r1", r.it, r.particle)], rnd[("r2", r.it, r.particle)] = r.r1, r.r2
-        want = _numpy_swarm(row.lower, row.upper, row.cost, row.demand_intercept, row.demand_slope,
-                            rnd, particles, iters)
+        mine = sorted((r for r in init if r.product_id == row.product_id), key=lambda r: r.particle)
+        drawn = sorted((r for r in steps if r.product_id == row.product_id), key=lambda r: (r.it, r.particle))
+        pairs = np.array([(r.r1, r.r2) for r in drawn]).reshape(iters, particles, 2).transpose(0, 2, 1)
+        want = _swarm_by_arrays(row.lower, row.upper, row.cost, row.demand_intercept, row.demand_slope,
+                                np.array([(r.u0, r.g1, r.g2) for r in mine]).T, pairs)
         assert abs(got[row.product_id][0] - want[0]) < 1e-9
         assert abs(got[row.product_id][1] - want[1]) < 1e-6
 
