@@ -166,6 +166,29 @@ def test_ann_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_ann_verifies_few_and_fewer_with_size():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rules, share = collision_ann.AnnRules(), []
+    for n in (1_500, 12_000):
+        index = collision_ann.ShardIndex(np.arange(n), x[:n], 1.0 + 1e-12, rules)
+        start = collision_ann.start_radius(x[:n], x[:64], 1.0, rules.k)
+        found = index.search(np.arange(64), x[:64], start)
+        hit = sum(len(set(ids) & set(np.argsort(-np.where(np.arange(n) == i, -9.0, x[:n] @ x[i]))[:20])) for i, (ids, _) in enumerate(found))
+        assert hit >= 0.9 * 64 * 20
+        share.append(index.verified / 64 / n)
+    assert share[1] < 0.2 and share[1] < 0.7 * share[0]
+
+
+def test_ann_copies_of_a_row_spread_over_shards(spark):
+    rows = [(i if i % 3 else 20, [1.0 + (i % 3) * (i % 7), float(i % 5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collision_ann.nearest(df, collision_ann.AnnRules(shard_rows=50, query_rows=4)).where("query_id = 40").collect()
+    want = sorted((-(v[0] * rows[40][1][0] + v[1] * rows[40][1][1]), i) for i, v in rows if i != 40)[:20]
+    assert [(round(r.score, 9), r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(round(-s, 9), i) for s, i in want]
+
+
 def test_ann_edge_cases(spark):
     v = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
          (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (20, [float("inf"), 0.0]), (40, [0.0, 3.0]), (None, [1.0, 1.0])]
