@@ -4,13 +4,12 @@ A source's rows are dealt into blocks.  A source of weight w must have run its
 k-th block (from 0) inside the window [floor(k/w), ceil((k+1)/w)): release and
 deadline.  One block runs per slot; among the released ones the earliest
 deadline runs first (ties: the larger weight, then the name).  With weights
-n_s/D that sum to one this keeps every source within less than one block of
-its share at every slot, and the schedule repeats every D slots, so only one
-period is computed - from the weights, not from the rows.
+that sum to one this keeps every source within less than one block of its
+share at every slot.  Windows are worked out in whole numbers from the exact
+values of the weights given, so nothing adds up however many slots run.
 
 When a source has no blocks left, a new phase starts: the remaining sources
 are scheduled anew by their weights among themselves, so all rows are kept.
-Phases are at most as many as sources, and are worked out from block counts.
 
 Only DataFrame functions on rows.  A row's place inside its source needs no
 single-task order: rows fall into hash buckets of bounded size inside the
@@ -20,12 +19,18 @@ source with a third of all rows is spread over many tasks.
 Defined results: a null source is a source of its own; repeated rows are kept
 (their mutual order is open); an empty table gives an empty result; columns
 that clash with the added ones are safe because the row travels as a struct.
-Only (source, count) pairs and the schedule reach the driver, at most
-``max_sources`` of them; more raise ``ValueError``.
+The driver holds a count per source and one number per block, never rows; it
+takes some microseconds a block, and a pass over the live sources per phase.
+``block_rows`` sets how many blocks there are.  The schedule is broadcast up to
+``broadcast_blocks`` blocks (8 bytes each) and meets the rows by a shuffle
+join, cut into pieces of ``piece_blocks`` of one source, beyond that.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from array import array
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -39,83 +44,47 @@ from margincast.llm.common import packed
 @dataclass(frozen=True)
 class MixRules:
     block_rows: int = 16
-    period: int = 1000               # weights are rounded to multiples of 1/period
     temperature: float = 0.5         # default weights: row count ** temperature
     bucket_rows: int = 2_000
-    max_sources: int = 1000
-
-
-def whole_weights(weights: dict, period: int) -> dict:
-    """Weights as whole shares of ``period`` (largest remainder, at least 1)."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    raw = {s: w * period / total for s, w in weights.items()}
-    share = {s: max(1, int(x)) for s, x in raw.items()}
-    order = sorted(raw, key=lambda s: (-(raw[s] - int(raw[s])), str(s)))
-    i = 0
-    while sum(share.values()) < period:
-        share[order[i % len(order)]] += 1
-        i += 1
-    while sum(share.values()) > period:
-        s = max(share, key=lambda x: (share[x], str(x)))
-        share[s] -= 1
-    return share
-
-
-def edf_period(share: dict) -> list:
-    """One period of the schedule: the source of every slot."""
-    period, done, out = sum(share.values()), dict.fromkeys(share, 0), []
-    for slot in range(period):
-        best = None
-        for s, n in share.items():
-            k = done[s]
-            if k < n and (k * period) // n <= slot:            # released
-                deadline = -(-((k + 1) * period) // n)
-                rank = (deadline, -n, s is None, str(s))
-                if best is None or rank < best[0]:
-                    best = (rank, s)
-        done[best[1]] += 1
-        out.append(best[1])
-    return out
-
-
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Phases of the whole schedule.  Each: ``start`` slot, ``share`` and
-    ``slots`` (positions inside the period) per source, ``first`` block per
-    source and ``length`` in slots."""
-    left, first, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while live := {s: weights[s] for s, n in left.items() if n > 0}:
-        share = whole_weights(live, period)
-        order = edf_period(share)
-        slots: dict = {s: [] for s in share}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-
-        def slot_of(s, k, slots=slots, size=len(order)):
-            return (k // len(slots[s])) * size + slots[s][k % len(slots[s])]
-        length = min(slot_of(s, left[s] - 1) for s in live) + 1
-        full, part = divmod(length, len(order))
-        ran = {s: full * share[s] + sum(t < part for t in slots[s]) for s in share}
-        out.append({"start": start, "period": len(order), "share": share, "slots": slots,
-                    "first": {s: first[s] for s in share}, "ran": ran, "length": length})
-        for s in share:
-            left[s] -= ran[s]
-            first[s] += ran[s]
-        start += length
-    return out
-
-
-def lag_bound(schedule: list[dict]) -> Fraction:
-    """Largest distance of a source from its share, over all phases."""
-    worst = Fraction(0)
-    for ph in schedule:
-        size = ph["period"]
-        for s, n in ph["share"].items():
-            have, at = 0, set(ph["slots"][s])
-            for t in range(min(size, ph["length"])):
-                have += t in at
-                worst = max(worst, abs(have - Fraction(n * (t + 1), size)))
-    return worst
+    piece_blocks: int = 4_096        # blocks of a source in one row of the schedule table
+    broadcast_blocks: int = 4_000_000
+    broadcast_sources: int = 200_000
+
+
+def exact_weights(weights: dict) -> dict:
+    """Whole numbers in exactly the ratio of the weights given."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in parts.values()])
+    return {s: int(w * unit) for s, w in parts.items()}
+
+
+def schedule(blocks: dict, weights: dict) -> dict:
+    """The slots of every source's blocks, in order."""
+    slots: dict = {s: array("q") for s in blocks}
+    whole = exact_weights({s: weights[s] for s, n in blocks.items() if n})
+    # sources by rank: larger weight first, then the name, null last
+    live = sorted(whole, key=lambda s: (-whole[s], s is None, str(s)))
+    start = 0
+    while live:
+        total = sum(whole[s] for s in live)
+        ready = [(-(-total // whole[s]), i, 0) for i, s in enumerate(live)]       # deadline, rank, block of the phase
+        heapq.heapify(ready)
+        waiting: list = []                                                       # release, rank, block
+        ends = {i: blocks[s] - len(slots[s]) for i, s in enumerate(live)}
+        slot = 0
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, i, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(k + 1) * total // whole[live[i]]), i, k))
+            _, i, k = heapq.heappop(ready)
+            slots[live[i]].append(start + slot)
+            slot += 1
+            if k + 1 == ends[i]:
+                break
+            heapq.heappush(waiting, ((k + 1) * total // whole[live[i]], i, k + 1))
+        start += slot
+        live = live[:i] + live[i + 1:]
+    return slots
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, rules: MixRules = MixRules(),
@@ -126,9 +95,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, rules: MixRules = MixRul
     spark = docs.sparkSession
     base = docs.select(packed(docs), F.col(source_col).cast("string").alias("_source"),
                        F.xxhash64(F.col(id_col)).alias("_h"), F.col(id_col).alias("_id"))
-    found = base.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(rules.max_sources + 1).collect()
-    if len(found) > rules.max_sources:
-        raise ValueError(f"more than {rules.max_sources} sources: pass a coarser source column")
+    found = base.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["_source"]: r["n"] for r in found}
     if weights is None:
         weights = {s: n ** rules.temperature for s, n in counts.items()}
@@ -136,11 +103,13 @@ def mixed(docs: DataFrame, weights: dict | None = None, rules: MixRules = MixRul
     if missing:
         raise ValueError(f"no positive weight for sources {missing[:5]}")
     size = rules.block_rows
-    plan = phases({s: -(-n // size) for s, n in counts.items()}, weights, rules.period)
+    plan = schedule({s: -(-n // size) for s, n in counts.items()}, weights)
 
     # a row's number in its source: bucket offset + number inside the bucket
     sizes = spark.createDataFrame(list(counts.items()), "s string, _n long")
-    rows = (base.join(F.broadcast(sizes), F.col("_source").eqNullSafe(F.col("s")))
+    if len(counts) <= rules.broadcast_sources:
+        sizes = F.broadcast(sizes)
+    rows = (base.join(sizes, F.col("_source").eqNullSafe(F.col("s")))
             .withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.col("_n") / F.lit(rules.bucket_rows))))
             .withColumn("_key", F.concat_ws(":", F.col("_b"), F.when(F.col("_source").isNull(), "n").otherwise("s"),
                                             F.col("_source")))
@@ -154,17 +123,15 @@ def mixed(docs: DataFrame, weights: dict | None = None, rules: MixRules = MixRul
               .select("_row", "_source", F.floor(F.col("_at") / F.lit(size)).alias("block"),
                       (F.col("_at") % size).cast("int").alias("place")))
 
-    # the block's slot, from the phase that runs it
-    runs = [(s, ph["first"][s], ph["first"][s] + ph["ran"][s], ph["share"][s], ph["period"], ph["start"], ph["slots"][s])
-            for ph in plan for s in ph["share"] if ph["ran"][s]]
-    runs_df = spark.createDataFrame(
-        runs, "s string, _lo long, _hi long, _share long, _period long, _start long, _slots array<int>")
-    j = F.col("block") - F.col("_lo")
-    slot = (F.col("_start") + F.floor(j / F.col("_share")) * F.col("_period")
-            + F.get("_slots", (j % F.col("_share")).cast("int")))
-    return (placed.join(F.broadcast(runs_df), F.col("_source").eqNullSafe(F.col("s"))
-                        & (F.col("block") >= F.col("_lo")) & (F.col("block") < F.col("_hi")))
-            .select("_row", "_source", "block", slot.cast("long").alias("slot"), "place"))
+    # the block's slot, from the source's piece of the schedule
+    step = rules.piece_blocks
+    pieces = spark.createDataFrame([(s, i // step, at[i:i + step].tolist()) for s, at in plan.items() for i in range(0, len(at), step)],
+                                   "s string, _piece long, _slots array<long>")
+    if sum(map(len, plan.values())) <= rules.broadcast_blocks:
+        pieces = F.broadcast(pieces)
+    return (placed.join(pieces, F.col("_source").eqNullSafe(F.col("s"))
+                        & (F.floor(F.col("block") / F.lit(step)) == F.col("_piece")))
+            .select("_row", "_source", "block", F.get("_slots", (F.col("block") % step).cast("int")).alias("slot"), "place"))
 
 
 def mix_order(docs: DataFrame, weights: dict | None = None, rules: MixRules = MixRules(),

@@ -1,7 +1,8 @@
 """Lexical retrieval packing.
 
 Documents are tokenised once and cut into windows; what is left of a document
-after its full windows is a piece.  Pieces are dealt to shards by hash.  Each
+after its full windows is a piece.  Pieces are dealt to shards by hash, or, to
+keep an order, by runs of the files' rows.  Each
 shard holds a BM25 inverted index over its documents' tokens; a seed piece
 opens a window, asks the index for its best unused neighbours and takes them
 in order until the window is full.  The neighbour that does not fit is cut at
@@ -29,8 +30,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from margincast.llm.common import pack_ints, unpack_ints, written
 
@@ -103,8 +105,9 @@ def _encoder(ranks: bytes, pattern: str, code: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def tokenised(docs: DataFrame, rules: PackRules, id_col: str, text_col: str) -> tuple[DataFrame, str, int]:
-    """(row, doc_id, n, ids) per document, the ids' type, and the vocabulary size."""
+def tokenised(docs: DataFrame, rules: PackRules, id_col: str, text_col: str, place: tuple[Column, Column]) -> tuple[DataFrame, str, int]:
+    """(file, row, doc_id, n, ids) per document, the ids' type, and the
+    vocabulary size.  ``place`` gives a row's file and its number there."""
     with open(rules.ranks_path or _default_ranks(), "rb") as f:
         ranks = f.read()
     size = max(max(int(line.split()[1]) for line in ranks.splitlines() if line), rules.end_id) + 1
@@ -117,13 +120,13 @@ def tokenised(docs: DataFrame, rules: PackRules, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern, code)
         for batch in batches:
-            ids = [enc.ids(t) + end if t else end for t in batch.column(2).to_pylist()]
+            ids = [enc.ids(t) + end if t else end for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()),
-                 pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])
+                [*batch.columns[:3], pa.array([len(x) // kind.itemsize for x in ids], pa.int64()),
+                 pa.array(ids, pa.binary())], names=["file", "row", "doc_id", "n", "ids"])
 
-    out = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                      F.col(text_col).alias("t")).mapInArrow(run, "row long, doc_id long, n long, ids binary")
+    out = docs.select(place[0].alias("file"), place[1].alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                      F.col(text_col).alias("t")).mapInArrow(run, "file string, row long, doc_id long, n long, ids binary")
     return out, kind.str, size
 
 
@@ -220,10 +223,31 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, rules: Pack
         seq += 1
 
 
-def pack(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def file_runs(tokens: DataFrame, shard_tokens: int, mean: float) -> DataFrame:
+    """``shard``: every file's rows in runs of about equally many rows, about
+    ``shard_tokens`` tokens each, numbered in the order of the file names."""
+    files = tokens.groupBy("file").agg(F.max("row").alias("_last")).withColumn(
+        "_runs", F.greatest(F.lit(1), F.round((F.col("_last") + 1) * F.lit(mean / shard_tokens))).cast("long"))
+    # one row per file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_first", F.coalesce(F.sum("_runs").over(before), F.lit(0)))
+    at = F.floor(F.col("row") * F.col("_runs") / (F.col("_last") + 1))
+    return tokens.join(F.broadcast(files), "file").withColumn("shard", (F.col("_first") + at).cast("long"))
+
+
+def pack(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_id", text_col: str = "text",
+         in_order: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset``."""
-    raw, kind, size = tokenised(docs, rules, id_col, text_col)
+    sequence_id, offset``.  ``in_order`` (``docs`` must be read from files)
+    makes the shards runs of the files' rows, in the order of the file names,
+    and numbers sequences along them: an order of the documents is kept from
+    shard to shard, while a shard's rows go where their neighbours are."""
+    if in_order:
+        meta = docs.metadataColumn("_metadata")            # also where a column has that name
+        place = meta["file_path"], meta["row_index"]
+    else:
+        place = F.lit(""), F.monotonically_increasing_id()
+    raw, kind, size = tokenised(docs, rules, id_col, text_col, place)
     tokens = written(raw, "pack-tokens")
     total = tokens.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
     n_docs, n_tokens = int(total["docs"]), int(total["n"] or 0)
@@ -243,5 +267,6 @@ def pack(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_id"
                 [base + r[3] for r in rows], [r[4] for r in rows]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in OUT.split(", ")])
 
-    return (tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-            .groupBy("shard").applyInArrow(run, OUT))
+    shard = (file_runs(tokens, rules.shard_tokens, mean) if in_order
+             else tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))))
+    return shard.select("shard", "row", "doc_id", "ids").groupBy("shard").applyInArrow(run, OUT)
