@@ -9,7 +9,8 @@ kept and returns a DataFrame; all but the last return the columns of
 3. n-gram Jaccard join: of each group of near copies the smallest ``doc_id``
    stays (a null id is its own group);
 4. mixing: all rows, in the order of the Pfair schedule (files follow it);
-5. packing: one row per packed piece.
+5. packing: one row per packed piece; shards are runs of the mixed order, and
+   ``sequence_id`` ascends along it.
 
 ``run`` writes every stage's rows as Parquet in the shared folder and reads
 them back for the next.  SQL can't express the tokenizer, so there is no
@@ -42,8 +43,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = (ngram_join.near_duplicates(docs).where(F.col("component_id") != F.col("doc_id"))
-              .select(F.col("doc_id").alias("_copy")).distinct())
-    return docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("_copy"), "left_anti")
+              .select(F.col("doc_id").alias("_copy")).distinct().alias("gone"))
+    return docs.alias("docs").join(copies, F.col("docs.doc_id") == F.col("gone._copy"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [
