@@ -57,10 +57,30 @@ class Recognizer:
     context: tuple[str, ...] = ()
 
 
+#: Lengths of account codes by country, from the public IBAN registry.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+
+
+def _iban_pattern() -> str:
+    """Codes of each country's own length, in groups of four or unspaced; what
+    follows the last group is not part of the code."""
+    kinds = []
+    for length, countries in IBAN_COUNTRIES.items():
+        groups, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        kinds.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(kinds)})(?![A-Za-z0-9])"
+
+
 #: Added kinds; ids and tokens follow their issuers' public formats.
 ADDED = (
-    Recognizer("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-               score=0.8, context=("iban", "account", "konto", "compte", "cuenta", "bank")),
+    Recognizer("iban", _iban_pattern(), score=0.8,
+               context=("iban", "account", "konto", "compte", "cuenta", "bank")),
     Recognizer("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", needs="-", score=0.3,
                context=("ssn", "social security", "tax id", "national id")),
     Recognizer("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", needs="IA", score=0.7),
@@ -122,9 +142,11 @@ def _found(kind: str, text: Column, pieces: Column, matches: Column, rules: PiiR
     """Array of (start, end, ok, score) of one kind's proposals."""
     window = rules.window
     context = "|".join(rec.context).replace(" ", r"\x20") if rec is not None else ""
+    if context:                                        # whole words, or their plural
+        context = rf"(?<![a-z0-9])(?:{context})s?(?![a-z0-9])"
 
     # behind a span, a word before "=" or ":" tells of the value that follows it
-    behind = rf"(?:{context})(?![a-z0-9_]*[\"']?\x20*[:=])"
+    behind = rf"{context}(?![a-z0-9_]*[\"']?\x20*[:=])"
 
     def step(acc, x):
         start = acc["at"] + F.length(x["piece"])

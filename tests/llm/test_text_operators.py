@@ -279,6 +279,17 @@ def test_pii_context_and_checksums(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "national_id:5:16", 4: "", 5: "secret:9:26", 6: "", 7: "access_key:0:20"}
 
 
+def test_pii_codes_of_a_country_length_and_whole_context_words(spark):
+    key = "0123456789abcdef"
+    rows = [(1, "IBAN: AT61 1904 3002 3457 3201 2024"), (2, "account BE68 5390 0754 7034 BANK"), (3, "NO9386011117947"),
+            (4, "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432"), (5, "ZZ61 1904 3002 3457 3201"), (6, "AT61 1904 3002 3457 32012"),
+            (7, f"the tokenizer hash is {key}"), (8, f"two tokens: {key}"), (9, f"DB_PASSWORD={key}"), (10, f"{key} is a token")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    added = {d: ",".join(x for x in s.split(",") if not x.startswith(("card", "phone"))) for d, s in got.items()}
+    assert added == {1: "iban:6:30", 2: "iban:8:27", 3: "iban:0:15", 4: "iban:0:27,iban:28:50", 5: "", 6: "", 7: "", 8: "secret:12:28",
+                     9: "secret:12:28", 10: "secret:0:16"}
+
+
 def test_pii_context_reaches_all_ids_of_a_list(spark):
     ids, gap = "123-45-6789, 987-65-4321, 111-22-3333", "x" * 48
     key = "0123456789abcdef"
