@@ -1,21 +1,24 @@
 """Line de-duplication with two Bloom filters.
 
-Pass 1 fills two Bloom filters over the line keys of all documents: a key's
+Pass 1 sends the 64-bit hash of every line key to its hash range, once for a
+run of documents; a range fills two Bloom filters, batch by batch: a hash's
 first sighting sets its bits in the once-filter, any later sighting sets them
-in the twice-filter.  Tasks fill filters of their own; merging two partial
-filters moves keys whose bits are set in both once-filters to the twice
-filter.  Pass 2 shuffles only lines the twice-filter suspects; grouping them
-by a 128-bit digest confirms real repeats exactly and picks the document that
-keeps the line.  Pass 3 drops the confirmed lines.
-
-The filters have a fixed size (``bits``), so what is merged and broadcast does
-not grow with the data.  A fuller filter suspects more lines and shuffles
-more; it never changes the result, since grouping is exact.
-
-Defined results: null text is one empty line; lines repeated inside one
-document count once for it; a document given twice (same id) is one document
-and both rows lose the same lines; rows with a null id take no part and keep
-their lines; other columns travel with the row.
+in the twice-filter.  Pass 2 shuffles only lines the twice-filters suspect;
+grouping them by a 128-bit digest confirms real repeats exactly and picks the
+document that keeps the line.  Pass 3 drops the confirmed lines.
+
+Filters are sized by the counted keys and split by hash range, so a task's
+filters stay small and the share of false suspects stays the same on any
+amount of data.  The twice-filters are broadcast up to ``broadcast_bytes``;
+beyond that their hashes meet the keys' in a shuffle join, with equal results.
+False suspects shuffle more and never change the result: grouping is exact.
+
+Defined results: null or empty text is one empty line; lines repeated inside
+one document count once for it; a document given twice (same id) is one
+document and both rows lose the same lines; of equal lines the largest id
+keeps its own, and all of them where one document repeats it; rows with a
+null id take no part and keep their lines; an empty table gives an empty
+result; a text of any length is read whole; other columns travel with the row.
 """
 
 from __future__ import annotations
@@ -31,17 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from margincast.llm.common import packed, written
+from margincast.llm.common import packed, shard_of, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
+PLACES = 4                           # bits a key sets in a filter
 
 
 @dataclass(frozen=True)
 class LineRules:
     min_chars: int = 40
     min_docs: int = 5
-    bits: int = 1 << 25              # of each filter: 4 MB
-    chunk_bits: int = 1 << 19        # filters are merged in chunks of this size
+    bits_per_key: int = 16           # of each filter
+    range_keys: int = 1 << 18        # counted keys a hash range holds
+    run_keys: int = 1 << 20          # keys a task holds at a time
+    broadcast_bytes: int = 64 << 20  # of the twice-filters of all ranges
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -58,80 +64,119 @@ def doc_keys(text: bytes, min_chars: int) -> set[bytes]:
     return {k for line in text.split(b"\n") if (k := line_key(line, min_chars)) is not None}
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit positions per key."""
-    return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
+def _places(hashes: np.ndarray, mask: np.ndarray | np.uint64) -> list[np.ndarray]:
+    """Bit positions of every key in a filter of ``mask`` + 1 bits."""
+    a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+    return [(a + np.uint64(i) * b) & mask for i in range(PLACES)]
 
 
-def _set(filt: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(filt, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+def _set(filt: np.ndarray, at: list[np.ndarray]) -> None:
+    for x in at:
+        filt[x] = True
 
 
-def _has(filt: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (filt[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _has(filt: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    out = filt[at[0]]
+    for x in at[1:]:
+        out = out & filt[x]
+    return out
+
+
+def filter_bits(keys: int, bits_per_key: int) -> int:
+    """Size of a filter for ``keys`` keys: a power of two, at least one byte."""
+    return 1 << max(3, (keys * bits_per_key - 1).bit_length())
 
 
 def _binary(col: pa.ChunkedArray | pa.Array) -> list:
     return col.cast(pa.binary()).to_pylist()
 
 
-def bloom_pair(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The merged once- and twice-filters of all documents."""
-    n_bytes, chunk = rules.bits // 8, rules.chunk_bits // 8
+def key_hashes(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
+    """``h`` (64-bit hash of a line key, signed) and ``again`` (a document seen
+    before in the same run of documents has it too), once a run and key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
 
-    def out(once, twice):
-        rows = [(i, once[i * chunk:(i + 1) * chunk].tobytes(), twice[i * chunk:(i + 1) * chunk].tobytes())
-                for i in range(n_bytes // chunk)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-             pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "once", "twice"])
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.array(held, dtype=np.uint64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "again"])
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = twice = None
         for batch in batches:
-            if once is None:
-                once, twice = np.zeros(n_bytes, np.uint8), np.zeros(n_bytes, np.uint8)
-            keys = [xxhash.xxh3_64_intdigest(k) for t in _binary(batch.column(0)) if t for k in doc_keys(t, rules.min_chars)]
-            h = np.array(keys, dtype=np.uint64)
-            h, n = np.unique(h, return_counts=True)
-            a, b = _places(h, rules.bits)
-            again = (n > 1) | (_has(once, a) & _has(once, b))
-            _set(twice, a[again])
-            _set(twice, b[again])
-            _set(once, a)
-            _set(once, b)
-        if once is not None:
-            yield out(once, twice)
-
-    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        once, twice = np.zeros(chunk, np.uint8), np.zeros(chunk, np.uint8)
-        for o, t in zip(_binary(table["once"]), _binary(table["twice"])):
-            o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-            twice |= t | (once & o)
-            once |= o
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "once": [once.tobytes()], "twice": [twice.tobytes()]})
-
-    schema = "chunk int, once binary, twice binary"
-    parts = (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-             .mapInArrow(fill, schema))
-    once, twice = np.zeros(n_bytes, np.uint8), np.zeros(n_bytes, np.uint8)
-    # chunks x filter bytes, a fixed size whatever the input
-    for r in parts.groupBy("chunk").applyInArrow(merge, schema).collect():
-        once[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["once"], np.uint8)
-        twice[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["twice"], np.uint8)
-    return once, twice
+            for t in _binary(batch.column(0)):
+                held.extend(xxhash.xxh3_64_intdigest(k) for k in doc_keys(t, rules.min_chars))
+                if len(held) >= rules.run_keys:
+                    yield out()
+        if held:
+            yield out()
+
+    return (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+            .mapInArrow(run, "h long, again boolean"))
+
+
+def twice_seen(keys: DataFrame, rules: LineRules) -> tuple[DataFrame, int]:
+    """Per hash range the filter of the keys seen twice (``filter``) and their
+    hashes (``hashes``); and the number of ranges.  A range's two filters are
+    sized by the counted keys, so they are as selective on any amount of data."""
+    n = keys.count()
+    ranges = max(1, -(-n // rules.range_keys))
+    size = filter_bits(-(-n // ranges), rules.bits_per_key)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, found = np.zeros(size, bool), np.zeros(size, bool), []
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            again = batch.column("again").to_numpy(zero_copy_only=False)
+            h, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            again = (n > 1) | (np.bincount(at, weights=again) > 0)
+            places = _places(h, np.uint64(size - 1))
+            new = (again | _has(once, places)) & ~_has(twice, places)
+            _set(once, places)
+            _set(twice, [x[new] for x in places])
+            found.append(h[new])
+        h = np.concatenate(found)
+        # what travels on is sized by the keys it holds
+        small = np.zeros(filter_bits(len(h), rules.bits_per_key), bool)
+        _set(small, _places(h, np.uint64(len(small) - 1)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(small, bitorder="little").tobytes()], pa.binary()),
+             pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["range", "filter", "hashes"])
+
+    at = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(ranges).cast("long"), 32)
+    out = keys.groupBy(at.alias("range")).applyInArrow(run, "range long, filter binary, hashes array<long>")
+    return out, ranges
 
 
 def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def suspects(docs: DataFrame, twice: np.ndarray, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest) of the distinct suspected keys of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(twice)
+class TwiceFilter:
+    """The filters of all ranges as one array of bytes."""
+
+    def __init__(self, parts: dict[int, bytes], ranges: int):
+        self.ranges = ranges
+        filters = [np.frombuffer(parts.get(i, b"\0"), np.uint8) for i in range(ranges)]
+        sizes = np.array([len(x) for x in filters], np.uint64)
+        self.mask = sizes * np.uint64(8) - np.uint64(1)
+        self.first = np.cumsum(sizes) - sizes
+        self.bytes = np.concatenate(filters)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = shard_of(hashes, self.ranges)
+        out = np.ones(len(hashes), bool)
+        for x in _places(hashes, self.mask[at]):
+            out &= (self.bytes[self.first[at] + (x >> np.uint64(3))] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def doc_digests(docs: DataFrame, rules: LineRules, id_col: str, text_col: str, twice: TwiceFilter | None) -> DataFrame:
+    """(doc_id, digest, h) of the distinct keys of every document, or of those
+    the filter suspects."""
+    sent = docs.sparkSession.sparkContext.broadcast(twice)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = held.value
+        filt = sent.value
         for batch in batches:
             ids, keys = [], []
             for d, t in zip(batch.column(0).to_pylist(), _binary(batch.column(1))):
@@ -139,21 +184,32 @@ def suspects(docs: DataFrame, twice: np.ndarray, rules: LineRules, id_col: str,
                     ids.append(d)
                     keys.append(k)
             h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-            a, b = _places(h, rules.bits)
-            at = np.flatnonzero(_has(filt, a) & _has(filt, b))
+            at = np.flatnonzero(filt.has(h)) if filt is not None else np.arange(len(h))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in at], pa.int64()), pa.array([_digest(keys[i]) for i in at], pa.binary())],
-                names=["doc_id", "digest"])
+                [pa.array([ids[i] for i in at], pa.int64()), pa.array([_digest(keys[i]) for i in at], pa.binary()),
+                 pa.array(h[at].view(np.int64))], names=["doc_id", "digest", "h"])
 
     return (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-            .mapInArrow(pick, "doc_id long, digest binary"))
+            .mapInArrow(pick, "doc_id long, digest binary, h long"))
+
+
+def suspects(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest) of the keys the twice-filter holds."""
+    parts, ranges = twice_seen(written(key_hashes(docs, rules, id_col, text_col), "line-keys"), rules)
+    parts = written(parts, "line-filters")
+    size = parts.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    if size <= rules.broadcast_bytes:
+        held = TwiceFilter({r["range"]: bytes(r["filter"]) for r in parts.select("range", "filter").collect()}, ranges)
+        return doc_digests(docs, rules, id_col, text_col, held).select("doc_id", "digest")
+    # too large to send to every task: the suspected hashes meet the keys' hashes in a shuffle join
+    return (doc_digests(docs, rules, id_col, text_col, None)
+            .join(parts.select(F.explode("hashes").alias("h")), "h", "left_semi").select("doc_id", "digest"))
 
 
 def drop_lists(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses lines: the digests of the keys it loses."""
-    _, twice = bloom_pair(docs, rules, id_col, text_col)
-    held = written(suspects(docs, twice, rules, id_col, text_col), "line-suspects")
+    held = written(suspects(docs, rules, id_col, text_col), "line-suspects")
     # repeated rows of one id count once; both sides of the join are then plain tables,
     # so a line that is everywhere can be split over tasks
     repeats = written(held.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
@@ -181,7 +237,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     drops = drop_lists(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "_id")
     both = (docs.select(packed(rest), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
-            .join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+            .join(drops, F.col("doc_id") == F.col("_id"), "left")
             .select("_row", "doc_id", "_t", "digests"))
     min_chars = rules.min_chars
 

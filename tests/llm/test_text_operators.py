@@ -199,8 +199,8 @@ def brute_lines(rows, rules):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [1 << 19, 1 << 25])
-def test_line_dedup_brute_force(spark, bits):
+@pytest.mark.parametrize("settings", [{}, {"range_keys": 8, "run_keys": 4}, {"broadcast_bytes": 0}])
+def test_line_dedup_brute_force(spark, settings):
     a, b = "A common line that is long enough to be a key.", "é" * 40
     rows = [*EDGE]
     for i in range(30, 42):
@@ -208,7 +208,7 @@ def test_line_dedup_brute_force(spark, bits):
     rows += [(50, "é" * 39), (51, ("x" * 39 + "\n") * 9), (41, a), (52, "four docs hold this line which is long enough"),
              (53, "four docs hold this line which is long enough"), (54, "four docs hold this line which is long enough"),
              (55, "four docs hold this line which is long enough"), (55, "four docs hold this line which is long enough")]
-    rules = line_dedup.LineRules(bits=bits)
+    rules = line_dedup.LineRules(**settings)
     got = line_dedup.dedup_lines(frame(spark, rows), rules).select("doc_id", "n_lines", "n_dropped", F.sha2("_text", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(rows, rules)
 
@@ -216,11 +216,21 @@ def test_line_dedup_brute_force(spark, bits):
 def test_line_dedup_small_filter_still_exact(spark):
     """A filter far too small suspects everything and changes nothing."""
     rows = [(i, "\n".join(f"line number {j} of the table, which is long enough" for j in range(i % 7, 12))) for i in range(40)]
-    rules = line_dedup.LineRules(bits=1 << 8, chunk_bits=1 << 8)
+    rules = line_dedup.LineRules(bits_per_key=0, range_keys=64)
     got = line_dedup.dedup_lines(frame(spark, rows), rules).select("doc_id", "n_lines", "n_dropped", F.sha2("_text", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(rows, rules)
 
 
+@pytest.mark.parametrize("n", [2_000, 16_000])
+def test_line_dedup_suspects_stay_near_the_repeats(spark, n):
+    """Filters follow the number of keys: few lone lines are suspected at any size."""
+    rows = [(i, "\n".join([f"a line of its own, document {i} and number {j} of it" for j in range(20)]
+                          + [f"a line that two documents hold, {i % (n // 40)} of them all"])) for i in range(n // 20)]
+    rules = line_dedup.LineRules(range_keys=1_000)
+    held = line_dedup.suspects(frame(spark, rows), rules, "doc_id", "text").select("digest").distinct().count()
+    assert n // 40 <= held <= 1.05 * n // 40 + 1
+
+
 def test_line_dedup_empty_table(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
