@@ -3,18 +3,22 @@
 Every document gets two histograms: its character classes, and its common
 words (a short function-word list per language, plus one bin for all other
 words).  A language's reference is the pooled histogram of all documents that
-declare the language.  The Jensen-Shannon distance (base 2, 0 to 1) to the
-nearest language reference is the document's divergence; documents whose
-distance passes a limit are rejected.  Texts below a minimum length have too
-few observations for a histogram and are not judged by that histogram.
+declare the language.  A document of a language with a word list, or of no
+declared language, is held against the nearest of those languages; a document
+of any other language against the character classes of its own, if the table
+has enough text of it.  The measure is the Jensen-Shannon distance (base 2, 0
+to 1); documents whose distance passes a limit are rejected.  Texts below a
+minimum length have too few observations for a histogram and are not judged by
+that histogram.
 
 Only DataFrame functions: histograms are arrays inside the row, so nothing is
 shuffled but one row of sums per task and language.
 
 Defined results: null or empty text has no words, hence ``base_failed``;
-repeated rows are judged alike; a table without documents of the listed
-languages has no references and then only the base rules judge; columns other
-than id, text and language are not read.
+repeated rows are judged alike; a document without a reference is judged by
+the base rules alone, so on an empty table and in a language with little
+text; a text of any length is read whole; a distance at a limit passes;
+columns other than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margincast.llm.common import LOWER, SPACES, UPPER, packed, words
+from margincast.llm.common import LOWER, UPPER, packed, words, written
 
 #: Frequent function words of each reference language.
 COMMON_WORDS = {
@@ -49,6 +53,8 @@ class QualityRules:
     char_limit: float = 0.25         # Jensen-Shannon distance
     word_limit: float = 0.25
     languages: tuple[str, ...] = field(default=tuple(COMMON_WORDS))
+    ref_words: int = 2_000           # pooled words the reference of any other language needs
+    broadcast_languages: int = 10_000
 
 
 def _class_counts(text: Column) -> Column:
@@ -109,17 +115,20 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     F.monotonically_increasing_id().alias("_at_row"))
 
 
-def fit_references(features: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, tuple[list[float], list[float]]]:
-    """Pooled histograms of each listed language, over all its documents: at
-    most one row per language reaches the driver."""
-    n_char, n_word = len(CLASSES) + 1, len(VOCABULARY)
-    rows = (features.where(F.col("_lang").isin(list(rules.languages))).groupBy("_lang")
-            .agg(*[F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(n_char)],
-                 *[F.sum(F.get("word_counts", F.lit(i))).alias(f"w{i}") for i in range(n_word)],
-                 F.sum("n_words").alias("n")).collect())
+def language_sums(features: DataFrame) -> DataFrame:
+    """Pooled histograms: one row per declared language."""
+    return features.groupBy("_lang").agg(
+        *[F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
+        *[F.sum(F.get("word_counts", F.lit(i))).alias(f"w{i}") for i in range(len(VOCABULARY))],
+        F.sum("n_words").alias("n"))
+
+
+def listed_references(sums: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
+    """Shares of classes and common words of each listed language: at most one
+    row per listed language reaches the driver."""
     out = {}
-    for r in rows:
-        chars = [r[f"c{i}"] for i in range(n_char)]
+    for r in sums.where(F.col("_lang").isin(list(rules.languages))).collect():
+        chars = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
         own = [r[f"w{VOCABULARY.index(v)}"] for v in COMMON_WORDS[r["_lang"]]]
         if sum(chars) and r["n"]:
             out[r["_lang"]] = ([c / sum(chars) for c in chars],
@@ -127,31 +136,67 @@ def fit_references(features: DataFrame, rules: QualityRules = QualityRules()) ->
     return dict(sorted(out.items()))
 
 
-def js_distance(counts: list[Column], total: Column, ref: list[float]) -> Column:
+def fit_references(features: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, tuple[list[float], list[float]]]:
+    """References of the listed languages, over all their documents."""
+    return listed_references(language_sums(features.where(F.col("_lang").isin(list(rules.languages)))), rules)
+
+
+def other_references(sums: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """(``_own``, ``_ref``): the class shares of every other language with
+    enough text."""
+    chars = [F.col(f"c{i}") for i in range(len(CLASSES) + 1)]
+    total = sum(chars[1:], chars[0])
+    return (sums.where(F.col("_lang").isNotNull() & ~F.col("_lang").isin(list(rules.languages))
+                       & (F.col("n") >= rules.ref_words) & (total > 0))
+            .select(F.col("_lang").alias("_own"), F.array(*[c / total for c in chars]).alias("_ref")))
+
+
+def judge(features: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """References from all of ``features`` (read twice: better a written
+    table), then the verdicts."""
+    sums = written(language_sums(features), "quality-references")
+    return judged(features, listed_references(sums, rules), rules, other_references(sums, rules))
+
+
+def js_distance(counts: list[Column], total: Column, ref: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2) of counts/total to a reference."""
     def part(x, m):
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(F.array(*[(c / total) for c in counts]), F.array(*[F.lit(float(q)) for q in ref]),
+    ref = ref if isinstance(ref, Column) else F.array(*[F.lit(float(q)) for q in ref])
+    terms = F.zip_with(F.array(*[(c / total) for c in counts]), ref,
                        lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def judged(features: DataFrame, refs: dict, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Adds ``char_js``, ``word_js`` (distance to the nearest reference, null
-    below the minimum lengths), ``base_failed`` and ``kept``."""
+def judged(features: DataFrame, refs: dict, rules: QualityRules = QualityRules(), others: DataFrame | None = None) -> DataFrame:
+    """Adds ``char_js``, ``word_js``, ``base_failed`` and ``kept``.  Documents
+    of the listed languages or of none are held against the nearest listed
+    reference, documents of another language against its own in ``others``;
+    distances are null below the minimum lengths and without a reference."""
+    columns = features.columns
+    n_others = others.count() if others is not None else 0
+    if n_others:
+        # a row of seven shares per language
+        others = F.broadcast(others) if n_others <= rules.broadcast_languages else others
+        features = features.join(others, F.col("_lang") == F.col("_own"), "left")
     chars = [F.get("char_counts", F.lit(i)) for i in range(len(CLASSES) + 1)]
     n_chars = F.aggregate("char_counts", F.lit(0), lambda s, x: s + x)
 
     def nearest(parts):
         return F.least(*parts) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast("double")
     char_js = nearest([js_distance(chars, n_chars, c) for c, _ in refs.values()])
+    listed = F.col("_lang").isNull() | F.col("_lang").isin(list(rules.languages))
+    own_js = F.lit(None).cast("double")
+    if n_others:
+        own_js = F.when(F.col("_ref").isNotNull(), js_distance(chars, n_chars, F.col("_ref")))
+    char_js = F.when(listed, char_js).otherwise(own_js)
     by_word = {}
     for lang, (_, ref) in refs.items():
         own = [F.get("word_counts", F.lit(VOCABULARY.index(v))) for v in COMMON_WORDS[lang]]
         by_word[lang] = js_distance([*own, F.col("n_words") - sum(own[1:], own[0])], F.col("n_words"), ref)
     out = features.select(
-        "*", F.when(F.col("word_chars") >= rules.char_min, char_js).alias("char_js"),
-        F.when(F.col("n_words") >= rules.word_min, nearest(list(by_word.values()))).alias("word_js"),
+        *columns, F.when(F.col("word_chars") >= rules.char_min, char_js).alias("char_js"),
+        F.when(listed & (F.col("n_words") >= rules.word_min), nearest(list(by_word.values()))).alias("word_js"),
         ((F.col("n_words") < rules.min_words)
          | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))).alias("base_failed"))
     return out.select("*", (~F.col("base_failed")

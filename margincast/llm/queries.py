@@ -63,8 +63,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # counts only, without the texts: written once, read for the references and again for the verdicts
     rest = [c for c in features.columns if c != "_row"]
     features = written(features.select(F.struct("_row.doc_id").alias("_row"), *rest), "quality-counts")
-    rules = quality.QualityRules()
-    return quality.judged(features, quality.fit_references(features, rules), rules).select(
+    return quality.judge(features).select(
         F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
 
@@ -91,13 +90,16 @@ def _quality_sql() -> str:
   sum(n_words - ({" + ".join(f"wc[{i}]" for i in own)}))::DOUBLE] AS w, sum(n_words)::DOUBLE AS n FROM f WHERE lang = {_q(lang)})""")
 
         def js(p, q):
-            return (f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: "
+            # a language without documents has no reference and no distance
+            return (f"CASE WHEN isfinite({q}[1]) THEN sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: "
                     "(CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END "
-                    "+ CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)), 0))")
+                    "+ CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)), 0)) END")
         dist_c.append(js("list_transform(cc, lambda x: x / list_sum(cc))",
                          f"(SELECT list_transform(c, lambda x: x / list_sum(c)) FROM ref_{lang})"))
         dist_w.append(js(f"[{', '.join(f'wc[{i}] / n_words' for i in own)}, (n_words - ({' + '.join(f'wc[{i}]' for i in own)})) / n_words]",
                          f"(SELECT list_transform(w, lambda x: x / n) FROM ref_{lang})"))
+    listed = ", ".join(map(_q, rules.languages))
+    own_js = js("list_transform(cc, lambda x: x / list_sum(cc))", "list_transform(oc, lambda x: x / list_sum(oc))")
     return f"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}'), lambda x: x <> '') AS w FROM documents),
@@ -113,9 +115,13 @@ f AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) A
       FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
                    list_transform(w, lambda x: lower(x)) AS low FROM {last}) d LEFT JOIN cov USING (doc_id)),
 {", ".join(refs)},
+other AS (SELECT lang AS own, [{char_sums}] AS oc FROM f WHERE lang NOT IN ({listed}) GROUP BY lang
+          HAVING sum(n_words) >= {rules.ref_words} AND sum(list_sum(cc)) > 0),
 j AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
-             CASE WHEN word_chars >= {rules.char_min} THEN least({", ".join(dist_c)}) END AS char_js,
-             CASE WHEN n_words >= {rules.word_min} THEN least({", ".join(dist_w)}) END AS word_js FROM f)
+             CASE WHEN word_chars < {rules.char_min} THEN NULL WHEN coalesce(lang IN ({listed}), true) THEN least({", ".join(dist_c)})
+                  WHEN own IS NOT NULL THEN {own_js} END AS char_js,
+             CASE WHEN n_words >= {rules.word_min} AND coalesce(lang IN ({listed}), true) THEN least({", ".join(dist_w)}) END AS word_js
+      FROM f LEFT JOIN other ON lang = own)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(char_js <= {rules.char_limit}, true) AND coalesce(word_js <= {rules.word_limit}, true) AS kept
 FROM j"""

@@ -161,6 +161,45 @@ def test_quality_divergence(spark):
     assert all(got[i] for i in range(30))
 
 
+def test_quality_of_other_languages(spark):
+    """Clean texts of a language without a word list stay; noise beside them goes."""
+    import random
+    rnd = random.Random(3)
+    greek = [(i, " ".join("".join(rnd.choices("αβγδεζηθικλμνοπρστυφχψω", k=rnd.randint(2, 9))) + ("." if j % 9 == 8 else "")
+                          for j in range(260))) for i in range(20)]
+    prose = [(100 + i, " ".join(f"the w{i}x{j} of and{j} to a" for j in range(40))) for i in range(5)]
+    noise = [(200, " ".join(f"{j}{j}##{j}" for j in range(200)))]
+    df = frame(spark, greek + noise, lang=F.lit("el")).unionByName(frame(spark, prose)).unionByName(
+        frame(spark, [(300, noise[0][1])], lang=F.lit("xx")))
+    feats = quality.text_features(df)
+    got = {r[0]: r for r in quality.judge(feats).select("_row.doc_id", "kept", "char_js", "word_js", "base_failed").collect()}
+    assert len(got) == len(greek) + len(prose) + 2
+    for i, _ in greek:
+        assert got[i].kept and got[i].char_js < 0.25 and got[i].word_js is None
+    assert not got[200].kept and got[200].char_js > 0.25
+    assert got[300].kept and got[300].char_js is None          # too little text of its language for a reference
+
+
+def test_quality_sql_on_other_languages(spark, tmp_path):
+    import duckdb
+
+    from margincast.llm.queries import REGISTRY
+    rows = []
+    for i in range(60):
+        lang = [None, "en", "el", "xx"][i % 4]
+        w = [["the", "of", "and"], ["the", "a"], ["και", "το"], ["##", "x1"]][i % 4]
+        rows.append((i, lang, " ".join(w[j % len(w)] + (f"{chr(97 + j % 26)}{j * (i + 1)}" if j % 3 else "") for j in range(90 + 5 * i))))
+    rows += [(90, "el", None), (91, None, ""), (92, "el", "## 12 " * 300), (93, "el", " ".join(f"#{j}%" for j in range(300)))]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = REGISTRY["op3_quality_rules"]
+    got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(sql).fetchall())
+    kept = {r[0]: r[-1] for r in got}
+    assert not kept[93] and any(kept.values())
+
+
 def test_quality_without_references(spark):
     feats = quality.text_features(frame(spark, [(1, " ".join(f"w{i}" for i in range(80)))], lang=F.lit("xx")))
     assert quality.fit_references(feats) == {}
