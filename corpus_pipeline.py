@@ -29,10 +29,8 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rules = quality.QualityRules()
-    features = quality.text_features(docs)
-    refs = quality.fit_references(features, rules)
-    return quality.judged(features, refs, rules).where("kept").select("_row.*")
+    features = written(quality.text_features(docs), "quality-counts")
+    return quality.judge(features).where("kept").select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
