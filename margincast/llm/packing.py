@@ -1,8 +1,10 @@
 """Lexical retrieval packing.
 
 Documents are tokenised once and cut into windows; what is left of a document
-after its full windows is a piece.  Pieces are dealt to shards by hash, or, to
-keep an order, by runs of the files' rows.  Each
+after its full windows is a piece.  Documents are ordered by lexical keys (the
+tokens that come first in a random order in which rare tokens tend to come
+early: alike documents tend to agree on them) and cut into shards along that
+order; or, to keep an order, into runs of the files' rows.  Each
 shard holds a BM25 inverted index over its documents' tokens; a seed piece
 opens a window, asks the index for its best unused neighbours and takes them
 in order until the window is full.  The neighbour that does not fit is cut at
@@ -11,12 +13,15 @@ shard's last window can be short.
 
 Document frequencies, document count and mean length are taken over the whole
 corpus (one number per vocabulary entry reaches the driver).  A token in more
-than half of all documents has no BM25 weight and no postings.  A shard holds
-about ``shard_tokens`` tokens, so a task's memory does not grow with the data.
+than half of all documents has no BM25 weight, no postings and is no key; a
+token of one document is no key.  A shard holds about ``shard_tokens`` tokens
+and a task one shard at a time, so its memory does not grow with the data; a
+key that many documents share is split by the next keys and the row.
 
 Defined results: null text is empty, its only id is the end id; repeated rows
-are packed each; a long text's full windows are sequences of their own; a null
-id stays null; other columns are not read.
+are packed each; a long text's full windows are sequences of their own; equal
+scores go to the document that comes first in its shard; a null id stays null;
+an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,6 +64,9 @@ class PackRules:
     k1: float = 1.2
     b: float = 0.75
     neighbours: int = 16             # fetched at a time; more follow while the window has room
+    key_power: float = 4.0           # how early rare tokens come in the order of keys
+    task_tokens: int = 4_000_000
+    max_tasks: int = 20_000          # beyond that a task packs more shards
 
 
 #: A white-space character before a space: the only place where a piece of the
@@ -223,6 +231,44 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, rules: Pack
         seq += 1
 
 
+KEYS = 3
+
+
+def key_order(df: np.ndarray, idf: np.ndarray, power: float) -> np.ndarray:
+    """Every token's place in one weighted random order; infinite for tokens
+    that are no key.  Two documents agree on their first token with the
+    probability of their weighted Jaccard similarity."""
+    draw = -np.log1p(-np.random.default_rng(0).random(len(df)))
+    use = (idf > 0) & (df > 1)
+    out = np.full(len(df), np.inf)
+    out[use] = draw[use] / idf[use] ** power
+    return out
+
+
+def lexical_keys(tokens: DataFrame, order: np.ndarray, kind: str) -> DataFrame:
+    """``k0`` to ``k2`` of every document: its first tokens in ``order``, -1
+    where it has fewer."""
+    sent = tokens.sparkSession.sparkContext.broadcast(order)     # one number per vocabulary entry
+
+    def keys_of(ids: bytes) -> np.ndarray:
+        t = np.unique(np.frombuffer(ids, kind))
+        at = sent.value[t]
+        first = np.argpartition(at, KEYS)[:KEYS] if len(t) > KEYS else np.arange(len(t))
+        first = first[np.argsort(at[first])]
+        out = np.full(KEYS, -1)
+        out[:len(first)] = np.where(np.isfinite(at[first]), t[first], -1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([keys_of(x) for x in batch.column(2).to_pylist()], np.int32).reshape(-1, KEYS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(keys[:, i]) for i in range(KEYS)]],
+                                             names=["row", "doc_id", "ids", *[f"k{i}" for i in range(KEYS)]])
+
+    return tokens.select("row", "doc_id", "ids").mapInArrow(
+        run, "row long, doc_id long, ids binary, " + ", ".join(f"k{i} int" for i in range(KEYS)))
+
+
 def file_runs(tokens: DataFrame, shard_tokens: int, mean: float) -> DataFrame:
     """``shard``: every file's rows in runs of about equally many rows, about
     ``shard_tokens`` tokens each, numbered in the order of the file names."""
@@ -254,19 +300,42 @@ def pack(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_id"
     df = document_frequencies(tokens, kind, size)
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0)
     mean = max(1.0, n_tokens / max(1, n_docs))
-    shards = max(1, -(-n_tokens // rules.shard_tokens))
     sent = docs.sparkSession.sparkContext.broadcast(idf)         # one number per vocabulary entry
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
-        ids, names = [np.frombuffer(b, kind) for b in table["ids"].to_pylist()], table["doc_id"].to_pylist()
-        base = key[0].as_py() << 32
+    def pieces(ids: list[np.ndarray], names: list, base: int) -> pa.RecordBatch:
         rows = pack_shard(ids, sent.value, mean, rules)
         crc = [zlib.crc32(ids[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
         cols = [[names[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows], crc, [len(ids[r[0]]) for r in rows],
                 [base + r[3] for r in rows], [r[4] for r in rows]]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in OUT.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in OUT.split(", ")])
 
-    shard = (file_runs(tokens, rules.shard_tokens, mean) if in_order
-             else tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))))
-    return shard.select("shard", "row", "doc_id", "ids").groupBy("shard").applyInArrow(run, OUT)
+    if in_order:
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            table = table.sort_by("row")
+            ids = [np.frombuffer(b, kind) for b in table["ids"].to_pylist()]
+            return pa.Table.from_batches([pieces(ids, table["doc_id"].to_pylist(), key[0].as_py() << 32)])
+
+        return (file_runs(tokens, rules.shard_tokens, mean).select("shard", "row", "doc_id", "ids")
+                .groupBy("shard").applyInArrow(run, OUT))
+
+    def run_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, held, base = [], [], 0, None
+        for batch in batches:
+            for part, name, b in zip(*[c.to_pylist() for c in batch.columns]):
+                base = part << 32 if base is None else base
+                ids.append(np.frombuffer(b, kind))
+                names.append(name)
+                held += len(ids[-1])
+                if held >= rules.shard_tokens:
+                    out = pieces(ids, names, base)
+                    yield out
+                    base = max(out["sequence_id"].to_pylist()) + 1
+                    ids, names, held = [], [], 0
+        if ids:
+            yield pieces(ids, names, base)
+
+    keys = [f"k{i}" for i in range(KEYS)]
+    tasks = max(1, min(-(-n_tokens // rules.task_tokens), rules.max_tasks))
+    return (lexical_keys(tokens, key_order(df, idf, rules.key_power), kind)
+            .repartitionByRange(tasks, *keys, "row").sortWithinPartitions(*keys, "row")
+            .select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids").mapInArrow(run_part, OUT))

@@ -98,6 +98,34 @@ def test_packing_keeps_the_order_of_files(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_packing_finds_neighbours_in_any_number_of_shards(spark):
+    """Planted pairs share a window about as often in many shards as in one."""
+    rnd = np.random.default_rng(5)
+    vocabulary = ["".join(rnd.choice(list("bcdfglmnprst")) + rnd.choice(list("aeiou")) for _ in range(3)) for _ in range(3000)]
+    rows = []
+    for pair in range(300):
+        own = rnd.choice(3000, 40)
+        for half in range(2):
+            w = np.concatenate([own, rnd.choice(3000, 20)])
+            rnd.shuffle(w)
+            rows.append((half * 300 + pair, " ".join(vocabulary[i] for i in w)))
+    share = {}
+    for tokens in (1_000_000, 4_000):
+        rules = packing.PackRules(shard_tokens=tokens, task_tokens=3 * tokens)
+        got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rules).collect()
+        windows = collections.defaultdict(set)
+        for r in got:
+            windows[r.doc_id].add(r.sequence_id)
+        share[tokens] = sum(bool(windows[i] & windows[i + 300]) for i in range(300)) / 300
+        at = collections.defaultdict(int)
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):        # no gap, nothing twice
+            assert r.offset == at[r.sequence_id]
+            at[r.sequence_id] += r.length
+        assert sum(at.values()) == sum(r.doc_tokens for r in got if r.start == 0)
+    n_shards = sum(at.values()) / 4_000
+    assert n_shards > 8 and share[4_000] > 4 / n_shards and share[4_000] > 0.6 * share[1_000_000]
+
+
 def test_bm25_scores_match_definition():
     rules = packing.PackRules()
     rng = np.random.default_rng(0)
