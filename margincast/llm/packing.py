@@ -64,6 +64,7 @@ class PackRules:
     k1: float = 1.2
     b: float = 0.75
     neighbours: int = 16             # fetched at a time; more follow while the window has room
+    long_windows: int = 4            # longer documents draw keys of their own
     key_power: float = 4.0           # how early rare tokens come in the order of keys
     task_tokens: int = 4_000_000
     max_tasks: int = 20_000          # beyond that a task packs more shards
@@ -245,23 +246,30 @@ def key_order(df: np.ndarray, idf: np.ndarray, power: float) -> np.ndarray:
     return out
 
 
-def lexical_keys(tokens: DataFrame, order: np.ndarray, kind: str) -> DataFrame:
+def lexical_keys(tokens: DataFrame, order: np.ndarray, kind: str, long: int) -> DataFrame:
     """``k0`` to ``k2`` of every document: its first tokens in ``order``, -1
-    where it has fewer."""
+    where it has fewer.  Documents of more than ``long`` tokens hold nearly all
+    first tokens, so they would meet in one place; theirs are drawn by row."""
     sent = tokens.sparkSession.sparkContext.broadcast(order)     # one number per vocabulary entry
 
-    def keys_of(ids: bytes) -> np.ndarray:
-        t = np.unique(np.frombuffer(ids, kind))
+    def keys_of(row: int, ids: bytes) -> np.ndarray:
+        t, out = np.frombuffer(ids, kind), np.full(KEYS, -1)
         at = sent.value[t]
-        first = np.argpartition(at, KEYS)[:KEYS] if len(t) > KEYS else np.arange(len(t))
-        first = first[np.argsort(at[first])]
-        out = np.full(KEYS, -1)
-        out[:len(first)] = np.where(np.isfinite(at[first]), t[first], -1)
+        if len(t) > long:
+            some = np.random.default_rng(row).permutation(np.unique(t[at < np.inf]))[:KEYS]
+            out[:len(some)] = some
+            return out
+        for i in range(KEYS):
+            first = at.argmin()
+            if at[first] == np.inf:
+                break
+            out[i] = t[first]
+            at[at == at[first]] = np.inf                          # the token's other places
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array([keys_of(x) for x in batch.column(2).to_pylist()], np.int32).reshape(-1, KEYS)
+            keys = np.array([keys_of(*x) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], np.int32).reshape(-1, KEYS)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(keys[:, i]) for i in range(KEYS)]],
                                              names=["row", "doc_id", "ids", *[f"k{i}" for i in range(KEYS)]])
 
@@ -336,6 +344,6 @@ def pack(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_id"
 
     keys = [f"k{i}" for i in range(KEYS)]
     tasks = max(1, min(-(-n_tokens // rules.task_tokens), rules.max_tasks))
-    return (lexical_keys(tokens, key_order(df, idf, rules.key_power), kind)
+    return (lexical_keys(tokens, key_order(df, idf, rules.key_power), kind, rules.long_windows * rules.window)
             .repartitionByRange(tasks, *keys, "row").sortWithinPartitions(*keys, "row")
             .select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids").mapInArrow(run_part, OUT))

@@ -126,6 +126,19 @@ def test_packing_finds_neighbours_in_any_number_of_shards(spark):
     assert n_shards > 8 and share[4_000] > 4 / n_shards and share[4_000] > 0.6 * share[1_000_000]
 
 
+def test_packing_keys_of_long_documents_spread(spark):
+    """Short documents agree on keys where they are alike; long ones do not pile up."""
+    rnd = np.random.default_rng(1)
+    order = packing.key_order(np.full(2000, 9), np.ones(2000), 4.0)
+    order[1999] = np.inf                                       # no key
+    texts = [np.arange(5, 25)] * 4 + [rnd.permutation(1900) for _ in range(40)] + [np.full(3, 1999)]
+    rows = [(i, i, bytearray(np.asarray(t, "<u2").tobytes())) for i, t in enumerate(texts)]
+    tokens = spark.createDataFrame(rows, "row long, doc_id long, ids binary")
+    got = {r["row"]: (r["k0"], r["k1"], r["k2"]) for r in packing.lexical_keys(tokens, order, "<u2", 1000).collect()}
+    assert {got[i] for i in range(4)} == {tuple(5 + np.argsort(order[5:25])[:3])}
+    assert len({got[i][0] for i in range(4, 44)}) > 30 and got[44] == (-1, -1, -1)
+
+
 def test_bm25_scores_match_definition():
     rules = packing.PackRules()
     rng = np.random.default_rng(0)
