@@ -64,3 +64,29 @@ def test_units_before_scoring(spark):
     from margincast.operators.models import demand_units
     df = spark.createDataFrame([(1.0, -3.2), (2.0, 2.5), (2.0, 1.5), (0.0, 0.4)], "y double, prediction double")
     assert [r.prediction for r in demand_units(df).collect()] == [0.0, 2.0, 2.0, 0.0]
+
+
+def test_rows_of_a_fit_are_dealt_over_the_cores(spark):
+    from margincast.session import spread
+    rows = [(i % 40, i // 40, float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "product_id int, week int, y double").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    some = spread(df, ["product_id", "week"], rows_per_task=100, rows_per_partition=1_000_000)
+    assert some.rdd.getNumPartitions() == min(cores, 60) and sorted(map(tuple, some.collect())) == sorted(rows)
+    more = spread(df, ["product_id", "week"], rows_per_task=1, rows_per_partition=-(-6000 // (2 * cores)))
+    assert more.rdd.getNumPartitions() == 2 * cores        # whole waves
+    assert spread(df, ["product_id", "week"], rows_per_task=6000) is df
+    # the same rows in the same places, however they came
+    again = spread(df.repartition(7), ["product_id", "week"], rows_per_task=100, rows_per_partition=1_000_000)
+    assert some.rdd.glom().collect() == again.rdd.glom().collect()
+
+
+def test_queries_fit_on_spread_rows(spark, monkeypatch):
+    from margincast.plans import catalog
+    frame = spark.range(6000).selectExpr("id % 50 AS product_id", "date_add(date'2018-01-01', cast(7 * (id div 50) AS int)) AS Date",
+                                         "0 AS seller_state_encoded", "1.0 AS QuantitySold")
+    monkeypatch.setattr(catalog, "batch_frame", lambda spark, d: frame.coalesce(1))
+    f = catalog._Fit(spark, "")
+    assert (f.train.count(), f.test.count()) == (4800, 1200)
+    assert f.train.rdd.getNumPartitions() > 1 and f.test.rdd.getNumPartitions() > 1
+    assert f.pipeline("rf").getStages()[-1].getCacheNodeIds()
