@@ -95,3 +95,29 @@ def test_carrying_while_generating_equals_filling_the_grid(spark):
     assert sorted(after.collect(), key=repr) == sorted(during.collect(), key=repr)
     want = after.agg(F.avg("AverageSellingPrice")).first()[0]
     assert abs(mean_over_weeks(first, "AverageSellingPrice") - want) < 1e-9
+
+
+def test_fast_rounding_equals_round(spark):
+    import math
+    from margincast.functions.scalars import round_places
+    rnd = random.Random(3)
+    vals = [None, 0.0, -0.0, math.nan, math.inf, -math.inf, 5e-7, -5e-7, 2.5e-6, 1.0000005, -1.0000005, 0.1234565, 1e300, 1e12, 999999.9999995]
+    vals += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 9) for _ in range(3000)] + [round(rnd.uniform(-9, 9), 6) + 5e-7 for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in vals], "x double").select((F.round("x", 6) + F.lit(0.0)).alias("a"), round_places("x", 6).alias("b"))
+    assert got.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    assert got.where("b = 0").count() and not [r for r in got.collect() if r.b == 0 and math.copysign(1, r.b) < 0]
+
+
+def test_calendar_comes_from_a_table_of_days(spark):
+    from margincast.operators.features import calendar_days, dense_features
+    cube = spark.createDataFrame([row(1, 0, i, 1, 10.0 + i / 7) for i in range(0, 70)] + [row(2, 0, 3, 1, 5.0)], CUBE)
+    days = calendar_days(cube).collect()
+    assert len(days) == 69 * 7 + 1 and {d.IsHolidayWeek for d in days} == {0, 1}
+    whole, cut = dense_features(cube), dense_features(cube, rounded={"Month_Sin": 3, "Price_Roll_Mean_4": 3, "PriceLag1_x_MonthSin": 3})
+    assert whole.columns == cut.columns and whole.columns[:2] == ["Year", "Week"]
+    a, b = ({r.Date: r for r in x.where("product_id = 1").collect()} for x in (whole, cut))
+    assert a.keys() == b.keys() and len(a) == 18
+    for d, r in a.items():
+        assert abs(r.Month_Sin - round(r.Month_Sin, 9)) < 1e-8 and abs(b[d].Month_Sin - r.Month_Sin) <= 5.1e-4
+        assert abs(b[d].PriceLag1_x_MonthSin - r.Price_Lag_1 * r.Month_Sin) <= 5.1e-4      # of the unrounded sine
+        assert b[d].Price_Roll_Mean_4 == round(b[d].Price_Roll_Mean_4, 3)
