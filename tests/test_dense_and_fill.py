@@ -121,3 +121,23 @@ def test_calendar_comes_from_a_table_of_days(spark):
         assert abs(r.Month_Sin - round(r.Month_Sin, 9)) < 1e-8 and abs(b[d].Month_Sin - r.Month_Sin) <= 5.1e-4
         assert abs(b[d].PriceLag1_x_MonthSin - r.Price_Lag_1 * r.Month_Sin) <= 5.1e-4      # of the unrounded sine
         assert b[d].Price_Roll_Mean_4 == round(b[d].Price_Roll_Mean_4, 3)
+
+
+def test_rolls_from_lags_equal_sliding_frames(spark):
+    from margincast.operators.features import dense_features
+    rnd = random.Random(21)
+    rows = [row(p, s, i, rnd.randrange(1, 6), round(rnd.uniform(1, 9), 2) / 3) for p in range(4) for i in range(90)
+            if i in (0, 89) or rnd.random() < 0.6 for s in rnd.sample(range(3), rnd.choice([1, 1, 2]))]
+    lags = dense_features(spark.createDataFrame(rows, CUBE))
+    # an unknown number of units, in a product of its own, asks for frames, which skip it
+    frames = dense_features(spark.createDataFrame(rows + [row(9, 0, 40, None, 5.0)], CUBE)).where("product_id < 9")
+    plan = [x._jdf.queryExecution().optimizedPlan().toString() for x in (lags, frames)]
+    assert "RowFrame, -12, -1)" not in plan[0] and "RowFrame, -12, -1)" in plan[1]
+    assert lags.columns == frames.columns and lags.dtypes == frames.dtypes
+    key = lambda r: (r.product_id, r.Date, r.seller_state_encoded)
+    a, b = sorted(lags.collect(), key=key), sorted(frames.collect(), key=key)
+    assert len(a) == len(b) > 100
+    for x, y in zip(a, b):
+        for c in lags.columns:
+            same = x[c] == y[c]
+            assert same or "Std" in c and abs(x[c] - y[c]) < 1e-12, (c, x[c], y[c])
