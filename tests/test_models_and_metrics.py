@@ -90,3 +90,16 @@ def test_queries_fit_on_spread_rows(spark, monkeypatch):
     assert (f.train.count(), f.test.count()) == (4800, 1200)
     assert f.train.rdd.getNumPartitions() > 1 and f.test.rdd.getNumPartitions() > 1
     assert f.pipeline("rf").getStages()[-1].getCacheNodeIds()
+
+
+def test_fit_builds_only_the_sides_a_query_reads(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from margincast.plans import catalog
+    feats = spark.createDataFrame([(p, 1, 1, i, i % 5 < 4) for p in range(3) for i in range(10)],
+                                  "product_id long, Date int, seller_state_encoded int, QuantitySold long, is_train boolean")
+    monkeypatch.setattr(catalog, "batch_frame", lambda *a: (_ for _ in ()).throw(AssertionError("built a second time")))
+    f = catalog._Fit(spark, "nowhere", feats)
+    assert "test" not in vars(f)
+    assert f.train.count() == 24 and f.test.count() == 6 and "test" in vars(f)
+    assert f.test is f.test and "is_train" not in f.train.columns
+    assert f.test.agg(F.sum("QuantitySold")).first()[0] == 3 * (4 + 9)
