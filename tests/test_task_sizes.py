@@ -71,3 +71,27 @@ def test_dense_grid_tasks_grow_with_the_cube_not_with_the_session(spark):
         assert grid.rdd.getNumPartitions() == 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_boosted_fits_get_few_large_partitions_and_forests_do_not(spark, monkeypatch):
+    from margincast.plans import catalog
+    seen = []
+    frame = spark.range(10).select(F.col("id").alias("product_id"), F.lit(1).alias("Date"), F.lit(0).alias("seller_state_encoded"),
+                                   (F.col("id") < 8).alias("is_train"))
+
+    class Stop(Exception):
+        pass
+
+    def spread(df, keys, rows_per_task=1_000, rows_per_partition=200_000):
+        seen.append(rows_per_partition)
+        raise Stop
+
+    monkeypatch.setattr(session, "spread", spread)
+    monkeypatch.setattr(catalog, "batch_frame", lambda spark, d: frame)
+    monkeypatch.setattr("margincast.operators.splits.row_split", lambda df, frac: df)
+    for name in ("m1_gbt_leafwise", "m2_gbt_subsampled", "m6_log_target_model", "m3_random_forest"):
+        try:
+            catalog.REGISTRY[name][0](spark, "")
+        except Stop:
+            pass
+    assert seen == [1_000_000, 1_000_000, 1_000_000, 200_000]
