@@ -103,3 +103,23 @@ def test_fit_builds_only_the_sides_a_query_reads(spark, monkeypatch):
     assert f.train.count() == 24 and f.test.count() == 6 and "test" in vars(f)
     assert f.test is f.test and "is_train" not in f.train.columns
     assert f.test.agg(F.sum("QuantitySold")).first()[0] == 3 * (4 + 9)
+
+
+def test_forest_search_draws_from_the_whole_space(spark, monkeypatch):
+    import duckdb
+
+    from margincast.operators import models
+    from margincast.plans import catalog
+    seen = {}
+
+    def search(pipeline, space, train, path, **args):
+        seen.update(args, space=space, trees=pipeline.getStages()[-1].getNumTrees())
+        return spark.range(args["n"]).selectExpr("cast(id AS int) AS draw", f"{args['folds']} AS folds", "0.5 AS r2_mean", "0.1 AS r2_std")
+
+    frame = spark.createDataFrame([(p, 1, 1, 1) for p in range(10)], "product_id long, Date int, seller_state_encoded int, QuantitySold long")
+    monkeypatch.setattr(catalog, "batch_frame", lambda *a: frame)
+    monkeypatch.setattr(models, "resumable_search", search)
+    fn, sql = catalog.REGISTRY["m5_random_search"]
+    got = sorted(map(tuple, fn(spark, "").collect()))
+    assert (seen["n"], seen["folds"], seen["space"]) == (20, 3, models.RF_SPACE) and not seen["fixed"]
+    assert got == sorted(duckdb.sql(sql).fetchall()) and len(got) == 20
