@@ -123,3 +123,22 @@ def test_forest_search_draws_from_the_whole_space(spark, monkeypatch):
     got = sorted(map(tuple, fn(spark, "").collect()))
     assert (seen["n"], seen["folds"], seen["space"]) == (20, 3, models.RF_SPACE) and not seen["fixed"]
     assert got == sorted(duckdb.sql(sql).fetchall()) and len(got) == 20
+
+
+def test_profit_of_every_demand_model(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from margincast.operators.models import MODEL_SETTINGS
+    from margincast.plans import catalog
+    P, tiny = "AverageSellingPrice", {"gbt_a": dict(maxIter=1), "gbt_b": dict(maxIter=1), "rf": dict(numTrees=2), "linear": {}}
+    train = spark.createDataFrame([(float(x), 9.0 - x % 7) for x in range(60)], f"{P} double, QuantitySold double")
+    base = spark.createDataFrame([(p, 10.0 + p, 1.0, 5.0, 15.0) for p in range(4)],
+                                 "product_id long, current_price double, cost double, lower double, upper double")
+    price = SimpleNamespace(feats=None, base=base.drop("cost", "lower", "upper"), costs=base.select("product_id", "cost"),
+                            bounds=lambda: base.select("product_id", "lower", "upper"))
+    monkeypatch.setattr(catalog, "_Price", lambda *a: price)
+    monkeypatch.setattr(catalog, "_Fit", lambda *a: SimpleNamespace(
+        train=train, pipeline=lambda kind: demand_model(kind, [P], **tiny[kind])))
+    got = catalog.REGISTRY["p10m_profit_by_model"][0](spark, "").collect()
+    assert {r.model for r in got} == set(MODEL_SETTINGS) and len(got) == 4
+    assert all(r.products == 4 and r.total_profit > 0 for r in got)
