@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from margincast.llm.common import discard, written
+from margincast.llm.common import counted, discard, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -19,11 +19,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                    .where("a <> b").distinct(), f"{name}-edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")),
                      f"{name}-labels")
+    large = counted(labels) is not labels      # as many rows in every round
     while True:
-        near = (both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        now = labels.hint("merge") if large else labels
+        near = (both.join(now.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
                 .select(F.col("a").alias("v"), "m"))
-        hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        up = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        hooked = now.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        up = now.select(F.col("v").alias("c"), F.col("c").alias("cc"))
         step = written(hooked.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), f"{name}-labels")
         discard(spark, labels)
         labels = step.select("v", "c")

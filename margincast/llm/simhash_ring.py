@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margincast.llm.common import discard, written
+from margincast.llm.common import counted, discard, written
 from margincast.llm.graph import components
 
 #: Shingles hashed at a time.
@@ -131,19 +131,20 @@ def _near(x: Column, y: Column, seg: Column, rules: RingRules) -> Column:
 
 def links(vertices: DataFrame, rules: RingRules = RingRules()) -> DataFrame:
     """``a, b``: links enough to join everything that is connected, among distinct
-    fingerprints (fp)."""
+    fingerprints (fp).  Spark sizes the exploded keys by the files they come from, so
+    their joins are told to merge: broadcast, they would not fit into the driver."""
     exact, cleared = _keys(vertices.select("fp"), rules)
     first = exact.groupBy("seg", "key").agg(F.min("fp").alias("b"))
-    stars = (exact.union(cleared).join(first, ["seg", "key"])
+    stars = (exact.union(cleared).join(first.hint("merge"), ["seg", "key"])
              .where((F.col("fp") != F.col("b")) & _near(F.col("fp"), F.col("b"), F.col("seg"), rules))
              .select(F.col("fp").alias("a"), "b").distinct())
     stars = written(stars, "ring-stars")
     labels = components(stars, "ring")
-    named = written(vertices.select("fp").join(labels, F.col("fp") == F.col("v"), "left")
+    named = written(vertices.select("fp").join(counted(labels), F.col("fp") == F.col("v"), "left")
                     .select("fp", F.coalesce("c", "fp").alias("c")), "ring-vertices")
     exact, cleared = _keys(named, rules)
     x = exact.withColumn("whole", F.lit(True)).union(cleared.withColumn("whole", F.lit(False))).alias("x")
-    y = exact.alias("y")
+    y = exact.hint("merge").alias("y")
     pairs = (x.join(y, (F.col("x.seg") == F.col("y.seg")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
                     & (~F.col("x.whole") | (F.col("x.fp") < F.col("y.fp")))
                     & _near(F.col("x.fp"), F.col("y.fp"), F.col("x.seg"), rules))
@@ -159,10 +160,10 @@ def near_duplicates(docs: DataFrame, rules: RingRules = RingRules(), id_col: str
     vertices = written(held.groupBy("fp").agg(F.min("doc_id").alias("first")), "ring-distinct")
     edges = links(vertices, rules)
     labels = components(edges, "ring-all")
-    named = vertices.join(labels, F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("c", "fp").alias("c"))
+    named = vertices.join(counted(labels), F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("c", "fp").alias("c"))
     named = written(named, "ring-named")
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    names = written(named.join(least, "c").select("fp", "component_id"), "ring-components")
+    names = written(named.join(least.hint("merge"), "c").select("fp", "component_id"), "ring-components")
     for t in (vertices, labels, named):
         discard(spark, t)
-    return held.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return held.join(counted(names), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -117,6 +117,27 @@ def test_ring_links_planted_fingerprints(spark):
     assert len(edges) < len(near) / 4
 
 
+def test_ring_broadcasts_no_table_that_grows(spark, monkeypatch):
+    from margincast.llm import common, graph
+    plans = {}
+
+    def written(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, name)
+
+    for module in (simhash_ring, graph):
+        monkeypatch.setattr(module, "written", written)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0, raising=False)       # so no table counts as small
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghij", k=400)) for _ in range(12)]
+    rows = list(enumerate(texts + [t + " end" for t in texts]))
+    last = simhash_ring.near_duplicates(frame(spark, rows))
+    assert sorted((tuple(r) for r in last.collect()), key=repr) == (want := plain_ring(rows))
+    assert len({c for _, _, c in want}) < len(want)        # some are linked
+    plans["last"] = [last._jdf.queryExecution().executedPlan().toString()]
+    assert not any("BroadcastHashJoin" in p for name in plans for p in plans[name])
+
+
 def test_ring_of_an_empty_table(spark):
     assert simhash_ring.near_duplicates(frame(spark, [])).collect() == []
 
