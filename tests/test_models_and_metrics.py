@@ -142,3 +142,26 @@ def test_profit_of_every_demand_model(spark, monkeypatch):
     got = catalog.REGISTRY["p10m_profit_by_model"][0](spark, "").collect()
     assert {r.model for r in got} == set(MODEL_SETTINGS) and len(got) == 4
     assert all(r.products == 4 and r.total_profit > 0 for r in got)
+
+
+def test_forest_grown_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from margincast.operators import models
+    monkeypatch.setattr(models, "FOREST_CELLS", 4 * 300, raising=False)       # four trees at a time
+    fits = []
+    whole = models.RandomForestRegressor._fit
+    monkeypatch.setattr(models.RandomForestRegressor, "_fit", lambda self, df: fits.append(self.getNumTrees()) or whole(self, df))
+    df = spark.createDataFrame([(float(i % 17), float(i % 5), float(3 * (i % 17) + i % 5)) for i in range(300)],
+                               "a double, b double, QuantitySold double")
+    m = demand_model("rf", ["a", "b"], numTrees=10).fit(df)
+    forest = m.stages[-1]
+    assert fits == [4, 4, 2] and forest.getNumTrees == 10 and forest.numFeatures == 2 and forest.getMaxDepth() == 30
+    trees = [t.toDebugString.split("\n", 1)[1] for t in forest.trees]
+    assert len(set(trees)) == 10                                              # no part repeats another's draws
+    rows = m.transform(df).select("features", "prediction").limit(20).collect()
+    assert all(abs(r.prediction - sum(t.predict(r.features) for t in forest.trees) / 10) < 1e-9 for r in rows)
+    assert abs(sum(forest.featureImportances.toArray()) - 1) < 1e-9 and metrics(m.transform(df)).first().r2 > 0.8
+    m.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    assert [r.prediction for r in again.transform(df).collect()] == [r.prediction for r in m.transform(df).collect()]
