@@ -165,3 +165,41 @@ def test_forest_grown_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
     m.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     assert [r.prediction for r in again.transform(df).collect()] == [r.prediction for r in m.transform(df).collect()]
+
+
+def test_leaderboard_scores_a_side_once(spark):
+    from margincast.operators.models import compare
+    train = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "QuantitySold double")
+    test = spark.createDataFrame([(0.0,), (2.0,), (3.0,)], "QuantitySold double")
+    scored = []
+
+    passes = []
+
+    class Counted:                   # counts the passes over what was scored
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            made = getattr(self.df, name)
+            return (lambda *a: passes.append(name) or made(*a)) if name in ("agg", "select") else made
+
+    class Constant:
+        def __init__(self, at):
+            self.at = at
+
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            scored.append(df.withColumn("prediction", F.lit(self.at)))
+            return Counted(scored[-1])
+
+    board, fitted = compare({"a": Constant(1.0), "b": Constant(2.0)}, train, test)
+    rows = {r.model: r for r in board.collect()}
+    assert len(passes) == 4 and len(scored) == 4 and {k: m.at for k, m in fitted.items()} == {"a": 1.0, "b": 2.0}
+    for name, at in (("a", 1.0), ("b", 2.0)):
+        tr, te = (metrics(x.withColumn("prediction", F.lit(at))).first() for x in (train, test))
+        r = rows[name]
+        assert (r.train_mae, r.train_rmse, r.train_r2, r.test_mae, r.test_rmse, r.test_r2) == (*tr[1:], *te[1:])
+        assert r.test_mape == mape(test.withColumn("prediction", F.lit(at))).first().mape and r.overfit_gap_r2 == tr.r2 - te.r2
+    assert board.first().model == "b"
